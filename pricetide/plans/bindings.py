@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly_panel(history(spark, sf_dir), features(spark, sf_dir))
 
 
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a table, for jobs that read it more than once."""
+    return stored(panel(spark, sf_dir))
+
+
 FEATURES = """features AS (
     SELECT CAST(p_partkey AS VARCHAR) AS code, p_brand AS district, p_type AS kind,
            CAST(p_size AS DOUBLE) AS area_ref, CAST(p_size % 5 + 1 AS INTEGER) AS rooms,
@@ -159,9 +164,9 @@ pairs AS (
 def pairs(spark: SparkSession, sf_dir: str, horizon: int = 1) -> DataFrame:
     from ..operators import panel as P
 
-    frame = panel(spark, sf_dir)
-    index = P.repeat_index(P.monthly_changes(frame), MIN_PAIRS)
-    return P.horizon_pairs(P.panel_features(frame, index), horizon)
+    frame = stored_panel(spark, sf_dir)
+    index = stored(P.repeat_index(P.monthly_changes(frame), MIN_PAIRS))
+    return stored(P.horizon_pairs(stored(P.panel_features(frame, index)), horizon))
 
 
 # ---------------------------------------------------------------- predictions without a model

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_bucket
 from ..operators import clean, merge, metrics, resolve
 from ..operators import panel as P
+from ..session import stored
 from . import bindings as B
 from .registry import query
 
@@ -21,8 +22,8 @@ def rounded(df, digits=9, *skip):
 
 
 def _index(spark, sf):
-    panel = B.panel(spark, sf)
-    return panel, P.repeat_index(P.monthly_changes(panel), B.MIN_PAIRS)
+    panel = B.stored_panel(spark, sf)
+    return panel, stored(P.repeat_index(P.monthly_changes(panel), B.MIN_PAIRS))
 
 
 # ---------------------------------------------------------------- merge by code
@@ -126,10 +127,10 @@ def address_consensus(spark, sf):
 # ---------------------------------------------------------------- panel and index
 @query(
     "monthly_panel",
-    f"WITH {B.PANEL} SELECT code, strftime(month, '%Y-%m') AS month, month_n, round(price, 6) AS price, district, kind, area_ref, rooms, baths, parking, round(price_m2, 6) AS price_m2 FROM panel",
+    f"WITH {B.PANEL} SELECT code, strftime(month, '%Y-%m') AS month, month_n, price, district, kind, area_ref, rooms, baths, parking, price_m2 FROM panel",
 )
 def monthly_panel(spark, sf):
-    return rounded(month_text(B.panel(spark, sf), "month"), 6)
+    return month_text(B.panel(spark, sf), "month")
 
 
 @query(
@@ -161,7 +162,7 @@ INDEX_ROWS = """index_rows AS (
     f"WITH {B.INDEX}, {INDEX_ROWS} SELECT level, district, kind, strftime(month, '%Y-%m') AS month, round(mean_dlog, 9) AS mean_dlog, pairs FROM index_rows",
 )
 def repeat_index(spark, sf):
-    return rounded(month_text(_index(spark, sf)[1], "month"))
+    return rounded(month_text(P.repeat_index(P.monthly_changes(B.panel(spark, sf)), B.MIN_PAIRS), "month"))
 
 
 @query(
@@ -219,11 +220,11 @@ def cumulative_index_table(spark, sf):
 @query(
     "cross_section",
     f"""WITH {B.PANEL}, {B.SECTIONS}
-    SELECT 'segment' AS level, district, kind, strftime(month, '%Y-%m') AS month, round(median_price_m2, 6) AS median_price_m2, n FROM sec_seg
-    UNION ALL SELECT 'kind', NULL, kind, strftime(month, '%Y-%m'), round(median_price_m2, 6), n FROM sec_kind""",
+    SELECT 'segment' AS level, district, kind, strftime(month, '%Y-%m') AS month, median_price_m2, n FROM sec_seg
+    UNION ALL SELECT 'kind', NULL, kind, strftime(month, '%Y-%m'), median_price_m2, n FROM sec_kind""",
 )
 def cross_section(spark, sf):
-    return rounded(month_text(P.cross_section(B.panel(spark, sf)), "month"), 6)
+    return month_text(P.cross_section(B.stored_panel(spark, sf)), "month")
 
 
 @query(
@@ -243,10 +244,10 @@ def panel_features(spark, sf):
 @query(
     "horizon_pairs",
     f"""WITH {B.pairs_sql(3)}
-    SELECT code, strftime(month, '%Y-%m') AS month, strftime(target_month, '%Y-%m') AS target_month, round(future_price, 6) AS future_price, round(target, 9) AS target, round(relative_price, 9) AS relative_price FROM pairs""",
+    SELECT code, strftime(month, '%Y-%m') AS month, strftime(target_month, '%Y-%m') AS target_month, future_price, round(target, 9) AS target, round(relative_price, 9) AS relative_price FROM pairs""",
 )
 def horizon_pairs(spark, sf):
-    out = B.pairs(spark, sf, 3).select("code", "month", "target_month", F.round("future_price", 6).alias("future_price"), "target", "relative_price")
+    out = B.pairs(spark, sf, 3).select("code", "month", "target_month", "future_price", "target", "relative_price")
     return rounded(month_text(out, "month", "target_month"), 9, "future_price")
 
 
@@ -336,20 +337,20 @@ def change_shares(spark, sf):
     segs AS (SELECT DISTINCT district, kind FROM panel), kinds AS (SELECT DISTINCT kind FROM panel),
     ls AS (SELECT district, kind, count(*) AS n, quantile_cont(price_m2, 0.5) AS v FROM panel WHERE month = (SELECT m FROM last) GROUP BY 1, 2),
     lk AS (SELECT kind, count(*) AS n, quantile_cont(price_m2, 0.5) AS v FROM panel WHERE month = (SELECT m FROM last) GROUP BY 1)
-    SELECT s.district, s.kind, round(coalesce(a.mean_dlog, b.mean_dlog, c.mean_dlog, 0.0), 9) AS momentum, ls.n, round(ls.v, 6) AS median_price_m2
+    SELECT s.district, s.kind, round(coalesce(a.mean_dlog, b.mean_dlog, c.mean_dlog, 0.0), 9) AS momentum, ls.n, ls.v AS median_price_m2
     FROM segs s LEFT JOIN seg_index a ON a.district = s.district AND a.kind = s.kind AND a.month = (SELECT m FROM last)
     LEFT JOIN kind_index b ON b.kind = s.kind AND b.month = (SELECT m FROM last) LEFT JOIN all_index c ON c.month = (SELECT m FROM last)
     LEFT JOIN ls ON ls.district = s.district AND ls.kind = s.kind
     UNION ALL
-    SELECT NULL, s.kind, round(coalesce(b.mean_dlog, c.mean_dlog, 0.0), 9), lk.n, round(lk.v, 6)
+    SELECT NULL, s.kind, round(coalesce(b.mean_dlog, c.mean_dlog, 0.0), 9), lk.n, lk.v
     FROM kinds s LEFT JOIN kind_index b ON b.kind = s.kind AND b.month = (SELECT m FROM last) LEFT JOIN all_index c ON c.month = (SELECT m FROM last)
     LEFT JOIN lk ON lk.kind = s.kind""",
 )
 def latest_rulers(spark, sf):
     fine, coarse = P.latest_rulers(*_index(spark, sf))
-    fine = fine.select("district", "kind", F.col("segment_momentum").alias("momentum"), "n", F.round("median_price_m2", 6).alias("median_price_m2"))
+    fine = fine.select("district", "kind", F.col("segment_momentum").alias("momentum"), "n", "median_price_m2")
     coarse = coarse.select(
-        F.lit(None).cast("string").alias("district"), "kind", F.col("kind_momentum").alias("momentum"), "n", F.round("median_price_m2", 6).alias("median_price_m2")
+        F.lit(None).cast("string").alias("district"), "kind", F.col("kind_momentum").alias("momentum"), "n", "median_price_m2"
     )
     return rounded(fine.unionByName(coarse), 9, "median_price_m2")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table several branches read, and continue from the columnar copy.
+
+    The copy lives in the shared checkpoint folder, so it survives executors and later stages see
+    its true size and only the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Estimated size of everything the plan reads; an upper bound for any group inside it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
