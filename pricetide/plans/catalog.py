@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_index, q_panel, q_scalars, q_sources  # noqa: F401
+from . import q_index, q_panel, q_rates, q_scalars, q_sources  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
