@@ -67,7 +67,8 @@ def poisson_thresholds(terms: int = 10) -> list[float]:
 
 def poisson_weight(draw: Column) -> Column:
     """Poisson(1) weight of a uniform draw by inversion."""
-    out = F.lit(0)
-    for bound in poisson_thresholds():
-        out = out + (draw >= bound).cast("int")
-    return out
+    bounds = poisson_thresholds()
+    out = F.when(draw < bounds[0], 0)
+    for k, bound in enumerate(bounds[1:], start=1):
+        out = out.when(draw < bound, k)
+    return out.otherwise(len(bounds))

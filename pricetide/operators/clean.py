@@ -123,14 +123,14 @@ def price_per_area_column(df: DataFrame) -> DataFrame:
     return df.withColumn("price_m2", F.when(area > 0, F.col("price") / area))
 
 
-def leakfree_prepare(rows: DataFrame, by: list[str], columns=NUMERIC_COLUMNS) -> DataFrame:
+def leakfree_prepare(rows: DataFrame, by: list[str], columns=NUMERIC_COLUMNS, rare_min: int = RARE_MIN_COUNT) -> DataFrame:
     """Rare categories, clip bounds and fences learned on part 'train' only, applied to both parts.
 
     Train rows outside the fences are removed; test rows are all kept, with ``typical`` marking
     those inside.
     """
     train = rows.filter("part = 'train'")
-    rare = learn_rare(train, "district", by)
+    rare = learn_rare(train, "district", by, rare_min)
     bounds = learn_clip(train, columns, by)
 
     def shape(part: DataFrame) -> DataFrame:

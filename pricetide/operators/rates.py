@@ -49,9 +49,12 @@ def bootstrap_sums(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: st
     Weights come from a hash of (code, replica), so any engine or retry draws the same sample, and
     the sums combine on the map side before anything is shuffled.
     """
-    draws = sums.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
-    weight = poisson_weight(uniform(F.col("code"), F.col("replica"), F.lit(seed)))
-    draws = draws.withColumn("w", weight).filter("w > 0")
+    # Every row grows a thousandfold, so the few input rows are spread over all cores first.
+    tasks = 2 * sums.sparkSession.sparkContext.defaultParallelism
+    draws = sums.repartition(tasks, "code").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    draws = draws.withColumn("u", uniform(F.col("code"), F.col("replica"), F.lit(seed)))
+    # No filter on the weight: it would be pushed below the draw and evaluate it once per test.
+    draws = draws.withColumn("w", poisson_weight(F.col("u")))
     return draws.groupBy(*SEGMENT, "replica").agg(
         F.sum(F.col("w") * F.col("dlog")).alias("d"), F.sum(F.col("w") * F.col("gap")).alias("g")
     )
