@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_clean, q_explore, q_index, q_metrics, q_panel, q_rates, q_resolve, q_scalars, q_sources  # noqa: F401
+from . import q_clean, q_explore, q_index, q_metrics, q_models, q_panel, q_rates, q_resolve, q_scalars, q_sources, q_streams  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
