@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import collection_date, parse_datetime
 from ..functions.numbers import safe_double, safe_int
 from ..functions.text import listing_code, unify_district
+from .resolve import bounded_lists
 
 TEXT_FIELDS = ("district", "address", "image_url", "city", "kind")
 AREA_FIELDS = ("area_total", "area_private")
@@ -60,10 +61,12 @@ def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> DataFrame
         *picks,
         F.min(stamps["inserted_at"]).alias("__first"),
         F.max(stamps["updated_at"]).alias("__last"),
-        F.array_sort(F.collect_set(F.nullif("id", F.lit("")))).alias("source_ids"),
+        # One entry per collection file.
         F.array_sort(F.collect_set(F.nullif("source_db", F.lit("")))).alias("source_dbs"),
         F.count("*").alias("source_count"),
     )
+    ids = rows.filter("id <> ''").select("code", "id").distinct()
+    merged = merged.join(bounded_lists(ids, "code", "id", "source_ids", "source_id_count"), "code", "left")
     now = as_of if as_of is not None else F.localtimestamp()
     area = F.coalesce(F.nullif("area_private", F.lit(0.0)), F.nullif("area_total", F.lit(0.0)))
     return (
@@ -79,7 +82,7 @@ def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> DataFrame
         .withColumn("inserted_at", F.coalesce("__first", now))
         .withColumn("updated_at", F.coalesce("__last", now))
         .withColumn("id", F.col("code"))
-        .select("code", "id", *MERGED_FIELDS, "source_ids", "source_dbs", "source_count")
+        .select("code", "id", *MERGED_FIELDS, "source_ids", "source_id_count", "source_dbs", "source_count")
     )
 
 

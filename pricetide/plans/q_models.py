@@ -132,9 +132,9 @@ def grid_search(spark, sf):
     best, tried = models.grid_search(
         rows.filter("part = 'train'"), "forest", {"maxDepth": [4, 8], "numTrees": [10]}, FACTORIES, folds=FOLDS
     )
-    result = scores(best.predict(rows.filter("part = 'test'")), [])
-    table = spark.createDataFrame([(str(p), float(s)) for p, s in tried], "parameters string, cv_mae_log double")
-    return table.join(result.select("rows", "mae", "mdape", "r2"), F.lit(True))
+    table = spark.createDataFrame([("cv", str(p), float(s)) for p, s in tried], "stage string, parameters string, mae double")
+    test = scores(best.predict(rows.filter("part = 'test'")), [])
+    return table.unionByName(test.select(F.concat(F.lit("test "), "rows").alias("stage"), F.lit("best").alias("parameters"), "mae"))
 
 
 def _ensemble(spark, sf, metric: str, tie: str):

@@ -92,7 +92,7 @@ def merge_by_code(spark, sf):
         "code", "price", "district", "kind", "area_total", "area_private", "rooms", "parking", "price_m2",
         F.date_format("inserted_at", stamp).alias("inserted_at"),
         F.date_format("updated_at", stamp).alias("updated_at"),
-        F.size("source_ids").cast("long").alias("ids"),
+        F.col("source_id_count").alias("ids"),
         F.array_join("source_dbs", "|").alias("source_dbs"),
         "source_count",
     )
