@@ -153,9 +153,13 @@ def panel_features(panel: DataFrame, index: DataFrame, sections: DataFrame | Non
     return with_momentum(df, index)
 
 
-def horizon_pairs(features: DataFrame, horizon: int = 1, limit: float = MAX_MONTHLY_LOG_CHANGE) -> DataFrame:
-    """Each (code, month) with the price of the same code ``horizon`` months later."""
-    later = features.select("code", (F.col("month_n") - horizon).alias("month_n"), F.col("price").alias("future_price"))
+def horizon_pairs(features: DataFrame, horizon: int = 1, limit: float = MAX_MONTHLY_LOG_CHANGE, prices: DataFrame | None = None) -> DataFrame:
+    """Each (code, month) with the price of the same code ``horizon`` months later.
+
+    ``prices`` is the panel the features were built from; it spares computing them twice.
+    """
+    prices = features if prices is None else prices
+    later = prices.select("code", (F.col("month_n") - horizon).alias("month_n"), F.col("price").alias("future_price"))
     pairs = features.join(later, ["code", "month_n"])
     pairs = pairs.withColumn("target", F.log(F.col("future_price") / F.col("price")))
     return pairs.filter(F.abs("target") <= limit * max(1, horizon)).withColumn(

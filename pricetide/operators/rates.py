@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from ..functions import fuzzy
 from ..functions.hashing import poisson_weight, uniform
 from ..functions.numbers import clamp
+from ..session import spread, stored
 from .ordered import Quantile, aggregate, join_keys, magnitude_bin
 
 CREDIBILITY_K = 30
@@ -49,9 +50,8 @@ def bootstrap_sums(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: st
     Weights come from a hash of (code, replica), so any engine or retry draws the same sample, and
     the sums combine on the map side before anything is shuffled.
     """
-    # Every row grows a thousandfold, so the few input rows are spread over all cores first.
-    tasks = 2 * sums.sparkSession.sparkContext.defaultParallelism
-    draws = sums.repartition(tasks, "code").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    # Every row grows a thousandfold, so few input rows are spread over all cores first.
+    draws = spread(sums, "code").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
     draws = draws.withColumn("u", uniform(F.col("code"), F.col("replica"), F.lit(seed)))
     # No filter on the weight: it would be pushed below the draw and evaluate it once per test.
     draws = draws.withColumn("w", poisson_weight(F.col("u")))
@@ -200,7 +200,8 @@ def center_by(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
 def fuzzy_adjustment(inputs: DataFrame) -> DataFrame:
     """Raw adjustment of each row and the same with zero mean per kind."""
     _, _, raw = fuzzy_columns()
-    return center_by(inputs.withColumn("raw_pp", raw), "raw_pp", "kind", "adjustment_pp")
+    # Centring reads the rows twice, so the costly column is written once.
+    return center_by(stored(inputs.withColumn("raw_pp", raw)), "raw_pp", "kind", "adjustment_pp")
 
 
 def fuzzy_explanation(inputs: DataFrame) -> DataFrame:

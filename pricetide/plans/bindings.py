@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
-from ..session import checkpoint_dir, stored
+from ..session import checkpoint_dir, spread, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process, on every core even when it is one file."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, where every executor can write."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -166,7 +171,7 @@ def pairs(spark: SparkSession, sf_dir: str, horizon: int = 1) -> DataFrame:
 
     frame = stored_panel(spark, sf_dir)
     index = stored(P.repeat_index(P.monthly_changes(frame), MIN_PAIRS))
-    return stored(P.horizon_pairs(stored(P.panel_features(frame, index)), horizon))
+    return P.horizon_pairs(P.panel_features(frame, index), horizon, prices=frame)
 
 
 # ---------------------------------------------------------------- predictions without a model

@@ -301,7 +301,7 @@ def implied_past(spark, sf):
 
 # ---------------------------------------------------------------- growth
 def _growth_parts(spark, sf):
-    parted = stored(P.temporal_split(B.pairs(spark, sf, 1), TEST_MONTHS))
+    parted = P.temporal_split(stored(B.pairs(spark, sf, 1)), TEST_MONTHS)
     rare = clean.learn_rare(parted.filter("part = 'train'"))
     ready = stored(clean.apply_rare(parted, rare))
     return ready.filter("part = 'train'"), ready.filter("part = 'test'")

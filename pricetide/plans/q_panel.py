@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_bucket
 from ..operators import clean, merge, metrics, resolve
 from ..operators import panel as P
-from ..session import stored
+from ..session import spread, stored
 from . import bindings as B
 from .registry import query
 
@@ -64,8 +64,7 @@ def _pick(value: str, test: str) -> str:
 def merge_by_code(spark, sf):
     """One record per part out of observations with holes."""
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
-    # Ties in every ranking column are settled by the value itself in the twin, so ids carry the row.
-    obs = B.observations(spark, sf)
+    obs = spread(B.observations(spark, sf), "l_orderkey", "l_linenumber")
     rows = obs.select(
         "code",
         F.concat_ws("-", "source", "code").alias("id"),
@@ -263,7 +262,7 @@ TEST_MONTHS = 6
     SELECT part, count(*) AS n, strftime(min(target_month), '%Y-%m') AS first_month, strftime(max(target_month), '%Y-%m') AS last_month, round(avg(target), 9) AS mean_target FROM parted GROUP BY 1""",
 )
 def temporal_split(spark, sf):
-    parted = P.temporal_split(B.pairs(spark, sf, 1), TEST_MONTHS)
+    parted = P.temporal_split(stored(B.pairs(spark, sf, 1)), TEST_MONTHS)
     out = parted.groupBy("part").agg(
         F.count("*").alias("n"), F.min("target_month").alias("first_month"), F.max("target_month").alias("last_month"), F.avg("target").alias("mean_target")
     )
@@ -279,7 +278,7 @@ growth AS (
 
 
 def _baseline(spark, sf):
-    parted = P.temporal_split(B.pairs(spark, sf, 1), TEST_MONTHS)
+    parted = P.temporal_split(stored(B.pairs(spark, sf, 1)), TEST_MONTHS)
     return P.segment_mean_baseline(parted.filter("part = 'train'"), parted.filter("part = 'test'"))
 
 

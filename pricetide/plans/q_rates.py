@@ -9,7 +9,7 @@ from ..functions.hashing import poisson_thresholds
 from ..operators import index as I
 from ..operators import panel as P
 from ..operators import rates as R
-from ..session import stored
+from ..session import spread, stored
 from . import bindings as B
 from .q_panel import rounded
 from .q_scalars import _trapezoid_sql
@@ -232,7 +232,9 @@ def fuzzy_rulers(spark, sf):
 def inputs(spark, sf):
     train = train_rows(spark, sf)
     kinds, districts = R.fuzzy_rulers(train, trend(spark, sf))
-    return stored(R.fuzzy_inputs(train, kinds, districts).select("entity", "kind", "district", "district_price", "area", "trend"))
+    table = R.fuzzy_inputs(train, kinds, districts).select("entity", "kind", "district", "district_price", "area", "trend")
+    # The centroid costs hundreds of steps a row.
+    return spread(stored(table), "entity")
 
 
 @query("fuzzy_inputs", f"WITH {RULERS} SELECT entity, round(district_price, 9) AS district_price, round(area, 9) AS area, round(trend, 9) AS trend FROM fin")

@@ -21,7 +21,7 @@ FOLD = r"trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[^\x00-\x7
 
 @query("normalize_text", f"SELECT doc_id, {FOLD.format('text')} AS folded FROM documents")
 def normalize_text(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", T.fold_text(F.col("text")).alias("folded"))
+    return B.spread_table(spark, sf, "documents", "doc_id").select("doc_id", T.fold_text(F.col("text")).alias("folded"))
 
 
 RAW_NUMBER = "CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'n/d' WHEN 3 THEN NULL ELSE CAST(l_extendedprice AS VARCHAR) END"

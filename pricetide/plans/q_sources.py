@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions.numbers import safe_double
 from ..operators import explore, index, merge, resolve
+from ..session import spread
 from ..sources import html, records, series, snapshots, tables
 from . import bindings as B
 from .registry import query
@@ -135,7 +136,7 @@ def json_attr_extract(spark, sf):
         F.array(F.struct(F.concat(F.lit("/cdn/"), B.text("event_id"), F.lit(".jpg")).alias("url"), F.lit("").alias("urlCDN"))).alias("imagens"),
         F.array_compact(attributes).alias("caracteristicas"),
     )
-    events = B.table(spark, sf, "events").select("event_id", "event_type", "user_id", "value", "props")
+    events = B.spread_table(spark, sf, "events", "event_id")
     body = F.to_json(F.struct(F.lit(True).alias("success"), F.array(result).alias("result")))
     out = records.detail_records(events.select(body.alias("body")), base_url="http://host.example/api/detail")
     return out.select(
@@ -166,7 +167,7 @@ def json_flat_record(spark, sf):
         F.col("event_type").alias("type"),
         (F.col("user_id") % 5).cast("int").alias("qtd_bedrooms"),
     )
-    hits = B.table(spark, sf, "events").select("event_id", "event_type", "user_id", "value", "props").select(F.to_json(hit).alias("body"))
+    hits = B.spread_table(spark, sf, "events", "event_id").select(F.to_json(hit).alias("body"))
     return records.hit_records(hits).select("id", "price", "area_total", "area_private", "image_url", "kind", "rooms")
 
 
@@ -191,7 +192,7 @@ def json_card_record(spark, sf):
         value.alias("areainterna"),
         (k % 4).cast("string").alias("numeroquartos"),
     )
-    cards = B.table(spark, sf, "events").select("event_id", "value", "props").select(F.to_json(card).alias("body"))
+    cards = B.spread_table(spark, sf, "events", "event_id").select(F.to_json(card).alias("body"))
     return records.card_records(cards).select("id", F.round("price", 2).alias("price"), "area_total", "area_private", "rooms")
 
 
@@ -219,7 +220,7 @@ def html_field_extract(spark, sf):
 
 def _listing_pages(spark, sf):
     """Listing pages in the collected markup, one per part."""
-    part = B.table(spark, sf, "part")
+    part = B.spread_table(spark, sf, "part", "p_partkey")
     key = B.text("p_partkey")
     total = F.col("p_size").cast("string")
     page = F.concat(
@@ -264,7 +265,7 @@ def _label_pages(spark, sf):
         F.when(F.col("p_partkey") % 2 == 0, card(F.lit("Vagas"), F.lit("2 cobertas"))).otherwise(F.lit("")),
         F.lit("</div></body></html>"),
     )
-    return B.table(spark, sf, "part").select("p_partkey", F.lit("https://agency.example/lista/p1?x=1").alias("url"), body.alias("html"))
+    return B.spread_table(spark, sf, "part", "p_partkey").select("p_partkey", F.lit("https://agency.example/lista/p1?x=1").alias("url"), body.alias("html"))
 
 
 @query(
@@ -285,7 +286,7 @@ def html_label_map(spark, sf):
     SELECT page_id, link AS link_id, CAST(min(pos) - 1 AS INTEGER) AS position, count(*) AS occurrences FROM l WHERE link <> '' GROUP BY 1, 2""",
 )
 def html_links(spark, sf):
-    return html.links(B.table(spark, sf, "pages"), identifier="^(.+)$").drop("link")
+    return html.links(B.spread_table(spark, sf, "pages", "page_id"), identifier="^(.+)$").drop("link")
 
 
 @query(
@@ -308,7 +309,7 @@ def absolute_url(spark, sf):
 @query("html_tag_texts")
 def html_tag_texts(spark, sf):
     """Headings and paragraphs of every page through a DOM pass."""
-    return html.tag_texts(B.table(spark, sf, "pages"), ("title", "h1", "p"))
+    return html.tag_texts(B.spread_table(spark, sf, "pages", "page_id"), ("title", "h1", "p"))
 
 
 # ---------------------------------------------------------------- series and files
@@ -409,7 +410,7 @@ HISTORY_ORDER = "(l_orderkey, l_linenumber, l_extendedprice, l_suppkey)"
 
 
 def _history_rows(spark, sf):
-    obs = B.observations(spark, sf)
+    obs = spread(B.observations(spark, sf), "l_orderkey", "l_linenumber")
     snapshot = F.concat(F.lit("listings_"), F.date_format("day", "dd_MM_yyyy"))
     return obs.select(
         "code",

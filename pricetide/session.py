@@ -63,6 +63,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for costly row work on an input of few files; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Estimated size of everything the plan reads; an upper bound for any group inside it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -22,8 +22,8 @@ DETAIL_SCHEMA = """
 
 # Attribute ids of the two agencies that publish attribute lists.
 ATTRIBUTE_IDS = {
-    "markize": {"rooms": (3,), "rooms_fallback": (5,), "baths": (6,), "parking": (4, 15), "area_private": 9, "area_total": (27,)},
-    "padra": {"rooms": (89,), "rooms_fallback": (103,), "baths": (84,), "parking": (104,), "area_private": 124, "area_total": (109, 107, 123, 106)},
+    "agency_m": {"rooms": (3,), "rooms_fallback": (5,), "baths": (6,), "parking": (4, 15), "area_private": 9, "area_total": (27,)},
+    "agency_p": {"rooms": (89,), "rooms_fallback": (103,), "baths": (84,), "parking": (104,), "area_private": 124, "area_total": (109, 107, 123, 106)},
 }
 
 
@@ -51,15 +51,17 @@ def _with_areas(df: DataFrame) -> DataFrame:
     return df.withColumn("price_m2", price_per_area(F.col("price"), F.col("area_private"), F.col("area_total")))
 
 
-def detail_records(pages: DataFrame, body: str = "body", ids: dict = ATTRIBUTE_IDS["markize"], base_url: str = "") -> DataFrame:
+def detail_records(pages: DataFrame, body: str = "body", ids: dict = ATTRIBUTE_IDS["agency_m"], base_url: str = "") -> DataFrame:
     """One listing per response with an attribute list (entity-attribute-value)."""
-    parsed = pages.withColumn("__r", F.get(F.from_json(F.col(body), DETAIL_SCHEMA)["result"], F.lit(0)))
+    # Exploding the first result parses each body once and drops empty answers.
+    results = F.from_json(F.col(body), DETAIL_SCHEMA)["result"]
+    parsed = pages.select(F.explode(F.slice(results, 1, 1)).alias("__r"))
     r, attrs = F.col("__r"), F.col("__r.caracteristicas")
     image = F.get(r["imagens"], F.lit(0))
     raw_image = F.coalesce(*[filled(image[c]) for c in ("urlCDN", "url", "url_original", "url_small")])
     rooms = F.coalesce(attribute_text(attrs, ids["rooms"]), attribute_text(attrs, ids["rooms_fallback"]))
     total = F.coalesce(*[F.nullif(attribute_number(attrs, key), F.lit(0.0)) for key in ids["area_total"]])
-    out = parsed.filter(r.isNotNull()).select(
+    out = parsed.select(
         r["id"].cast("string").alias("id"),
         parse_plain(r["configVenda"]["valor"]).alias("price"),
         r["bairro"].alias("district"),

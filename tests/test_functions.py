@@ -75,7 +75,7 @@ def test_dates(spark):
     raw = ["2026-08-01T10:11:12.5Z", "2026-08-01 10:11:12", "03/09/2026 01:02:03", "2026-08-01", "2026-08", "x", ""]
     got = [str(v) if v else None for v in apply(spark, raw, D.parse_datetime)]
     assert got == ["2026-08-01 10:11:12.500000", "2026-08-01 10:11:12", "2026-09-03 01:02:03", "2026-08-01 00:00:00", None, None, None]
-    names = ["imoveis_03_09_2026.db", "imoveis_31_02_2026.db", "x"]
+    names = ["listings_03_09_2026.db", "listings_31_02_2026.db", "x"]
     assert [str(v) if v else None for v in apply(spark, names, D.snapshot_date)] == ["2026-09-03", None, None]
 
 
