@@ -91,7 +91,7 @@ def aggregate(
     keys: list[str],
     aggs: list[Column],
     quantiles: list[Quantile],
-    small_input: int = SMALL_INPUT_BYTES,
+    small_input: int | None = None,
 ) -> DataFrame:
     """``groupBy(keys)`` with plain aggregates and exact quantiles.
 
@@ -100,7 +100,7 @@ def aggregate(
     """
     if not quantiles:
         return df.groupBy(*keys).agg(*aggs)
-    if input_bytes(df) <= small_input:
+    if input_bytes(df) <= (SMALL_INPUT_BYTES if small_input is None else small_input):
         built_in = [F.percentile(q.value, F.lit(q.p)).alias(q.name) for q in quantiles]
         return df.groupBy(*keys).agg(*aggs, *built_in)
     picked = _binned_quantiles(df, keys, quantiles)

@@ -34,7 +34,10 @@ def rows_of(columns, rows):
     return sorted((tuple(canonical(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark, con, name: str, fn, sql: str, sf_dir: str):
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def compare(spark, con, name: str, fn, sql: str, sf_dir: str, allow_empty: bool = False):
     """(equal, note, spark seconds)."""
     start = time.time()
     df = fn(spark, sf_dir)
@@ -45,7 +48,11 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str):
     right = result.fetchall()
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} vs {sorted(columns)}", seconds
-    if not left:
+    declared = {d[0]: str(d[1]) for d in result.description}
+    wrong = {c: (t, declared[c]) for c, t in df.dtypes if TYPES.get(t) != declared[c]}
+    if wrong:
+        return False, f"declared types {wrong}", seconds
+    if not left and not allow_empty:
         return False, "no rows", seconds
     a, b = rows_of(df.columns, [tuple(r) for r in left]), rows_of(columns, right)
     if len(a) != len(b):
