@@ -1,0 +1,21 @@
+"""Queries with quantiles give their twins' rows on the route taken for large inputs, too."""
+
+import pytest
+
+import __spark_entry__ as entry
+from pricetide.operators import ordered
+
+from .conftest import SF
+from .oracle import compare, connect
+
+NAMES = (
+    "monthly_panel cross_section quantile_clip iqr_filter median_target_encode leakfree_prepare boxplot_stats describe_skew "
+    "quartile_error percentage_error cluster_consensus dataset_slice top_districts rolling_band latest_rulers gap_to_best"
+).split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_binned_route(spark, monkeypatch, name):
+    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES", 0)
+    equal, note, _ = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    assert equal, note
