@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, uniform
+from ..session import stored
 from .ordered import Quantile, aggregate, attach
 
 RARE_MIN_COUNT = 10
@@ -130,14 +131,15 @@ def leakfree_prepare(rows: DataFrame, by: list[str], columns=NUMERIC_COLUMNS, ra
     those inside.
     """
     train = rows.filter("part = 'train'")
-    rare = learn_rare(train, "district", by, rare_min)
-    bounds = learn_clip(train, columns, by)
+    # Rules are small tables several branches read, so each is learned once.
+    rare = stored(learn_rare(train, "district", by, rare_min))
+    bounds = stored(learn_clip(train, columns, by))
 
     def shape(part: DataFrame) -> DataFrame:
         return price_per_area_column(apply_clip(apply_rare(part, rare, "district", by), bounds, columns, by))
 
     shaped = shape(rows)
-    fences = learn_iqr(shaped.filter("part = 'train'"), IQR_COLUMNS, by)
+    fences = stored(learn_iqr(shaped.filter("part = 'train'"), IQR_COLUMNS, by))
     return mark_iqr(shaped, fences, IQR_COLUMNS, by).filter("part = 'test' OR typical")
 
 
@@ -179,7 +181,7 @@ class RareCategories(Estimator):
         self.column, self.by, self.min_count = column, by, min_count
 
     def _fit(self, dataset: DataFrame) -> _RuleModel:
-        rare = learn_rare(dataset, self.column, self.by, self.min_count)
+        rare = stored(learn_rare(dataset, self.column, self.by, self.min_count))
         return _RuleModel(lambda df: apply_rare(df, rare, self.column, self.by))
 
 
@@ -189,7 +191,7 @@ class QuantileClip(Estimator):
         self.columns, self.by, self.quantiles = columns, by, quantiles
 
     def _fit(self, dataset: DataFrame) -> _RuleModel:
-        bounds = learn_clip(dataset, self.columns, self.by, self.quantiles)
+        bounds = stored(learn_clip(dataset, self.columns, self.by, self.quantiles))
         return _RuleModel(lambda df: apply_clip(df, bounds, self.columns, self.by))
 
 
@@ -201,7 +203,7 @@ class IqrFence(Estimator):
         self.columns, self.by, self.factor = columns, by, factor
 
     def _fit(self, dataset: DataFrame) -> _RuleModel:
-        fences = learn_iqr(dataset, self.columns, self.by, self.factor)
+        fences = stored(learn_iqr(dataset, self.columns, self.by, self.factor))
         return _RuleModel(lambda df: mark_iqr(df, fences, self.columns, self.by))
 
 
@@ -211,5 +213,5 @@ class MedianTargetEncoder(Estimator):
         self.column, self.value, self.out, self.min_count = column, value, out, min_count
 
     def _fit(self, dataset: DataFrame) -> _RuleModel:
-        per, overall = learn_median_encoding(dataset, self.column, self.value, self.min_count)
+        per, overall = map(stored, learn_median_encoding(dataset, self.column, self.value, self.min_count))
         return _RuleModel(lambda df: apply_median_encoding(df, per, overall, self.column, self.out))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_number, month_start
 from ..functions.numbers import clamp
+from ..session import stored
 from .ordered import Quantile, aggregate
 
 MAX_MONTHLY_LOG_CHANGE = math.log(1.5)
@@ -192,7 +193,8 @@ def segment_means(train: DataFrame, value: str = "target") -> DataFrame:
 def segment_mean_baseline(train: DataFrame, test: DataFrame, value: str = "target", out: str = "prediction") -> DataFrame:
     """Predict each test row by the train mean of its segment, else kind, else everything."""
     levels = [("segment", SEGMENT), ("kind", ["kind"]), ("overall", [])]
-    return with_fallback(test, segment_means(train, value), "mean_value", out, levels)
+    # The means are read once per level.
+    return with_fallback(test, stored(segment_means(train, value)), "mean_value", out, levels)
 
 
 def latest_rulers(panel: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

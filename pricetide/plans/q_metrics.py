@@ -94,7 +94,7 @@ def candidate_rows(spark, sf):
 
 
 def board(spark, sf):
-    rows = candidate_rows(spark, sf)
+    rows = stored(candidate_rows(spark, sf))
     by = ["kind", "model"]
     errors = M.percentage_error(rows, by).select(*by, "mdape")
     return stored(M.regression_metrics(rows, by).select(*by, "mae", "rmse").join(errors, by))
