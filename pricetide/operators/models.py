@@ -214,11 +214,11 @@ class SegmentModel:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def train_segment(prepared: DataFrame, final_rows: DataFrame, segment: str, candidates: list[Candidate], factories: dict[str, Callable], metric: str = "mae", tie: str = "rmse") -> SegmentModel:
+def train_segment(prepared: DataFrame, final_rows: DataFrame | None, segment: str, candidates: list[Candidate], factories: dict[str, Callable], metric: str = "mae", tie: str = "rmse") -> SegmentModel:
     """Rank on the folds of the train part, fit the ensemble for evaluation, refit on everything.
 
     ``prepared``: part, fold and features, cleaned with rules of the train part. ``final_rows``:
-    the segment cleaned with rules of all its rows.
+    the segment cleaned with rules of all its rows; None leaves the final fit out.
     """
     train = prepared.filter("part = 'train'")
     board = cv_leaderboard(out_of_fold(train, candidates, factories))
@@ -227,7 +227,7 @@ def train_segment(prepared: DataFrame, final_rows: DataFrame, segment: str, cand
         segment,
         board,
         fit_ensemble(train, weights, candidates, factories),
-        fit_ensemble(final_rows, weights, candidates, factories),
+        fit_ensemble(final_rows, weights, candidates, factories) if final_rows is not None else [],
         weights,
     )
 

@@ -101,14 +101,27 @@ def aggregate(
     if not quantiles:
         return df.groupBy(*keys).agg(*aggs)
     if input_bytes(df) <= (SMALL_INPUT_BYTES if small_input is None else small_input):
-        built_in = [F.percentile(q.value, F.lit(q.p)).alias(q.name) for q in quantiles]
-        return df.groupBy(*keys).agg(*aggs, *built_in)
+        return _built_in_quantiles(df, keys, aggs, quantiles)
     picked = _binned_quantiles(df, keys, quantiles)
     rest = df.groupBy(*keys).agg(*aggs) if aggs else df.groupBy(*keys).agg(F.count("*").alias("__n")).drop("__n")
     order = [*keys, *rest.columns[len(keys):], *[q.name for q in quantiles]]
     return join_keys(rest, picked, keys, "left").select(*order)
 
 
+def _built_in_quantiles(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: list[Quantile]) -> DataFrame:
+    """Quantiles of one value column share one aggregate, which keeps every distinct value."""
+    by_value: dict[int, list[Quantile]] = {}
+    for q in quantiles:
+        by_value.setdefault(id(q.value), []).append(q)
+    shared = [
+        F.percentile(group[0].value, F.array(*[F.lit(float(q.p)) for q in group])).alias(f"__q{i}")
+        for i, group in enumerate(by_value.values())
+    ]
+    out = df.groupBy(*keys).agg(*aggs, *shared)
+    picked = {q.name: F.get(f"__q{i}", F.lit(j)).alias(q.name) for i, group in enumerate(by_value.values()) for j, q in enumerate(group)}
+    return out.select(*out.columns[: -len(shared)], *[picked[q.name] for q in quantiles])
+
+
 def _binned_quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(i).alias("metric"), q.value.cast("double").alias("value")) for i, q in enumerate(quantiles)]

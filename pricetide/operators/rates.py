@@ -70,6 +70,11 @@ def replica_rates(boot: DataFrame) -> DataFrame:
     return rolled.filter("g > 0").select(level.alias("level"), *SEGMENT, "replica", (F.col("d") / F.col("g")).alias("rate"))
 
 
+def _interval(interval: tuple[float, float]) -> list[Quantile]:
+    rate = F.col("rate")
+    return [Quantile("monthly_low", rate, interval[0]), Quantile("monthly_high", rate, interval[1])]
+
+
 def bootstrap_rates(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: str = "42", interval=(0.10, 0.90)) -> DataFrame:
     """Point rate with the p10/p90 of its bootstrap, by segment and by kind."""
     rates = replica_rates(bootstrap_sums(sums, replicas, seed))
@@ -77,7 +82,7 @@ def bootstrap_rates(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: s
         rates,
         ["level", *SEGMENT],
         [],
-        [Quantile("monthly_low", F.col("rate"), interval[0]), Quantile("monthly_high", F.col("rate"), interval[1])],
+        _interval(interval),
     )
     point = segment_rates(sums)
     same = (
@@ -114,7 +119,7 @@ def credibility_rates(
         mixed,
         SEGMENT,
         [],
-        [Quantile("monthly_low", F.col("rate"), interval[0]), Quantile("monthly_high", F.col("rate"), interval[1])],
+        _interval(interval),
     )
     blended = F.col("weight") * F.col("raw") + (1 - F.col("weight")) * F.col("kind_monthly")
     return (

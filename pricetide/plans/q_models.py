@@ -174,17 +174,17 @@ def median_ensemble(spark, sf):
     return scores(models.predict_median(test, members), ["kind"])
 
 
-def _train_segments(spark, sf, candidates=None):
-    """One model set per segment: an evaluation fit on train and a final fit on everything."""
+def _train_segments(spark, sf, refit: bool = False):
+    """One model set per segment: an evaluation fit on train and, with ``refit``, a final fit on everything."""
     rows = prepared(spark, sf)
-    everything = clean.price_per_area_column(listings(spark, sf)).withColumn("part", F.lit("train"))
-    final = stored(clean.leakfree_prepare(everything, ["kind"]))
+    final = None
+    if refit:
+        everything = clean.price_per_area_column(listings(spark, sf)).withColumn("part", F.lit("train"))
+        final = stored(clean.leakfree_prepare(everything, ["kind"]))
     out = []
     for kind in SEGMENTS:
-        trained = models.train_segment(
-            rows.filter(F.col("kind") == kind), final.filter(F.col("kind") == kind), kind, candidates or CANDIDATES[:2], FACTORIES
-        )
-        out.append(trained)
+        everything = final.filter(F.col("kind") == kind) if refit else None
+        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES[:2], FACTORIES))
     return rows, out
 
 
@@ -198,7 +198,7 @@ def segmented_training(spark, sf):
 @query("batch_score")
 def batch_score(spark, sf):
     """Final segment models over all current listings, with the cleaning rules of their training."""
-    _, trained = _train_segments(spark, sf)
+    _, trained = _train_segments(spark, sf, refit=True)
     rows = clean.price_per_area_column(listings(spark, sf))
     rare, bounds = clean.learn_rare(rows, "district", ["kind"]), clean.learn_clip(rows, by=["kind"])
     ready = stored(clean.apply_clip(clean.apply_rare(rows, rare, "district", ["kind"]), bounds, by=["kind"]))
@@ -210,18 +210,17 @@ def batch_score(spark, sf):
 def leaderboard_table(spark, sf):
     """Position, chosen flag, cross-validated and test errors of every candidate by segment."""
     rows, trained = _train_segments(spark, sf)
-    by_name = {c.name: c for c in CANDIDATES}
     parts = []
     for t in trained:
         board = metrics.leaderboard(t.leaderboard.withColumn("kind", F.lit(t.segment)), ["kind"], metrics.published_order())
         board = board.withColumn("chosen", F.col("model").isin(list(t.weights)))
         tested = []
-        for name in [r["model"] for r in t.leaderboard.select("model").collect()]:
-            fitted = models.fit(_segment(rows, t.segment, "train"), by_name[name], FACTORIES)
-            tested.append(fitted.predict(_segment(rows, t.segment, "test")).withColumn("model", F.lit(name)))
+        for member in t.evaluation:
+            scored = member.predict(_segment(rows, t.segment, "test"))
+            tested.append(scored.withColumn("model", F.lit(member.candidate.name)))
         test = scores(reduce(DataFrame.unionByName, tested), ["model"])
         wide = test.groupBy("model").pivot("rows", ["typical", "full"]).agg(F.first("mae").alias("mae"), F.first("mdape").alias("mdape"))
-        parts.append(board.select("kind", "model", "position", "chosen", F.col("mae").alias("cv_mae"), F.col("mdape").alias("cv_mdape")).join(wide, "model"))
+        parts.append(board.select("kind", "model", "position", "chosen", F.col("mae").alias("cv_mae"), F.col("mdape").alias("cv_mdape")).join(wide, "model", "left"))
     return reduce(DataFrame.unionByName, parts)
 
 
