@@ -16,23 +16,17 @@ HEADLINE = (
     "history_dedup",
     "upsert_latest",
     "normalize_text",
-    "json_attr_extract",
-    "html_label_map",
     "panel_features",
     "cumulative_index",
     "horizon_pairs",
     "leakfree_prepare",
     "regression_metrics",
     "auc_brier",
-    "spearman_matrix",
     "bootstrap_rates",
     "backcast_adjusted",
     "fuzzy_adjustment",
     "connected_components",
     "visual_duplicates",
-    "dedup_end_to_end",
-    "rf_regression",
-    "stream_history",
 )
 
 
