@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, repetition, url_filter
+from . import chat_windows, decontaminate, language_id, line_dedup, mixing, repetition, simhash_anchor, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +38,30 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text)
+    return chat_windows.read_back(chat_windows.windows(turns.unionByName(more)))
+
+
 QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
     "op4_repetition": op4_repetition,
     "op5_line_dedup": op5_line_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
+    "op8_simhash": op8_simhash,
+    "op10_chat_windows": op10_chat_windows,
 }
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -104,4 +123,31 @@ fits AS (
     SELECT page_id, arg_max(rh || rp, length(rh) * 10000 + length(rp)) AS rule, arg_max(verdict, length(rh) * 10000 + length(rp)) AS verdict
     FROM parts JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY page_id)
 SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)""",
+    "op10_chat_windows": r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+    SELECT *, 1 + CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
+        23 + length(regexp_replace(role, '<([|~])', '<~\1', 'g')) + length(regexp_replace(text, '<([|~])', '<~\1', 'g')) AS chars FROM given),
+placed AS (
+    SELECT *, row_number() OVER o AS idx, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS after
+    FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+systems AS (SELECT conv_id, min(idx) AS s_idx, arg_min(tokens, idx) AS s_tokens, arg_min(chars, idx) AS s_chars FROM placed WHERE role = 'system' GROUP BY conv_id),
+cut AS (
+    SELECT p.*, after - tokens AS before, s_idx, s_chars, greatest(1024 - 256 - coalesce(s_tokens, 0), 256) AS step
+    FROM placed p LEFT JOIN systems s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
+marked AS (
+    SELECT *, coalesce((before // step) <> lag(before // step) OVER w OR ((after - 1) // step) <> lag((after - 1) // step) OVER w, true) AS starts,
+        min(idx) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 256 PRECEDING AND CURRENT ROW) AS lo
+    FROM cut WINDOW w AS (PARTITION BY conv_id ORDER BY before)),
+framed AS (
+    SELECT m.conv_id, m.idx, 17 + any_value(CASE WHEN m.s_idx < m.lo THEN m.s_chars ELSE 0 END) + coalesce(sum(h.chars), 0) AS extra
+    FROM marked m LEFT JOIN marked h ON m.conv_id IS NOT DISTINCT FROM h.conv_id AND h.idx >= m.lo AND h.idx < m.idx WHERE m.starts GROUP BY m.conv_id, m.idx),
+extras AS (SELECT conv_id, sum(extra) AS extra FROM framed GROUP BY conv_id)
+SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) + any_value(extra) AS BIGINT) AS formatted_chars
+FROM placed p JOIN extras e ON p.conv_id IS NOT DISTINCT FROM e.conv_id GROUP BY p.conv_id""",
 }
