@@ -1,29 +1,51 @@
-"""Corpus pipeline: language, repeated lines, near copies, benchmark passages, mixing."""
+"""Corpus pipeline: language, repeated lines, near copies, benchmark passages, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
+docs. All stages but the last return the columns of documents; the last returns the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetide.llm import decontaminate, line_dedup, mixing
+from pricetide.llm import decontaminate, language_id, line_dedup, mixing, simhash_anchor
 from pricetide.session import stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or between two languages, go."""
+    return language_id.known_language(docs)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents share stay in the last of them only."""
+    """Lines that three documents share stay in the last of them only; n_chars follows the text."""
     return line_dedup.drop_lines(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return simhash_anchor.first_of_each(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Which documents the mix takes, and how many words of each."""
+    """The documents the mix takes words from, in the order of the mix, and how many words of each."""
     return mixing.mix(docs).where("taken > 0")
 
 
-STAGES = [("line dedup", lines), ("benchmark decontamination", benchmark), ("mixing", mixture)]
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("mixing", mixture),
+]
+
+#: Language ID and fingerprints cannot be said in SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
