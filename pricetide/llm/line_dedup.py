@@ -151,11 +151,12 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[int, list[str]]:
     return len(lines), [line for k, line in enumerate(lines) if k >= len(keep) or keep[k]]
 
 
-def with_bitmaps(docs: DataFrame) -> DataFrame:
-    """Documents with their bitmap, null where every line stays."""
-    docs = docs.withColumn("_text", F.xxhash64("text"))
-    maps = keep_bitmaps(tb.texts(docs, "_text")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_mark"), "keep")
-    return docs.join(maps, docs["doc_id"].eqNullSafe(maps["_id"]) & (docs["_text"] == maps["_mark"]), "left").drop("_id", "_mark", "_text")
+def with_bitmaps(docs: DataFrame, keep: str) -> DataFrame:
+    """Documents with their bitmap in the column ``keep``, null where every line stays."""
+    mark, row_id = tb.fresh(docs, "_mark"), tb.fresh(docs, "_id")
+    maps = keep_bitmaps(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")))
+    maps = maps.select(F.col("doc_id").alias(row_id), F.col("_text").alias(mark), F.col("keep").alias(keep))
+    return docs.join(maps, docs["doc_id"].eqNullSafe(maps[row_id]) & (F.xxhash64(docs["text"]) == maps[mark]), "left").drop(row_id, mark)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -175,21 +176,21 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_bitmaps(tb.texts(docs)).mapInArrow(apply, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string, keep binary")
+    return with_bitmaps(tb.texts(docs), "keep").mapInArrow(apply, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string, keep binary")
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """Documents with the repeated lines gone from their text (n_chars follows); all columns and rows stay."""
-    schema = docs.schema
+    schema, bitmap = docs.schema, tb.fresh(docs, "keep")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, keep in zip(batch.column("text"), batch.column("keep"), strict=True):
+            for text, keep in zip(batch.column("text"), batch.column(bitmap), strict=True):
                 texts.append(text.as_py() if keep.as_py() is None else "\n".join(kept_lines(text.as_py(), keep.as_py())[1]))
             at = batch.schema.get_field_index("text")
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(schema.names)
 
-    out = with_bitmaps(docs).mapInArrow(apply, schema)
+    out = with_bitmaps(docs, bitmap).mapInArrow(apply, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

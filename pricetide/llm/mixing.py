@@ -53,9 +53,9 @@ def source_targets(sizes: DataFrame, budget: float = 1.0) -> DataFrame:
     return level.select("source", "source_size", target.alias("target"))
 
 
-def queue(docs: DataFrame, budget: float = 1.0, *more: str) -> DataFrame:
+def queue(docs: DataFrame, budget: float = 1.0) -> DataFrame:
     """One row per document: its size, source, target, the words before it in its source, words taken and first finish time."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = stored(rows)  # sizes without texts, read by each of the sums below
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
@@ -75,7 +75,7 @@ def queue(docs: DataFrame, budget: float = 1.0, *more: str) -> DataFrame:
         begin = before + passes * F.col("source_size")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), spent - begin))
     finish = F.when(F.col("target") > 0, (before + F.col("size")) / F.col("target"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"), before.alias("before"), *more)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("finish"), before.alias("before"))
 
 
 def mix(docs: DataFrame, budget: float = 1.0) -> DataFrame:

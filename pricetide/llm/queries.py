@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, language_id, line_dedup, mixing, repetition, simhash_anchor, suffix_dedup, url_filter
+from . import chat_windows, decontaminate, language_id, line_dedup, mixing, repetition, simhash_anchor, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_windows": op10_chat_windows,
 }
 

@@ -131,3 +131,11 @@ def code_points(data: np.ndarray) -> np.ndarray:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator needs, whatever else the table holds."""
     return docs.select(F.col("doc_id"), F.col("text"), *(F.col(c) for c in more))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of the table is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
