@@ -9,8 +9,8 @@ Texts are UTF-8 bytes; strings do not cross documents, may overlap, and are judg
    equal in all bytes enter a shard twice at most, which is all that is needed to see that they repeat.
 3. A task sorts the suffixes of some megabytes of groups by induced sorting and computes permuted common prefixes
    (``suffix_array``); windows with a neighbour that shares 400 bytes are repeats.
-4. Groups beyond ``GROUP_BYTES`` (a hot passage with many different surroundings) never meet in one task: the distinct pieces
-   around their anchors are cut into their windows, which are counted by 128-bit hash over all tasks.
+4. Groups with more than ``GROUP_BYTES`` of different segments (a hot passage with many surroundings) never meet in one task:
+   the different pieces around their anchors are cut into windows, which are counted by 128-bit hash over all tasks.
 5. Repeats travel back to documents as runs of positions.
 
 * Null and empty texts have 0 bytes. Texts below 400 bytes stay as they are.
@@ -38,7 +38,7 @@ from .suffix_array import repeats, suffix_array
 LENGTH = 400
 GRAM = 128
 CHUNK = 2 << 20
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 6 << 20
 BLOCK_BYTES = 4 << 20
 PLACE_BITS = 28
 
@@ -101,12 +101,15 @@ def split_id(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-UNIT = ("g", "heavy", "u1", "u2", "start", "bytes")
+UNIT = ("g", "u1", "u2", "start", "bytes")
 GIVEN = ("doc_id", "_text", "_row")
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of light groups and pieces of heavy anchors; bytes come along for a unit's first two occurrences in a task."""
+    """Units of a document by group ``g``: its windows' bytes, merged where they overlap if ``merge`` is set.
+
+    Bytes come along for a unit's first two occurrences in a task.
+    """
     seen: Counter[tuple[int, int]] = Counter()
     for batch in batches:
         out: dict[str, list] = {c: [] for c in UNIT}
@@ -115,7 +118,7 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(batch=batch) -> pa.RecordBatch:
             take = pa.array(rows, pa.int64())
             given = [batch.column(c).take(take) for c in GIVEN]
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             done = pa.RecordBatch.from_arrays([*given, *(pa.array(out[c], k) for c, k in zip(UNIT, kinds, strict=True))], [*GIVEN, *UNIT])
             rows.clear()
             for c in UNIT:
@@ -123,15 +126,15 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return done
 
         size = 0
-        for row, (text, found) in enumerate(zip(batch.column("text"), batch.column("anchors"), strict=True)):
+        for row, (text, found, merge) in enumerate(zip(batch.column("text"), batch.column("anchors"), batch.column("merge").to_pylist(), strict=True)):
             raw = text.as_py().encode()
-            spots: dict[tuple[bool, int], list[tuple[int, int]]] = {}
+            spots: dict[int, list[tuple[int, int]]] = {}
             for a in found.as_py():
-                spots.setdefault((a["heavy"], a["h"] if a["heavy"] else a["key"]), []).append((a["first"], a["last"] + LENGTH))
-            for (heavy, g), parts in spots.items():
+                spots.setdefault(a["g"], []).append((a["first"], a["last"] + LENGTH))
+            for g, parts in spots.items():
                 merged: list[list[int]] = []
                 for first, end in sorted(set(parts)):
-                    if merged and not heavy and first <= merged[-1][1]:
+                    if merge and merged and first <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], end)
                     else:
                         merged.append([first, end])
@@ -144,7 +147,7 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     send = content if seen[unit] <= 2 else None
                     size += len(send or b"")
                     rows.append(row)
-                    for c, v in zip(UNIT, (g, heavy, *unit, first, send), strict=True):
+                    for c, v in zip(UNIT, (g, *unit, first, send), strict=True):
                         out[c].append(v)
             if size > CHUNK:
                 yield flush()
@@ -188,7 +191,8 @@ def repeats_in(units: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int,
 def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Works off rows sorted by group and unit in blocks of whole groups."""
     block: list[tuple[int, int, int, int, bytes]] = []
-    size, group, copies, last = 0, None, 0, None
+    group: list[tuple[int, int, int, int, bytes]] = []
+    size, group_size, current, copies, last = 0, 0, None, 0, None
 
     def work() -> pa.RecordBatch:
         found = repeats_in(block)
@@ -197,16 +201,26 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int32()))], ["u1", "u2", "runs"]
         )
 
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal size, group_size
+        if block and size + group_size > BLOCK_BYTES:
+            yield work()
+            size = 0
+        block.extend(group)
+        size += group_size
+        group.clear()
+        group_size = 0
+
     for batch in batches:
         for g, u1, u2, row, start, content in zip(*(batch.column(c).to_pylist() for c in ("g", "u1", "u2", "_row", "start")), batch.column("bytes"), strict=True):
-            if g != group and size >= BLOCK_BYTES:
-                yield work()
-                size = 0
+            if g != current:
+                yield from close()
             copies = copies + 1 if (g, u1, u2) == last else 1
-            group, last = g, (g, u1, u2)
+            current, last = g, (g, u1, u2)
             if copies <= 2:
-                block.append((u1, u2, row, start, content.as_py()))
-                size += len(block[-1][4])
+                group.append((u1, u2, row, start, content.as_py()))
+                group_size += len(group[-1][4])
+    yield from close()
     if block:
         yield work()
 
@@ -269,24 +283,31 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = tb.texts(docs).withColumn("_text", F.xxhash64("text"))
     anchored = stored(keyed.mapInArrow(anchor_rows, f"doc_id {kind}, _text long, h long, first int, last int"))
-    # A hash's group is its smallest holder; anchors of one document at most share a group, whatever the number of copies.
-    holder = F.xxhash64("doc_id", "_text")
-    counts = anchored.groupBy("h").agg(F.count("*").alias("n"), F.min(holder).alias("key"), F.sum(F.col("last") - F.col("first") + 1 + LENGTH).alias("size")).where("n > 1")
-    counts = stored(counts)
-    sizes = counts.groupBy("key").agg(F.sum("size").alias("_all"))
-    groups = stored(counts.join(sizes, "key").select("h", "key", (F.col("_all") > GROUP_BYTES).alias("heavy")))
-    flagged = anchored.join(groups, "h").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last", "h", "key", "heavy")).alias("anchors"))
+    # A hash's group is its smallest holder; the anchors of one document at most share a group, whatever the number of copies.
+    counts = anchored.groupBy("h").agg(F.count("*").alias("_n"), F.min(F.xxhash64("doc_id", "_text")).alias("key")).where("_n > 1").drop("_n")
+    flagged = anchored.join(stored(counts), "h").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("first", "last", F.col("key").alias("g"), "h")).alias("anchors"))
     flagged = renamed(flagged)
     holders = stored(keyed.join(flagged, same_row(keyed, flagged)).select("doc_id", "_text", "text", "anchors", F.monotonically_increasing_id().alias("_row")))
 
-    units = stored(holders.mapInArrow(unit_rows, f"doc_id {kind}, _text long, _row long, g long, heavy boolean, u1 long, u2 long, start int, bytes binary"))
+    schema = f"doc_id {kind}, _text long, _row long, g long, u1 long, u2 long, start int, bytes binary"
+    units = stored(holders.withColumn("merge", F.lit(True)).mapInArrow(unit_rows, schema))
     given = units.where("bytes IS NOT NULL")
-    light = given.where("NOT heavy").select("g", "u1", "u2", "_row", "start", "bytes").repartition("g").sortWithinPartitions("g", "u1", "u2")
-    by_suffix = light.mapInArrow(shard_rows, "u1 long, u2 long, runs array<int>")
-    windows = given.where("heavy").select("u1", "u2", "bytes").mapInArrow(window_rows, "w1 long, w2 long, u1 long, u2 long, at int")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    places = windows.join(twice, ["w1", "w2"]).groupBy("u1", "u2").agg(F.collect_set("at").alias("places"))
-    found = stored(by_suffix.unionByName(places.mapInArrow(place_runs, "u1 long, u2 long, runs array<int>")))
+    heavy = stored(given.groupBy(F.col("g").alias("_g")).agg(F.sum(F.length("bytes")).alias("_size")).where(F.col("_size") > GROUP_BYTES).drop("_size"))
+    crowded = not heavy.isEmpty()
+    light = given.join(heavy, F.col("g") == F.col("_g"), "left_anti") if crowded else given
+    light = light.select("g", "u1", "u2", "_row", "start", "bytes").repartition("g").sortWithinPartitions("g", "u1", "u2")
+    found = light.mapInArrow(shard_rows, "u1 long, u2 long, runs array<int>")
+    if crowded:
+        each = holders.select("_row", F.explode("anchors").alias("a")).select("_row", "a.*").join(heavy, F.col("g") == F.col("_g"))
+        each = each.groupBy(F.col("_row").alias("_r")).agg(F.collect_list(F.struct("first", "last", F.col("h").alias("g"))).alias("anchors"))
+        cut = holders.drop("anchors").join(each, F.col("_row") == F.col("_r")).drop("_r").withColumn("merge", F.lit(False))
+        pieces = stored(cut.mapInArrow(unit_rows, schema))
+        units = units.unionByName(pieces)
+        windows = pieces.where("bytes IS NOT NULL").select("u1", "u2", "bytes").mapInArrow(window_rows, "w1 long, w2 long, u1 long, u2 long, at int")
+        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        places = windows.join(twice, ["w1", "w2"]).groupBy("u1", "u2").agg(F.collect_set("at").alias("places"))
+        found = found.unionByName(places.mapInArrow(place_runs, "u1 long, u2 long, runs array<int>"))
+    found = stored(found)
 
     members = units.select("doc_id", "_text", "u1", "u2", "start").distinct()
     marks = members.join(found, ["u1", "u2"]).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "runs")).alias("marks"))
