@@ -76,14 +76,16 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit number."""
+    """doc_id, a hash of the text that tells rows of one id apart, and the fingerprint as a signed 64-bit number."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in tb.slices(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(fingerprints(data, offsets).view(np.int64))], ["doc_id", "fp"])
+                given = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "mark")]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(fingerprints(data, offsets).view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return tb.texts(docs).mapInArrow(sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(sketch, f"doc_id {kind}, mark long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -151,28 +153,39 @@ def links(fps: DataFrame) -> DataFrame:
     return replica.join(home, near).select("a", F.col("fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits) and component_id of every document."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, fp, root (one fingerprint per component) and component_id of every document."""
     sketched = stored(with_fingerprint(docs))
     reps = stored(sketched.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     nodes = components(links(reps.select("fp")), "a", "b")
     members = nodes.join(reps, F.col("u") == F.col("fp"))
     groups = members.groupBy("v").agg(F.min("rep").alias("component_id")).withColumnRenamed("v", "_root")
-    linked = nodes.join(groups, F.col("v") == F.col("_root")).select(F.col("u").alias("_fp"), "component_id")
+    linked = nodes.join(groups, F.col("v") == F.col("_root")).select(F.col("u").alias("_fp"), "_root", "component_id")
     # Written out, so that the join below has plain exchanges on both sides and a hot fingerprint can be split.
-    group_of = stored(reps.join(linked, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "rep").alias("component_id")))
-    out = sketched.join(group_of, F.col("fp") == F.col("_fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    group_of = reps.join(linked, F.col("fp") == F.col("_fp"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("_root", "fp").alias("root"), F.when(F.col("_root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return sketched.join(stored(group_of), F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits) and component_id of every document."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with all columns; of rows that repeat that id, one."""
-    found = stored(near_duplicates(docs))
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    stays = stored(stays.withColumnRenamed("doc_id", "_id"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    again = stays.where("_n > 1").drop("_n")
+    """The document with the smallest id of each component, with all columns; of equal rows, one.
+
+    What goes is looked up, not what stays: the list of documents to drop is the shorter one.
+    """
+    found = stored(grouped(docs).select("doc_id", "mark", "root"))
+    this = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    keepers = stored(found.groupBy(F.col("root").alias("_root")).agg(F.min(this).alias("_keeper"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    drop = stored(found.join(keepers, F.col("root") == F.col("_root")).where(this != F.col("_keeper")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
+    listed = lambda rows: docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_mark"])
+    kept = docs.join(drop, listed(drop), "left_anti")
+    again = found.groupBy("doc_id", "mark").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    again = stored(again)
     if again.isEmpty():
         return kept
-    mine = kept["doc_id"].eqNullSafe(again["_id"])
-    return kept.join(again, mine, "left_anti").unionByName(kept.join(again, mine, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(again, listed(again), "left_anti").unionByName(kept.join(again, listed(again), "left_semi").dropDuplicates(["doc_id", "text"]))
