@@ -20,7 +20,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1]).astype(np.int8)
     step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
@@ -113,13 +113,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if len(lms) > 1:
         first = induce(text, lms, sizes)
         ordered = first[flag[first]]
-        ends = np.empty(len(text), np.int64)
+        ends = np.empty(len(text), np.int32)
         ends[lms] = np.append(lms[1:], lms[-1]) + 1
         code = tb.mixed(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
         prefix = np.zeros(len(text) + 1, np.uint64)
         np.cumsum(code[text] * tb.powers(tb.BASE, len(text)), out=prefix[1:])
         content = tb.span_hash(prefix, ordered, ends[ordered])
-        name = np.empty(len(text), np.int64)
+        del prefix, first
+        name = np.empty(len(text), np.int32)
         name[ordered] = np.concatenate(([0], np.cumsum(content[1:] != content[:-1])))
         lms = lms[_sort_names(name[lms], int(np.ceil(np.log2(max(2, depth / 2)))))]
     return induce(text, lms, sizes)
@@ -134,7 +135,7 @@ def repeats(text: np.ndarray, sa: np.ndarray, length: int, place: np.ndarray | N
     predecessors at one distance it falls by one each step, so only the ends of chains are compared symbol by symbol.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     same = np.zeros(n, bool)
     has = before >= 0
@@ -142,10 +143,10 @@ def repeats(text: np.ndarray, sa: np.ndarray, length: int, place: np.ndarray | N
     last = np.ones(n, bool)  # of its chain
     last[:-1] = before[1:] != before[:-1] + 1
     # First mismatch at or after each position, or the end of its chain if there is none before it.
-    stop = np.where(~same | last, np.arange(n), n)
+    stop = np.where(~same | last, np.arange(n, dtype=np.int32), np.int32(n))
     stop = np.minimum.accumulate(stop[::-1])[::-1]
     ends = np.flatnonzero(last & same)
-    tail = np.zeros(n, np.int64)
+    tail = np.zeros(n, np.int32)
     wide = np.zeros(n + length + 16, np.uint16)
     wide[:n] = text
     at, to = ends + 1, before[ends] + 1
@@ -164,8 +165,8 @@ def repeats(text: np.ndarray, sa: np.ndarray, length: int, place: np.ndarray | N
         done += 4
         live = live[at[live] + done < n]
     tail[ends[live]] = length
-    common = np.where(same[stop], stop - np.arange(n) + 1 + tail[stop], stop - np.arange(n))
-    long = (common >= length) & has
+    run = stop - np.arange(n, dtype=np.int32)
+    long = (np.where(same[stop], run + 1 + tail[stop], run) >= length) & has
     joined = long[sa]  # to the one before it in the suffix array
     heads = np.flatnonzero(~joined)
     names = (np.arange(n, dtype=np.uint64) if place is None else place)[sa]

@@ -38,8 +38,8 @@ from .suffix_array import repeats, suffix_array
 LENGTH = 400
 GRAM = 128
 CHUNK = 2 << 20
-GROUP_BYTES = 6 << 20
-BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 PLACE_BITS = 28
 
 
