@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import source_prefix
-from .ordered import Quantile, aggregate, attach
+from .ordered import Quantile, aggregate, attach, join_keys
 
 PRICE_BAND = (50_000.0, 20_000_000.0)
 AREA_BAND = (20.0, 2_000.0)
@@ -92,11 +92,11 @@ def boxplot_stats(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     v = F.col("__v")
     q = aggregate(rows, keys, [F.count("*").alias("n")], [Quantile("q1", v, 0.25), Quantile("median", v), Quantile("q3", v, 0.75)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = rows.join(q, keys).groupBy(*keys).agg(
+    ends = join_keys(rows, q, keys).groupBy(*keys).agg(
         F.min(F.when(v >= F.col("q1") - reach, v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("q3") + reach, v)).alias("whisker_high"),
     )
-    return q.join(ends, keys)
+    return join_keys(q, ends, keys)
 
 
 def describe(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

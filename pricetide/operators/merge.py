@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import collection_date, parse_datetime
 from ..functions.numbers import safe_double, safe_int
 from ..functions.text import listing_code, unify_district
-from .resolve import bounded_lists
 
 TEXT_FIELDS = ("district", "address", "image_url", "city", "kind")
 AREA_FIELDS = ("area_total", "area_private")
@@ -34,8 +33,13 @@ def with_code(listings: DataFrame) -> DataFrame:
     return listings.filter("price IS NOT NULL AND price > 0").withColumn("code", code).filter("code <> ''")
 
 
-def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """One record per code: each field takes its newest, most complete filled value.
+def code_origins(listings: DataFrame) -> DataFrame:
+    """Every id under every code, as rows."""
+    return with_code(listings).filter("id <> ''").select("code", "id").distinct()
+
+
+def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, origins): one record per code, each field its newest, most complete filled value, and the ids it came from.
 
     Rows are ordered by (newest of update/insert/registration date, filled fields, snapshot, id).
     The per-field choice is an aggregate, so a code seen in any number of snapshots combines on
@@ -64,12 +68,11 @@ def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> DataFrame
         # One entry per collection file.
         F.array_sort(F.collect_set(F.nullif("source_db", F.lit("")))).alias("source_dbs"),
         F.count("*").alias("source_count"),
+        F.count_distinct(F.nullif("id", F.lit(""))).alias("source_id_count"),
     )
-    ids = rows.filter("id <> ''").select("code", "id").distinct()
-    merged = merged.join(bounded_lists(ids, "code", "id", "source_ids", "source_id_count"), "code", "left")
     now = as_of if as_of is not None else F.localtimestamp()
     area = F.coalesce(F.nullif("area_private", F.lit(0.0)), F.nullif("area_total", F.lit(0.0)))
-    return (
+    records = (
         merged.withColumn("district", unify_district(F.col("district")))
         .withColumns({name: safe_int(F.col(name)) for name in COUNT_FIELDS})
         .withColumns({name: safe_double(F.col(name)) for name in AREA_FIELDS})
@@ -82,8 +85,9 @@ def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> DataFrame
         .withColumn("inserted_at", F.coalesce("__first", now))
         .withColumn("updated_at", F.coalesce("__last", now))
         .withColumn("id", F.col("code"))
-        .select("code", "id", *MERGED_FIELDS, "source_ids", "source_id_count", "source_dbs", "source_count")
+        .select("code", "id", *MERGED_FIELDS, "source_id_count", "source_dbs", "source_count")
     )
+    return records, code_origins(listings)
 
 
 def price_history(listings: DataFrame, order: Column) -> DataFrame:

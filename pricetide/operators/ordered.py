@@ -1,8 +1,10 @@
 """Exact order statistics that do not depend on a group fitting into one task.
 
-Values of a group are counted per distinct value, distinct values fall into narrow log-width bins,
-and prefix sums run over the bins first (a bounded number per group) and inside a bin afterwards.
-A group holding any share of the rows is therefore spread over as many tasks as it has bins.
+Values of a group are counted per distinct value. Distinct values fall into fine bins, four thousand to a coarse bin that
+spans about 0.14 % of its value; NaN and the infinities have bins of their own at the ends (NaN above everything). Prefix
+sums run over the coarse bins of a group (a bounded number), over the fine bins of a coarse bin (at most 4,096) and inside
+a fine bin, so a group with any share of the rows, packed as densely as prices in cents are, is spread over many tasks.
+There is one route for every size of input.
 """
 
 from __future__ import annotations
@@ -12,12 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import input_bytes
-
+FINE_BITS = 12
 BINS_PER_OCTAVE = 512
 BIN_BASE = 600_000
-# Below this much input no group can be too large for the built-in percentile aggregate.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -29,10 +28,13 @@ class Quantile:
     p: float = 0.5
 
 
-def magnitude_bin(col: Column) -> Column:
-    """Monotone bin of a number; one bin spans about 0.14 % of its value."""
-    size = F.floor(F.log2(F.abs(col)) * BINS_PER_OCTAVE) + BIN_BASE
-    return F.when(col > 0, size).when(col < 0, -size).otherwise(F.lit(0)).cast("long")
+def fine_bin(col: Column) -> Column:
+    """Monotone bin of a number; ``FINE_BITS`` fewer bits give its coarse bin."""
+    x = col.cast("double")
+    size = F.floor(F.log2(F.abs(x)) * (BINS_PER_OCTAVE << FINE_BITS)) + (BIN_BASE << FINE_BITS)
+    end = F.lit(4 * BIN_BASE << FINE_BITS)
+    edges = F.when(F.isnan(x), 2 * end).when(x == float("inf"), end).when(x == float("-inf"), -end)
+    return edges.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -49,9 +51,9 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join to a table of one row per group; without keys the table is a single row."""
+    """Left join to a table of one row per group, null keys included; without keys the table is a single row."""
     if keys:
-        return df.join(table, keys, "left")
+        return join_keys(df, table, keys, "left")
     row = table.select(F.struct(*table.columns)).scalar()
     return df.withColumn("__row", row).select(*df.columns, "__row.*")
 
@@ -65,19 +67,29 @@ def prefix_counts(
     same way, as ``before_<name>`` and ``total_<name>``.
     """
     names = (rows, *measures)
-    binned = counts.withColumn("__bin", magnitude_bin(F.col(value)))
-    offsets = binned.groupBy(*keys, "__bin").agg(*[F.sum(n).alias(f"__in_{n}") for n in names])
-    by_bin = Window.partitionBy(*keys)
-    earlier = by_bin.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    for n in names:
-        offsets = offsets.withColumn(f"__off_{n}", F.coalesce(F.sum(f"__in_{n}").over(earlier), F.lit(0)))
-        offsets = offsets.withColumn(f"total_{n}", F.sum(f"__in_{n}").over(by_bin))
-    offsets = offsets.drop(*[f"__in_{n}" for n in names])
-    inside = Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = join_keys(binned, offsets, [*keys, "__bin"])
+    binned = counts.withColumn("__fine", fine_bin(F.col(value)))
+    inside = Window.partitionBy(*keys, "__fine").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_keys(binned, _offsets(binned, keys, names), [*keys, "__fine"])
     for n in names:
         out = out.withColumn(f"before_{n}", F.col(f"__off_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return out.drop("__bin", *[f"__off_{n}" for n in names])
+    return out.drop("__fine", *[f"__{kind}_{n}" for n in names for kind in ("off", "in")])
+
+
+def _offsets(binned: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
+    """One row per fine bin: its sum, what lies before it in its group, and the group's total, for every measure."""
+    fine = binned.groupBy(*keys, "__fine").agg(*[F.sum(n).alias(f"__in_{n}") for n in names])
+    fine = fine.withColumn("__bin", F.shiftright("__fine", FINE_BITS))
+    coarse = fine.groupBy(*keys, "__bin").agg(*[F.sum(f"__in_{n}").alias(f"__sum_{n}") for n in names])
+    group, bin_ = Window.partitionBy(*keys), Window.partitionBy(*keys, "__bin")
+    earlier_bins = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = bin_.orderBy("__fine").rowsBetween(Window.unboundedPreceding, -1)
+    for n in names:
+        coarse = coarse.withColumn(f"__base_{n}", F.coalesce(F.sum(f"__sum_{n}").over(earlier_bins), F.lit(0)))
+        coarse = coarse.withColumn(f"total_{n}", F.sum(f"__sum_{n}").over(group))
+        fine = fine.withColumn(f"__off_{n}", F.coalesce(F.sum(f"__in_{n}").over(earlier), F.lit(0)))
+    out = join_keys(fine, coarse, [*keys, "__bin"])
+    out = out.withColumns({f"__off_{n}": F.col(f"__off_{n}") + F.col(f"__base_{n}") for n in names})
+    return out.drop("__bin", *[f"__{kind}_{n}" for n in names for kind in ("sum", "base")])
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, rows: str = "rows") -> DataFrame:
@@ -86,81 +98,54 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str, rows: str = "r
     return ranked.withColumn("rank", F.col(f"before_{rows}") + (F.col(rows) + 1) / 2.0)
 
 
-def aggregate(
-    df: DataFrame,
-    keys: list[str],
-    aggs: list[Column],
-    quantiles: list[Quantile],
-    small_input: int | None = None,
-) -> DataFrame:
-    """``groupBy(keys)`` with plain aggregates and exact quantiles.
-
-    Inputs up to ``small_input`` bytes use the built-in aggregate; larger ones the binned route,
-    whose cost does not depend on how large the largest group is.
-    """
+def aggregate(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: list[Quantile]) -> DataFrame:
+    """``groupBy(keys)`` with plain aggregates and exact quantiles."""
     if not quantiles:
         return df.groupBy(*keys).agg(*aggs)
-    if input_bytes(df) <= (SMALL_INPUT_BYTES if small_input is None else small_input):
-        return _built_in_quantiles(df, keys, aggs, quantiles)
-    picked = _binned_quantiles(df, keys, quantiles)
+    picked = _quantiles(df, keys, quantiles)
     rest = df.groupBy(*keys).agg(*aggs) if aggs else df.groupBy(*keys).agg(F.count("*").alias("__n")).drop("__n")
     order = [*keys, *rest.columns[len(keys):], *[q.name for q in quantiles]]
     return join_keys(rest, picked, keys, "left").select(*order)
 
 
-def _built_in_quantiles(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: list[Quantile]) -> DataFrame:
-    """Quantiles of one value column share one aggregate, which keeps every distinct value."""
-    by_value: dict[int, list[Quantile]] = {}
+def _quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> DataFrame:
+    """Quantiles of one value column share its counts."""
+    shared: dict[int, list[Quantile]] = {}
     for q in quantiles:
-        by_value.setdefault(id(q.value), []).append(q)
-    shared = [
-        F.percentile(group[0].value, F.array(*[F.lit(float(q.p)) for q in group])).alias(f"__q{i}")
-        for i, group in enumerate(by_value.values())
-    ]
-    out = df.groupBy(*keys).agg(*aggs, *shared)
-    picked = {q.name: F.get(f"__q{i}", F.lit(j)).alias(q.name) for i, group in enumerate(by_value.values()) for j, q in enumerate(group)}
-    return out.select(*out.columns[: -len(shared)], *[picked[q.name] for q in quantiles])
-
-
-def _binned_quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> DataFrame:
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("metric"), q.value.cast("double").alias("value")) for i, q in enumerate(quantiles)]
-    )
+        shared.setdefault(id(q.value), []).append(q)
+    values = [group[0].value for group in shared.values()]
+    entries = F.array(*[F.struct(F.lit(i).alias("metric"), v.cast("double").alias("value")) for i, v in enumerate(values)])
     long = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.metric", "e.value")
     group = [*keys, "metric"]
     counts = long.filter("value IS NOT NULL").groupBy(*group, "value").agg(F.count("*").alias("rows"))
-    probs = F.create_map(*[F.lit(x) for i, q in enumerate(quantiles) for x in (i, float(q.p))])
-
-    binned = counts.withColumn("__bin", magnitude_bin(F.col("value")))
-    per_bin = binned.groupBy(*group, "__bin").agg(F.sum("rows").alias("__in"))
-    whole = Window.partitionBy(*group)
-    earlier = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = (
-        per_bin.withColumn("__off", F.coalesce(F.sum("__in").over(earlier), F.lit(0)))
-        .withColumn("__pos", (F.sum("__in").over(whole) - 1) * probs[F.col("metric")])
-        .withColumn("__low", F.floor("__pos"))
-        .withColumn("__high", F.ceil("__pos"))
-    )
-    end = F.col("__off") + F.col("__in")
-    wanted = per_bin.filter(
-        ((F.col("__low") >= F.col("__off")) & (F.col("__low") < end))
-        | ((F.col("__high") >= F.col("__off")) & (F.col("__high") < end))
-    ).drop("__in")
-    inside = Window.partitionBy(*group, "__bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    picked = join_keys(binned, wanted, [*group, "__bin"]).withColumn(
-        "__before", F.col("__off") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
+    probs = F.create_map(*[x for i, g in enumerate(shared.values()) for x in (F.lit(i), F.array(*[F.lit(float(q.p)) for q in g]))])
+
+    binned = counts.withColumn("__fine", fine_bin(F.col("value")))
+    offsets = _offsets(binned, group, ("rows",))
+    position = F.transform(probs[F.col("metric")], lambda p: (F.col("total_rows") - 1) * p)
+    ends = F.flatten(F.transform(position, lambda p: F.array(F.floor(p), F.ceil(p))))
+    wanted = offsets.withColumn("__positions", position)
+    low, high = F.col("__off_rows"), F.col("__off_rows") + F.col("__in_rows")
+    wanted = wanted.filter(F.exists(ends, lambda e: (e >= low) & (e < high))).drop("__in_rows", "total_rows")
+    inside = Window.partitionBy(*group, "__fine").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    picked = join_keys(binned, wanted, [*group, "__fine"]).withColumn(
+        "__before", F.col("__off_rows") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
     )
 
-    def at(position: str) -> Column:
-        hit = (F.col(position) >= F.col("__before")) & (F.col(position) < F.col("__before") + F.col("rows"))
-        return F.max(F.when(hit, F.col("value")))
+    def at(i: int, end) -> Column:
+        place = end(F.get("__positions", F.lit(i)))
+        return F.max(F.when((place >= F.col("__before")) & (place < F.col("__before") + F.col("rows")), F.col("value")))
 
-    solved = picked.groupBy(*group).agg(
-        at("__low").alias("lo"), at("__high").alias("hi"), F.max("__pos").alias("pos"), F.max("__low").alias("low")
-    )
-    # Only the fraction between the two neighbours is interpolated, as the built-in aggregate does.
-    share = F.col("pos") - F.col("low")
-    solved = solved.withColumn("q", F.when(share == 0, F.col("lo")).otherwise((1 - share) * F.col("lo") + share * F.col("hi")))
+    most = max(len(g) for g in shared.values())
+    columns = [c for i in range(most) for c in (at(i, F.floor).alias(f"__lo{i}"), at(i, F.ceil).alias(f"__hi{i}"))]
+    solved = picked.groupBy(*group).agg(*columns, F.first("__positions").alias("__positions"))
+
+    def between(i: int) -> Column:
+        lo, hi, place = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.get("__positions", F.lit(i))
+        share = place - F.floor(place)
+        return F.when((share == 0) | (lo == hi), lo).otherwise((1 - share) * lo + share * hi)
+
+    solved = solved.select(*group, *[between(i).alias(f"__q{i}") for i in range(most)])
     return solved.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("metric") == i, F.col("q"))).alias(q.name) for i, q in enumerate(quantiles)]
+        *[F.max(F.when(F.col("metric") == m, F.col(f"__q{i}"))).alias(q.name) for m, g in enumerate(shared.values()) for i, q in enumerate(g)]
     )

@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from ..functions import fuzzy
 from ..functions.hashing import poisson_weight, uniform
 from ..functions.numbers import clamp
-from ..session import spread, stored
-from .ordered import Quantile, aggregate, join_keys, magnitude_bin
+from ..session import stored
+from .ordered import Quantile, aggregate, join_keys, prefix_counts
 
 CREDIBILITY_K = 30
 MIN_SEGMENT_ENTITIES = 5
@@ -51,7 +51,7 @@ def bootstrap_sums(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: st
     the sums combine on the map side before anything is shuffled.
     """
     # Every row grows a thousandfold, so few input rows are spread over all cores first.
-    draws = spread(sums, "code").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    draws = sums.repartition(2 * sums.sparkSession.sparkContext.defaultParallelism, "code").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
     draws = draws.withColumn("u", uniform(F.col("code"), F.col("replica"), F.lit(seed)))
     # No filter on the weight: it would be pushed below the draw and evaluate it once per test.
     draws = draws.withColumn("w", poisson_weight(F.col("u")))
@@ -199,7 +199,7 @@ def fuzzy_columns() -> tuple[dict[tuple[str, str], Column], list[Column], Column
 def center_by(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
     """Deviation from the mean of the group; the mean combines on the map side and joins back."""
     means = df.groupBy(key).agg(F.avg(value).alias("__mean"))
-    return df.join(means, key).withColumn(out, F.col(value) - F.col("__mean")).drop("__mean")
+    return join_keys(df, means, [key]).withColumn(out, F.col(value) - F.col("__mean")).drop("__mean")
 
 
 def fuzzy_adjustment(inputs: DataFrame) -> DataFrame:
@@ -246,21 +246,15 @@ def distribution(df: DataFrame, keys: list[str], value: str, min_n: int = 1) ->
 def positional_sample(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """Rows at positions 0, n/3, 2n/3 and n-1 of each group ordered by (value, tie).
 
-    Positions come from counts per (value bin, tie bin), so only the bins holding a wanted
-    position are sorted. ``tie`` is a whole number, unique in the group.
+    Prefix sums over distinct values find the values that hold a wanted position, prefix sums over the ties of those values
+    the rows. ``tie`` is a number, unique in the group.
     """
-    binned = df.withColumn("__b1", magnitude_bin(F.col(value))).withColumn("__b2", magnitude_bin(F.col(tie)))
-    # A value bin may hold different values, so bins are refined only where all its values agree.
-    plain = binned.groupBy(*keys, "__b1").agg((F.min(value) == F.max(value)).alias("__one"))
-    binned = join_keys(binned, plain, [*keys, "__b1"]).withColumn("__b2", F.when(F.col("__one"), F.col("__b2")).otherwise(F.lit(0)))
-    bins = binned.groupBy(*keys, "__b1", "__b2").agg(F.count("*").alias("__in"))
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("__b1", "__b2").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("__off", F.coalesce(F.sum("__in").over(earlier), F.lit(0))).withColumn("group_rows", F.sum("__in").over(whole))
-    n = F.col("group_rows")
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("rows"))
+    placed = prefix_counts(counts, keys, value)
+    n = F.col("total_rows")
     wanted = F.array(F.lit(0).cast("long"), F.floor(n / 3), F.floor(2 * n / 3), n - 1)
-    bins = bins.withColumn("__wanted", F.filter(F.array_distinct(wanted), lambda p: (p >= F.col("__off")) & (p < F.col("__off") + F.col("__in"))))
-    bins = bins.filter(F.size("__wanted") > 0).drop("__in")
-    inside = Window.partitionBy(*keys, "__b1", "__b2").orderBy(value, tie)
-    hit = join_keys(binned, bins, [*keys, "__b1", "__b2"]).withColumn("position", F.col("__off") + F.row_number().over(inside) - 1)
-    return hit.filter(F.array_contains("__wanted", F.col("position"))).drop("__b1", "__b2", "__one", "__off", "__wanted")
+    holds = F.filter(F.array_distinct(wanted), lambda p: (p >= F.col("before_rows")) & (p < F.col("before_rows") + F.col("rows")))
+    placed = placed.select(*keys, value, F.col("before_rows").alias("__off"), n.alias("group_rows"), holds.alias("__wanted")).filter(F.size("__wanted") > 0)
+    hit = join_keys(df, placed, [*keys, value]).withColumn("rows", F.lit(1).cast("long"))
+    hit = prefix_counts(hit, [*keys, value], tie).withColumn("position", F.col("__off") + F.col("before_rows"))
+    return hit.filter(F.array_contains("__wanted", F.col("position"))).drop("__off", "__wanted", "rows", "before_rows", "total_rows")

@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table whose rows are costly to process, on every core even when it is one file."""
-    return spread(table(spark, sf_dir, name), key)
+    rows = table(spark, sf_dir, name)
+    return spread(rows, rows, key)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -54,6 +55,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations on every core, for costly work on each of them."""
+    return spread(observations(spark, sf_dir), table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
 OBS = """obs AS (
     SELECT CAST(l_partkey AS VARCHAR) AS code, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS price,
            l_quantity AS area, p_brand AS district, p_type AS kind, p_size AS rooms, l_linenumber AS baths,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean
-from ..session import spread
 from . import bindings as B
 from .registry import query
 
@@ -15,7 +14,7 @@ RARE_MIN = 320
 def split_rows(spark, sf):
     """Observations with hold-out parts and the columns of a training frame."""
     row = F.concat_ws("-", *[B.text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    obs = spread(B.observations(spark, sf), "l_orderkey", "l_linenumber").withColumn("row_id", row)
+    obs = B.spread_observations(spark, sf).withColumn("row_id", row)
     obs = obs.withColumn("area_private", F.when(F.col("l_linenumber") % 3 == 0, 0.0).otherwise(F.col("area"))).withColumnRenamed("area", "area_total")
     return clean.holdout_split(obs, "row_id").drop("l_orderkey", "l_linenumber", "l_suppkey", "source", "day")
 

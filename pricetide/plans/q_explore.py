@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import explore as X
 from ..operators import metrics as M
 from ..operators import panel as P
-from ..session import spread
 from . import bindings as B
 from .q_panel import month_text, rounded
 from .registry import query
@@ -102,7 +101,7 @@ def _spearman_sql(a: str, b: str) -> str:
 
 @query("spearman_matrix", f"WITH {B.OBS} " + " UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(COLUMNS) for b in COLUMNS[i + 1 :]))
 def spearman_matrix(spark, sf):
-    return rounded(M.spearman(spread(B.observations(spark, sf), "l_orderkey", "l_linenumber").select("kind", *COLUMNS), ["kind"], list(COLUMNS)), 8)
+    return rounded(M.spearman(B.spread_observations(spark, sf).select("kind", *COLUMNS), ["kind"], list(COLUMNS)), 8)
 
 
 @query("spearman", f"WITH {B.OBS} {_spearman_sql('area', 'price')}")

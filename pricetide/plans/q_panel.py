@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_bucket
 from ..operators import clean, merge, metrics, resolve
 from ..operators import panel as P
-from ..session import spread, stored
+from ..session import stored
 from . import bindings as B
 from .registry import query
 
@@ -64,7 +64,7 @@ def _pick(value: str, test: str) -> str:
 def merge_by_code(spark, sf):
     """One record per part out of observations with holes."""
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
-    obs = spread(B.observations(spark, sf), "l_orderkey", "l_linenumber")
+    obs = B.observations(spark, sf)  # the merge combines before it shuffles
     rows = obs.select(
         "code",
         F.concat_ws("-", "source", "code").alias("id"),
@@ -85,7 +85,7 @@ def merge_by_code(spark, sf):
         F.when(supp % 3 == 0, F.concat(F.date_add("day", 2).cast("string"), F.lit(" 12:00:00"))).alias("updated_at"),
         F.concat(F.lit("listings_"), F.date_format(F.trunc("day", "month"), "dd_MM_yyyy")).alias("source_db"),
     )
-    out = merge.merge_by_code(rows, F.lit("2026-09-03").cast("timestamp_ntz"))
+    out, _ = merge.merge_by_code(rows, F.lit("2026-09-03").cast("timestamp_ntz"))
     stamp = "yyyy-MM-dd HH:mm:ss"
     return out.select(
         "code", "price", "district", "kind", "area_total", "area_private", "rooms", "parking", "price_m2",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions.numbers import safe_double
 from ..operators import explore, index, merge, resolve
-from ..session import spread
 from ..sources import html, records, series, snapshots, tables
 from . import bindings as B
 from .registry import query
@@ -410,7 +409,7 @@ HISTORY_ORDER = "(l_orderkey, l_linenumber, l_extendedprice, l_suppkey)"
 
 
 def _history_rows(spark, sf):
-    obs = spread(B.observations(spark, sf), "l_orderkey", "l_linenumber")
+    obs = B.spread_observations(spark, sf)
     snapshot = F.concat(F.lit("listings_"), F.date_format("day", "dd_MM_yyyy"))
     return obs.select(
         "code",
@@ -448,7 +447,7 @@ def history_dedup(spark, sf):
 )
 def run_summary(spark, sf):
     rows = B.entities(spark, sf)
-    assigned, _ = resolve.deduplicate(rows, visual=False)
+    assigned, _, _ = resolve.deduplicate(rows, visual=False)
     clusters = assigned.select("cluster").distinct()
     return merge.run_summary(rows, clusters, "part", "2026-09-03")
 

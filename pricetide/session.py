@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,26 +35,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pri
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session of one process may do without: it gets a temporary folder that goes when Python ends.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="pricetide-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so an iterative job survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write a table several branches read, and continue from the columnar copy.
 
@@ -63,15 +64,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core for costly row work on an input of few files; larger inputs are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores, *keys)
+# Below so many rows a table read by few tasks is worth dealing out before costly work on each row.
+SPREAD_ROWS = 2_000_000
+
 
+def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for costly row work on a small input; larger ones have enough splits and are left alone.
 
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of everything the plan reads; an upper bound for any group inside it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    ``source`` is the table behind ``df``; counting its rows reads file footers only.
+    """
+    if source.count() > SPREAD_ROWS:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -1,4 +1,4 @@
-"""The binned route gives the same order statistics as the built-in one, whatever the skew."""
+"""Order statistics by prefix sums equal those of a sorted list, whatever the skew."""
 
 import random
 
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide.operators.metrics import auc_brier, spearman
-from pricetide.operators.ordered import Quantile, aggregate, average_ranks
+from pricetide.operators.ordered import FINE_BITS, Quantile, aggregate, average_ranks, fine_bin
 from pricetide.operators.rates import positional_sample
 
 
@@ -22,19 +22,48 @@ def skewed():
     return rows
 
 
-def test_binned_quantiles_equal_the_built_in(spark, skewed):
+def test_quantiles_equal_numpy(spark, skewed):
     df = spark.createDataFrame(skewed, "k string, v double")
-    quantiles = [Quantile(f"q{int(100 * p)}", F.col("v"), p) for p in (0.02, 0.25, 0.5, 0.9, 0.98)]
+    shares = (0.02, 0.25, 0.5, 0.9, 0.98)
+    quantiles = [Quantile(f"q{int(100 * p)}", F.col("v"), p) for p in shares]
     quantiles.append(Quantile("half", F.when(F.col("v") > 0, F.col("v") / 2)))
-    count = [F.count("*").alias("n")]
-    small = aggregate(df, ["k"], count, quantiles).toPandas().set_index("k")
-    large = aggregate(df, ["k"], count, quantiles, small_input=0).toPandas().set_index("k")
-    pd.testing.assert_frame_equal(small.sort_index(), large.sort_index()[small.columns], rtol=1e-12)
+    got = {r["k"]: r for r in aggregate(df, ["k"], [F.count("*").alias("n")], quantiles).collect()}
+    frame = pd.DataFrame(skewed, columns=["k", "v"]).astype({"v": float})
+    for k, r in got.items():
+        v = frame[frame.k.isna() if k is None else frame.k == k].v
+        assert r["n"] == len(v)
+        v = v.dropna()
+        for p in shares:
+            assert r[f"q{int(100 * p)}"] == (pytest.approx(np.quantile(v, p)) if len(v) else None)
+        half = v[v > 0] / 2
+        assert r["half"] == (pytest.approx(np.quantile(half, 0.5)) if len(half) else None)
 
 
-def test_binned_quantiles_without_groups(spark, skewed):
+def test_quantiles_and_ranks_of_nan_and_infinities(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, nan, nan, nan)] + [("b", v) for v in (-inf, -inf, 0.0, inf)] + [(None, v) for v in (5.0, inf)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in aggregate(df, ["k"], [], [Quantile("lo", F.col("v"), 0.25), Quantile("mid", F.col("v"), 0.5), Quantile("hi", F.col("v"), 0.75)]).collect()}
+    assert got["a"]["lo"] == 2.5 and got["a"]["mid"] == 4.0 and np.isnan(got["a"]["hi"])
+    assert got["b"]["lo"] == -inf and got["b"]["mid"] == -inf and got["b"]["hi"] == inf
+    assert got[None]["hi"] == inf
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("rows"))
+    ranks = {(r["k"], str(r["v"])): r["rank"] for r in average_ranks(counts, ["k"], "v").collect()}
+    assert ranks["a", "nan"] == 6.0 and ranks["b", "-inf"] == 1.5 and ranks["b", "inf"] == 4.0
+
+
+def test_densely_packed_values(spark):
+    """Values inside one coarse bin are told apart by fine bins."""
+    values = [300_000 + k / 100 for k in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    fine = df.select(fine_bin(F.col("v")).alias("f"), F.shiftright(fine_bin(F.col("v")), FINE_BITS).alias("c"))
+    assert fine.select("c").distinct().count() <= 2 and fine.select("f").distinct().count() > 200
+    assert aggregate(df, [], [], [Quantile("m", F.col("v"), 0.3)]).first()["m"] == pytest.approx(np.quantile(values, 0.3))
+
+
+def test_quantiles_without_groups(spark, skewed):
     df = spark.createDataFrame(skewed, "k string, v double")
-    got = aggregate(df, [], [F.count("*").alias("n")], [Quantile("m", F.col("v"))], small_input=0).first()
+    got = aggregate(df, [], [F.count("*").alias("n")], [Quantile("m", F.col("v"))]).first()
     values = [v for _, v in skewed if v is not None]
     assert got["n"] == len(skewed) and got["m"] == pytest.approx(float(np.median(values)))
 

@@ -28,7 +28,7 @@ def test_snapshots_drift_merge_and_history(spark, tmp_path):
     rows = write_snapshots(spark, str(tmp_path / "snap"))
     assert {str(r[0]) for r in rows.select("snapshot_date").distinct().collect()} == {"2026-03-01", "2026-04-01"}
     assert rows.filter("address IS NULL").count() == 2
-    merged = {r["code"]: r for r in merge_by_code(rows).collect()}
+    merged = {r["code"]: r for r in merge_by_code(rows)[0].collect()}
     assert set(merged) == {"C-1", "P-1"}  # equal numbers under different prefixes stay apart
     c1 = merged["C-1"]
     # newest filled value of each field, first insert date
