@@ -37,9 +37,9 @@ from .suffix_array import repeats, suffix_array
 
 LENGTH = 400
 GRAM = 128
-CHUNK = 2 << 20
-GROUP_BYTES = 4 << 20
-BLOCK_BYTES = 3 << 20
+CHUNK = 1 << 20
+GROUP_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 PLACE_BITS = 28
 
 
