@@ -90,8 +90,8 @@ def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> tuple[Dat
     return records, code_origins(listings)
 
 
-def price_history(listings: DataFrame, order: Column) -> DataFrame:
-    """One price per (code, day, source file); the last row by ``order`` wins."""
+def price_history(listings: DataFrame, order: Column, keep_order: bool = False) -> DataFrame:
+    """One price per (code, day, source file); the last row by ``order`` wins, and may stay as ``order_key``."""
     rows = with_code(listings)
     day = collection_date(F.col("source_db"), F.col("updated_at"), F.col("inserted_at"))
     area = F.coalesce(F.nullif("area_private", F.lit(0.0)), F.nullif("area_total", F.lit(0.0)))
@@ -104,15 +104,18 @@ def price_history(listings: DataFrame, order: Column) -> DataFrame:
         rows.withColumn("day", day)
         .filter("day IS NOT NULL")
         .groupBy("code", "day", F.coalesce("source_db", F.lit("")).alias("source_db"))
-        .agg(F.max_by(picked, order).alias("p"))
-        .select("code", "day", "p.price", "p.price_m2", "p.source_id", "source_db")
+        .agg(F.max_by(picked, order).alias("p"), F.max(order).alias("order_key"))
+        .select("code", "day", "p.price", "p.price_m2", "p.source_id", "source_db", *(["order_key"] if keep_order else []))
     )
 
 
 def upsert_latest(
-    rows: DataFrame, order: Column, collected_at: Column, prefix: str = "", default_city: str | None = None
+    rows: DataFrame, order: Column, collected_at: Column, prefix: str = "", default_city: str | None = None, keep_order: bool = False
 ) -> DataFrame:
-    """Newest row per id wins every field, the first insert date survives; rows without id are dropped."""
+    """Newest row per id by ``order`` wins every field, the first insert date survives; rows without id are dropped.
+
+    ``keep_order``: the winner's place in the order stays as ``order_key``, so that later batches can be compared with it.
+    """
     keyed = rows.filter("id IS NOT NULL AND id <> ''").withColumn("id", F.concat(F.lit(prefix), F.col("id")))
     if default_city is not None:
         keyed = keyed.withColumn("city", F.coalesce(F.nullif("city", F.lit("")), F.lit(default_city)))
@@ -123,23 +126,21 @@ def upsert_latest(
             F.max_by(F.struct(*fields), order).alias("r"),
             F.min(collected_at).alias("inserted_at"),
             F.max(collected_at).alias("updated_at"),
+            F.max(order).alias("order_key"),
         )
-        .select("id", "r.*", "inserted_at", "updated_at")
+        .select("id", "r.*", "inserted_at", "updated_at", *(["order_key"] if keep_order else []))
     )
 
 
-def merge_upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Fold an already upserted batch into the stored table, keeping first insert dates."""
-    fields = [c for c in current.columns if c not in ("id", "inserted_at", "updated_at")]
-    both = current.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
-    return (
-        both.groupBy("id")
-        .agg(
-            F.max_by(F.struct(*fields, "updated_at"), F.struct("updated_at", "__new")).alias("r"),
-            F.min("inserted_at").alias("inserted_at"),
-        )
-        .select("id", *[f"r.{f}" for f in fields], "inserted_at", "r.updated_at")
+def merge_latest(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row per key as one: the larger ``order_key`` wins, first and last dates of either survive."""
+    dates = {"inserted_at": F.min("inserted_at"), "updated_at": F.max("updated_at")}
+    dates = {c: agg.alias(c) for c, agg in dates.items() if c in current.columns}
+    fields = [c for c in current.columns if c not in (*keys, *dates, "order_key")]
+    merged = current.unionByName(batch).groupBy(*keys).agg(
+        F.max_by(F.struct(*fields), "order_key").alias("r"), *dates.values(), F.max("order_key").alias("order_key")
     )
+    return merged.select(*keys, *[f"r.{f}" for f in fields], *dates, "order_key").select(*current.columns)
 
 
 def replace_latest(rows: DataFrame, key: str, order: Column) -> DataFrame:

@@ -1,27 +1,35 @@
-"""Incremental twins of the upsert and the price history."""
+"""Incremental twins of the upsert and the price history: raw rows in shuffled deliveries, some of them twice."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.merge import price_history
 from ..streaming import ingest
 from . import bindings as B
 from .q_sources import _event_rows, _history_rows
 from .registry import ORACLES, query
 
+DELIVERIES = 6
 UPSERT_COLUMNS = ("id", "price", "district", "city", "rooms", "inserted_at", "updated_at")
 
 
+def _deliver(rows: DataFrame, folder: str, *key: str) -> DataFrame:
+    """Files of rows of all ages and ties in any order; a sixth of the rows is delivered again with the next file."""
+    place = F.pmod(F.xxhash64(*key), F.lit(DELIVERIES))
+    first = rows.withColumn("delivery", place)
+    again = first.where("delivery = 0").withColumn("delivery", F.lit(1).cast("long"))
+    first.unionByName(again).repartition(DELIVERIES, "delivery").write.partitionBy("delivery").parquet(folder)
+    return rows
+
+
 @query("stream_upsert", ORACLES["upsert_latest"])
 def stream_upsert(spark, sf):
-    """Events replayed as one file set per day, folded batch by batch."""
+    """Events in shuffled deliveries, folded batch by batch."""
     source, target, state = (B.shared_folder(spark, f"stream-{n}") for n in ("in", "out", "state"))
-    events = _event_rows(spark, sf).withColumn("city", F.when(F.col("city") == "", "Chapecó").otherwise(F.col("city")))
-    events.withColumn("d", F.to_date("ts")).repartition("d").sortWithinPartitions("ts").write.partitionBy("d").parquet(source)
-    stream = ingest.snapshot_stream(spark, source, events.schema, "*.parquet")
-    run = ingest.start_upsert(stream, target, state, F.struct("ts", "event_id"), F.col("ts"), "SM-")
-    run.awaitTermination()
+    events = _deliver(_event_rows(spark, sf), source, "event_id")
+    stream = ingest.snapshot_stream(spark, source, events.schema, "*.parquet", files_per_trigger=2)
+    ingest.start_upsert(stream, target, state, F.struct("ts", "event_id"), F.col("ts"), "SM-", "Chapecó").awaitTermination()
     out = ingest.latest_version(spark, target)
     stamp = "yyyy-MM-dd HH:mm:ss"
     return out.withColumns({c: F.date_format(c, stamp) for c in ("inserted_at", "updated_at")}).select(*UPSERT_COLUMNS)
@@ -29,14 +37,9 @@ def stream_upsert(spark, sf):
 
 @query("stream_history", ORACLES["history_dedup"])
 def stream_history(spark, sf):
-    """Daily deliveries appended once per (code, day, source); repeats of a delivery are dropped."""
+    """Raw observations of seven years in shuffled deliveries; the last by order wins, whenever it arrives."""
     source, target, state = (B.shared_folder(spark, f"history-{n}") for n in ("in", "out", "state"))
-    rows = _history_rows(spark, sf)
-    # A delivery is what the batch job would keep of it, and every delivery arrives twice.
-    history = price_history(rows, F.col("order")).withColumn("seen_at", F.col("day").cast("timestamp"))
-    deliveries = history.unionAll(history)
-    deliveries.write.parquet(source)
-    stream = ingest.snapshot_stream(spark, source, deliveries.schema, "*.parquet")
-    run = ingest.start_history(stream, target, state, ["code", "day", "source_db"], "seen_at")
-    run.awaitTermination()
-    return spark.read.parquet(target).drop("seen_at").withColumn("day", F.col("day").cast("string"))
+    rows = _deliver(_history_rows(spark, sf), source, "order")
+    stream = ingest.snapshot_stream(spark, source, rows.schema, "*.parquet", files_per_trigger=2)
+    ingest.start_history(stream, target, state, F.col("order")).awaitTermination()
+    return ingest.latest_version(spark, target).withColumn("day", F.col("day").cast("string"))

@@ -1,14 +1,24 @@
-"""Incremental snapshot ingest with the results of its batch twins."""
+"""Incremental snapshot ingest with the results of its batch twins.
+
+A table of one row per key lies in hash buckets. A batch reads and rewrites the buckets it has rows for, nothing else, under
+its own number; a small map says which batch holds each bucket, and a pointer which map is current. A replayed batch reads
+the map before its own and writes the same files again. Rows keep their place in the caller's order, so equal stamps, late
+rows and rows years old end where one batch over everything would put them; nothing is dropped by age.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.merge import merge_upsert, upsert_latest
+from ..operators.merge import merge_latest, price_history, upsert_latest
+
+BUCKETS = 64
 
 
 def snapshot_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*", files_per_trigger: int = 8) -> DataFrame:
@@ -22,46 +32,56 @@ def snapshot_stream(spark: SparkSession, folder: str, schema: StructType, patter
     )
 
 
-def _previous(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _map_path(target: str, batch_id: int) -> str:
+    return f"{target}/maps/batch={batch_id}"
 
 
-def start_upsert(stream: DataFrame, target: str, checkpoint: str, order: Column, collected_at: Column, prefix: str = "") -> StreamingQuery:
-    """Fold every micro-batch into a versioned table under ``target``.
+def _rows(spark: SparkSession, target: str, holders: dict[int, int], schema: StructType) -> DataFrame:
+    paths = [f"{target}/rows/batch={batch}/bucket={bucket}" for bucket, batch in sorted(holders.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-    A batch writes version ``batch_id`` from the version before it, so a replayed batch rewrites
-    the same version and the result does not depend on retries.
+
+def start_keyed(
+    stream: DataFrame, target: str, checkpoint: str, keys: list[str], reduce: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Fold every micro-batch into a table of one row per key.
+
+    ``reduce`` turns a batch into one row per key with an ``order_key``. Only the first batch of a checkpoint may start from
+    nothing; a later one that cannot read its predecessor's map fails.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = upsert_latest(batch, order, collected_at, prefix)
-        before = _previous(spark, f"{target}/version={batch_id - 1}") if batch_id > 0 else None
-        if before is not None:
-            fresh = merge_upsert(before, fresh)
-        fresh.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        fresh = reduce(batch).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        schema = fresh.drop("bucket").schema
+        known = {} if batch_id == 0 else dict(spark.read.parquet(_map_path(target, batch_id - 1)).select("bucket", "holder").collect())
+        touched = {r[0] for r in fresh.select("bucket").distinct().collect()}
+        before = _rows(spark, target, {b: known[b] for b in touched & set(known)}, schema)
+        merged = merge_latest(before, fresh.drop("bucket"), keys)
+        merged = merged.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/rows/batch={batch_id}")
+        fresh.unpersist()
+        now = known | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(now.items()), "bucket int, holder long").coalesce(1).write.mode("overwrite").parquet(_map_path(target, batch_id))
+        pointer = spark.createDataFrame([(batch_id, schema.json())], "batch long, schema string")
+        pointer.coalesce(1).write.mode("overwrite").parquet(f"{target}/current")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version of the upserted table."""
-    versions = spark.read.parquet(target)
-    newest = versions.select(F.max("version")).scalar()
-    return versions.withColumn("__newest", newest).filter("version = __newest").drop("__newest", "version")
+def start_upsert(stream: DataFrame, target: str, checkpoint: str, order: Column, collected_at: Column, prefix: str = "", default_city: str | None = None) -> StreamingQuery:
+    """``upsert_latest`` over everything that has arrived."""
+    return start_keyed(stream, target, checkpoint, ["id"], lambda rows: upsert_latest(rows, order, collected_at, prefix, default_city, keep_order=True))
 
 
-def start_history(stream: DataFrame, target: str, checkpoint: str, keys: list[str], event_time: str, delay: str = "3650 days") -> StreamingQuery:
-    """Append one row per key; repeats inside the watermark delay are dropped by the state store."""
-    once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-    return (
-        once.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def start_history(stream: DataFrame, target: str, checkpoint: str, order: Column) -> StreamingQuery:
+    """``price_history`` over everything that has arrived."""
+    keys = ["code", "day", "source_db"]
+    return start_keyed(stream, target, checkpoint, keys, lambda rows: price_history(rows, order, keep_order=True))
+
+
+def latest_version(spark: SparkSession, target: str) -> DataFrame:
+    """The current rows of a table kept by ``start_keyed``."""
+    batch, schema = spark.read.parquet(f"{target}/current").first()
+    holders = dict(spark.read.parquet(_map_path(target, batch)).select("bucket", "holder").collect())
+    return _rows(spark, target, holders, StructType.fromJson(json.loads(schema))).drop("order_key")

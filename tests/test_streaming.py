@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from pricetide.operators.merge import upsert_latest
+from pricetide.operators.merge import price_history, upsert_latest
 from pricetide.streaming import ingest
 
 SCHEMA = "id string, price double, district string, ts timestamp, seq int"
@@ -26,11 +28,43 @@ def test_upsert_in_small_batches_equals_one_batch(spark, tmp_path):
     assert got.count() == 4
 
 
-def test_history_drops_repeated_deliveries(spark, tmp_path):
-    df = spark.createDataFrame([("a", "2026-03-01", "f1", 1.0), ("a", "2026-04-01", "f2", 2.0), ("b", "2026-03-01", "f1", 3.0)], "code string, day string, source_db string, price double")
-    df = df.withColumn("seen_at", F.to_timestamp("day"))
-    for _ in range(2):
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def test_equal_stamps_follow_the_callers_order(spark, tmp_path):
+    df = spark.createDataFrame([("a", 5.0, "x", 5), ("a", 3.0, "y", 3)], "id string, price double, district string, seq int")
+    df = df.withColumn("ts", F.lit("2026-03-01").cast("timestamp"))
+    for seq in (5, 3):
+        df.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.snapshot_stream(spark, str(tmp_path / "in"), df.schema, "*.parquet", files_per_trigger=1)
+    ingest.start_upsert(stream, str(tmp_path / "out"), str(tmp_path / "state"), F.struct("ts", "seq"), F.col("ts")).awaitTermination()
+    assert ingest.latest_version(spark, str(tmp_path / "out")).first()["price"] == 5.0
+
+
+HISTORY = "code string, id string, price double, area_total double, area_private double, source_db string, updated_at string, inserted_at string, seq int"
+
+
+def test_history_keeps_old_rows_and_the_last_of_repeats(spark, tmp_path):
+    random.seed(9)
+    rows = [("", f"{random.choice('ab')}", float(k), 2.0, 0.0, "f", "", f"{random.choice([1999, 2010, 2026])}-03-0{random.randint(1, 3)}T08:00:00", k) for k in range(40)]
+    df = spark.createDataFrame(rows, HISTORY)
+    for part in random.sample(range(5), 5):
+        df.filter(F.col("seq") % 5 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = ingest.snapshot_stream(spark, str(tmp_path / "in"), df.schema, "*.parquet", files_per_trigger=1)
-    ingest.start_history(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["code", "day", "source_db"], "seen_at").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    ingest.start_history(stream, str(tmp_path / "out"), str(tmp_path / "state"), F.col("seq")).awaitTermination()
+    got = ingest.latest_version(spark, str(tmp_path / "out")).collect()
+    want = price_history(df, F.col("seq")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 10
+
+
+def test_a_lost_predecessor_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0, "x", 1)], "id string, price double, district string, seq int").withColumn("ts", F.lit("2026-03-01").cast("timestamp"))
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+
+    def run(target):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.snapshot_stream(spark, str(tmp_path / "in"), df.schema, "*.parquet")
+        ingest.start_upsert(stream, target, state, F.struct("ts", "seq"), F.col("ts")).awaitTermination()
+
+    run(out)
+    with pytest.raises(StreamingQueryException):
+        run(str(tmp_path / "elsewhere"))
+    run(out)
+    assert ingest.latest_version(spark, out).count() == 1
