@@ -11,9 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import textbatch as tb
-
-
 def _types(text: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than their right neighbour (S); the last one counts as such."""
     n = len(text)
@@ -102,6 +99,31 @@ def _sort_names(names: np.ndarray, steps: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def _four_at_once(text: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text with zeros after it, and the four symbols from each position as one number."""
+    wide = np.zeros(len(text) + more + 8, np.uint16)
+    wide[: len(text)] = text
+    return wide, np.ndarray(shape=(len(wide) - 4,), dtype=np.uint64, buffer=wide.data, strides=(2,))
+
+
+def _differ(text: np.ndarray, ordered: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For LMS substrings in order, whether each differs from the one before it."""
+    _, fours = _four_at_once(text, 4)
+    out = np.zeros(len(ordered), bool)
+    length = ends[ordered] - ordered
+    out[1:] = length[1:] != length[:-1]
+    live = np.flatnonzero(~out[1:]) + 1
+    done = 0
+    while len(live):
+        left = length[live] - done
+        away = fours[ordered[live] + done] ^ fours[ordered[live - 1] + done]
+        away &= np.where(left >= 4, np.uint64(2**64 - 1), (np.uint64(1) << (16 * np.minimum(left, 3)).astype(np.uint64)) - np.uint64(1))
+        out[live[away != 0]] = True
+        done += 4
+        live = live[(away == 0) & (left > 4)]
+    return out
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """``text``: uint16 symbols that end with the only 0. Suffixes in the order of their first ``depth`` symbols."""
     smaller = _types(text)
@@ -115,13 +137,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         ordered = first[flag[first]]
         ends = np.empty(len(text), np.int32)
         ends[lms] = np.append(lms[1:], lms[-1]) + 1
-        code = tb.mixed(np.arange(len(sizes), dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
-        prefix = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(code[text] * tb.powers(tb.BASE, len(text)), out=prefix[1:])
-        content = tb.span_hash(prefix, ordered, ends[ordered])
-        del prefix, first
+        del first
         name = np.empty(len(text), np.int32)
-        name[ordered] = np.concatenate(([0], np.cumsum(content[1:] != content[:-1])))
+        name[ordered] = np.cumsum(_differ(text, ordered, ends), dtype=np.int32)
         lms = lms[_sort_names(name[lms], int(np.ceil(np.log2(max(2, depth / 2)))))]
     return induce(text, lms, sizes)
 
@@ -147,14 +165,12 @@ def repeats(text: np.ndarray, sa: np.ndarray, length: int, place: np.ndarray | N
     stop = np.minimum.accumulate(stop[::-1])[::-1]
     ends = np.flatnonzero(last & same)
     tail = np.zeros(n, np.int32)
-    wide = np.zeros(n + length + 16, np.uint16)
-    wide[:n] = text
+    wide, fours = _four_at_once(text, length + 8)
     at, to = ends + 1, before[ends] + 1
-    eight = np.ndarray(shape=(len(wide) - 4,), dtype=np.uint64, buffer=wide.data, strides=(2,))
     live = np.arange(len(ends))
     done = 0
     while len(live) and done < length:
-        equal = eight[at[live] + done] == eight[to[live] + done]
+        equal = fours[at[live] + done] == fours[to[live] + done]
         stopped = live[~equal]
         for k in range(4):
             a, b = at[stopped] + done + k, to[stopped] + done + k
@@ -169,6 +185,7 @@ def repeats(text: np.ndarray, sa: np.ndarray, length: int, place: np.ndarray | N
     long = (np.where(same[stop], run + 1 + tail[stop], run) >= length) & has
     joined = long[sa]  # to the one before it in the suffix array
     heads = np.flatnonzero(~joined)
+    del before, same, last, stop, tail, run, long
     names = (np.arange(n, dtype=np.uint64) if place is None else place)[sa]
     several = np.minimum.reduceat(names, heads) != np.maximum.reduceat(names, heads)
     out = np.zeros(n, bool)
