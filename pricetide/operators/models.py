@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -54,14 +56,19 @@ def regressors(trees: int = 400, rounds: int = 500, seed: int = SEED) -> dict[st
     """Candidate factories; the boosted and forest sizes are the published ones unless given."""
     return {
         "linear": lambda: LinearRegression(regParam=0.0, maxIter=100),
-        # A closed-form ridge; 5.0 is the penalty on the sum of squares, MLlib averages it over rows.
+        # The ridge penalty is stated on the sum of squares, the lasso's on its half mean; see ``penalised``.
         "ridge": lambda: LinearRegression(regParam=5.0, elasticNetParam=0.0, solver="auto"),
         "lasso": lambda: LinearRegression(regParam=0.0005, elasticNetParam=1.0, maxIter=200),
-        "forest": lambda: RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, maxDepth=12, seed=seed),
+        "forest": lambda: forest(trees, 2, seed),
         "boosting": lambda: GBTRegressor(maxIter=rounds, stepSize=0.05, maxDepth=3, seed=seed),
     }
 
 
+def forest(trees: int, min_rows: int, seed: int = SEED) -> RandomForestRegressor:
+    """Every split looks at all features; trees grow to the depth limit of the implementation."""
+    return RandomForestRegressor(numTrees=trees, minInstancesPerNode=min_rows, maxDepth=30, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed)
+
+
 @dataclass(frozen=True)
 class Candidate:
     """A regressor, the scale of its target and what it looks at."""
@@ -112,34 +119,57 @@ class Fitted:
         return scored.select(*df.columns, out)
 
 
-def _rows_matter(estimator, rows: int):
-    """Ridge and lasso penalties are stated for a sum of squares; MLlib minimises its mean."""
-    if isinstance(estimator, LinearRegression) and estimator.getElasticNetParam() == 0.0 and estimator.getRegParam() > 0:
-        return estimator.copy({estimator.regParam: estimator.getRegParam() / max(rows, 1)})
-    return estimator
+def penalised(estimator, frame: DataFrame, label: str):
+    """The estimator with its penalty in the terms of its optimiser.
+
+    The optimiser averages the loss over rows and divides it by the label's variance, the squared penalty by the standard
+    deviation only; a ridge penalty on the sum of squares is therefore alpha * sd(label) / n. Coefficients are penalised on
+    the scale of the given features, so one-hot columns are not scaled once more.
+    """
+    if not isinstance(estimator, LinearRegression) or estimator.getRegParam() == 0.0:
+        return estimator
+    changes = {estimator.standardization: False}
+    if estimator.getElasticNetParam() == 0.0:
+        n, sd = frame.agg(F.count(label), F.stddev_pop(label)).first()
+        changes[estimator.regParam] = estimator.getRegParam() * (sd or 0.0) / max(n, 1)
+    return estimator.copy(changes)
+
+
+def _features(train: DataFrame, candidate: Candidate) -> PipelineModel:
+    return Pipeline(stages=feature_stages(candidate.numeric, candidate.categorical)).fit(impute(train, candidate.numeric, candidate.categorical))
 
 
-def fit(train: DataFrame, candidate: Candidate, factories: dict[str, Callable], price: str = "price") -> Fitted:
-    """Fit one candidate on its target scale."""
+def fit(train: DataFrame, candidate: Candidate, factories: dict[str, Callable], price: str = "price", features: PipelineModel | None = None) -> Fitted:
+    """Fit one candidate on its target scale; ``features`` are its feature stages if they are fitted already."""
+    features = features or _features(train, candidate)
     frame = impute(train, candidate.numeric, candidate.categorical).withColumn("__y", target_column(candidate.target, price))
-    estimator = factories[candidate.model]()
-    if isinstance(estimator, LinearRegression):
-        estimator = _rows_matter(estimator, frame.count())
+    estimator = penalised(factories[candidate.model](), frame, "__y")
     estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "__y"})
-    stages = feature_stages(candidate.numeric, candidate.categorical)
-    return Fitted(candidate, Pipeline(stages=[*stages, estimator]).fit(frame))
+    return Fitted(candidate, PipelineModel(stages=[*features.stages, estimator.fit(features.transform(frame))]))
 
 
 # ---------------------------------------------------------------- comparison
-def out_of_fold(train: DataFrame, candidates: list[Candidate], factories: dict[str, Callable], fold: str = "fold", price: str = "price") -> DataFrame:
-    """Predictions of every candidate for rows of the fold it did not see, as (…, model, y_pred)."""
+def out_of_fold(
+    train: DataFrame, candidates: list[Candidate], factories: dict[str, Callable], fold: str = "fold", price: str = "price", parallelism: int = 4
+) -> DataFrame:
+    """Predictions of every candidate for rows of the fold it did not see, as (…, model, y_pred).
+
+    Candidates that look at the same columns share a fold's fitted feature stages; ``parallelism`` fits run at a time.
+    """
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())
-    parts = []
-    for candidate in candidates:
-        for k in folds:
-            fitted = fit(train.filter(F.col(fold) != k), candidate, factories, price)
-            held = fitted.predict(train.filter(F.col(fold) == k))
-            parts.append(held.withColumn("model", F.lit(candidate.name)))
+    shared = {(k, c.numeric, c.categorical): c for k in folds for c in candidates}
+
+    def stages(key):
+        return key, _features(train.filter(F.col(fold) != key[0]), shared[key])
+
+    def one(task):
+        candidate, k = task
+        fitted = fit(train.filter(F.col(fold) != k), candidate, factories, price, ready[k, candidate.numeric, candidate.categorical])
+        return fitted.predict(train.filter(F.col(fold) == k)).withColumn("model", F.lit(candidate.name))
+
+    with ThreadPool(parallelism) as pool:
+        ready = dict(pool.map(inheritable_thread_target(stages), shared))
+        parts = pool.map(inheritable_thread_target(one), [(c, k) for c in candidates for k in folds])
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -267,7 +297,8 @@ GROWTH_NUMERIC = (
 def fit_growth(train: DataFrame, estimator, numeric=GROWTH_NUMERIC, target: str = "target") -> PipelineModel:
     """Expected log growth over the horizon."""
     frame = impute(train, numeric)
-    est = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: target})
+    est = penalised(estimator, frame, target)
+    est = est.copy({est.featuresCol: "features", est.labelCol: target})
     return Pipeline(stages=[*feature_stages(numeric), est]).fit(frame)
 
 
@@ -275,9 +306,19 @@ def predict_growth(model: PipelineModel, df: DataFrame, numeric=GROWTH_NUMERIC,
     return model.transform(impute(df, numeric)).withColumn(out, F.col("prediction")).select(*df.columns, out)
 
 
-def classifiers(rounds: int = 100, seed: int = SEED) -> dict[str, Callable]:
+def growth_regressors(trees: int = 300, rounds: int = 300, seed: int = SEED) -> dict[str, Callable]:
+    """Candidates for the expected growth, with the published sizes unless given."""
+    return {
+        "ridge": lambda: LinearRegression(regParam=10.0, elasticNetParam=0.0),
+        "forest": lambda: forest(trees, 10, seed),
+        "boosting": lambda: GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.05, seed=seed),
+    }
+
+
+def classifiers(rounds: int = 300, seed: int = SEED) -> dict[str, Callable]:
+    """Candidates for the price cut; the logistic penalty is one half of the squared coefficients beside the summed loss."""
     return {
-        "logistic": lambda: LogisticRegression(maxIter=100, regParam=0.0),
+        "logistic": lambda: LogisticRegression(maxIter=100, regParam=1.0, standardization=False),
         "boosting": lambda: GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=3, seed=seed),
     }
 
@@ -285,6 +326,8 @@ def classifiers(rounds: int = 100, seed: int = SEED) -> dict[str, Callable]:
 def fit_price_cut(train: DataFrame, estimator, band: float = 0.005, numeric=GROWTH_NUMERIC) -> PipelineModel:
     """Probability that the price falls by more than the band."""
     frame = impute(train, numeric).withColumn("label", (F.col("target") < -band).cast("double"))
+    if isinstance(estimator, LogisticRegression):
+        estimator = estimator.copy({estimator.regParam: estimator.getRegParam() / max(frame.count(), 1)})
     est = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "label"})
     return Pipeline(stages=[*feature_stages(numeric), est]).fit(frame)
 
@@ -309,7 +352,7 @@ def macro_candidates(trees: int = 300, rounds: int = 200, seed: int = SEED) -> d
     return {
         "linear": lambda: LinearRegression(regParam=0.0),
         "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
-        "forest": lambda: RandomForestRegressor(numTrees=trees, minInstancesPerNode=5, seed=seed),
+        "forest": lambda: forest(trees, 5, seed),
         "boosting": lambda: GBTRegressor(maxIter=rounds, maxDepth=2, stepSize=0.05, seed=seed),
     }
 
@@ -326,9 +369,8 @@ def macro_forecasts(split: DataFrame, features: list[str], factories: dict[str,
     for cut in cuts:
         rows = usable.filter(F.col("cut") == F.lit(cut))
         train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-        n = train.count()
         for name, make in factories.items():
-            estimator = _rows_matter(make(), n)
+            estimator = penalised(make(), train, "target")
             estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "target"})
             model = Pipeline(stages=[*stages, estimator]).fit(train)
             parts.append(model.transform(test).select(*rows.columns, "prediction").withColumn("model", F.lit(name)))

@@ -1,4 +1,8 @@
-"""Price, growth and macro models. Forest and boosting sizes are small so that checks stay quick."""
+"""Price, growth and macro models.
+
+``rf_regression`` and ``gbt_regression`` train at the published sizes. Comparisons of many candidates train smaller forests
+and fewer boosting rounds (``SMALL``), on all rows, folds and kinds: at the published sizes one of them takes an hour.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,9 @@ from .q_index import FEATURES, PAST_YEARS, embargoed, macro
 from .q_panel import TEST_MONTHS, month_text
 from .registry import query
 
-FACTORIES = models.regressors(trees=20, rounds=10)
-SEGMENTS = ("ECONOMY", "PROMO")
-FOLDS = 3
+PUBLISHED = models.regressors()
+SMALL = models.regressors(trees=20, rounds=10)
+FOLDS = 5
 
 
 def listings(spark, sf) -> DataFrame:
@@ -60,9 +63,14 @@ def scores(df: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.regression_metrics(both, by, "price").join(metrics.percentage_error(both, by, "price").drop("n"), by)
 
 
+def kinds(rows: DataFrame) -> list[str]:
+    """The kinds the data holds, one segment each."""
+    return sorted(r[0] for r in rows.select("kind").distinct().collect())
+
+
 def _single(spark, sf, model: str, target: str = "price") -> DataFrame:
     rows = prepared(spark, sf)
-    fitted = models.fit(rows.filter("part = 'train'"), models.Candidate(model, target), FACTORIES)
+    fitted = models.fit(rows.filter("part = 'train'"), models.Candidate(model, target), PUBLISHED)
     return scores(fitted.predict(rows.filter("part = 'test'")), ["kind"])
 
 
@@ -110,7 +118,8 @@ def per_area_target(spark, sf):
     return _single(spark, sf, "ridge", "per_area")
 
 
-CANDIDATES = [models.Candidate(m, t) for t in ("price", "log") for m in ("ridge", "forest")]
+CANDIDATES = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge", "lasso", "forest", "boosting")]
+BY_KIND = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge")] + [models.Candidate("forest")]
 
 
 def _segment(rows: DataFrame, kind: str, part: str) -> DataFrame:
@@ -121,7 +130,7 @@ def _segment(rows: DataFrame, kind: str, part: str) -> DataFrame:
 def cv_leaderboard(spark, sf):
     """Candidates ranked by out-of-fold predictions of the train part."""
     train = prepared(spark, sf).filter("part = 'train'")
-    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, FACTORIES))
+    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, SMALL))
     return board.orderBy("mae", "rmse")
 
 
@@ -130,7 +139,7 @@ def grid_search(spark, sf):
     """A small grid by cross-validation, and the winner on the test part."""
     rows = prepared(spark, sf)
     best, tried = models.grid_search(
-        rows.filter("part = 'train'"), "forest", {"maxDepth": [4, 8], "numTrees": [10]}, FACTORIES, folds=FOLDS
+        rows.filter("part = 'train'"), "forest", {"maxDepth": [4, 8], "numTrees": [10]}, SMALL, folds=FOLDS
     )
     table = spark.createDataFrame([("cv", str(p), float(s)) for p, s in tried], "stage string, parameters string, mae double")
     test = scores(best.predict(rows.filter("part = 'test'")), [])
@@ -140,7 +149,7 @@ def grid_search(spark, sf):
 def _ensemble(spark, sf, metric: str, tie: str):
     rows = prepared(spark, sf)
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, FACTORIES))
+    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, SMALL))
     weights = models.inverse_weights(models.top_members(board, metric, tie))
     return train, test, weights
 
@@ -149,7 +158,7 @@ def _ensemble(spark, sf, metric: str, tie: str):
 def weighted_ensemble(spark, sf):
     """Best three candidates weighted by 1 / MAE, scored on the untouched test part."""
     train, test, weights = _ensemble(spark, sf, "mae", "rmse")
-    members = models.fit_ensemble(train, weights, CANDIDATES, FACTORIES)
+    members = models.fit_ensemble(train, weights, CANDIDATES, SMALL)
     return scores(models.predict_weighted(test, members), ["kind"])
 
 
@@ -157,7 +166,7 @@ def weighted_ensemble(spark, sf):
 def mdape_ensemble(spark, sf):
     """Weights by 1 / MdAPE; the ensemble competes with its members on the same out-of-fold rows."""
     train = prepared(spark, sf).filter("part = 'train'")
-    held = stored(models.out_of_fold(train, CANDIDATES, FACTORIES).select("entity", "price", "model", "y_pred"))
+    held = stored(models.out_of_fold(train, CANDIDATES, SMALL).select("entity", "price", "model", "y_pred"))
     board = models.cv_leaderboard(held)
     weights = models.inverse_weights(models.top_members(board, "mdape", "mae"))
     mixed = models.combine(held, weights, ["entity", "price"]).withColumn("model", F.lit("ensemble"))
@@ -170,7 +179,7 @@ def mdape_ensemble(spark, sf):
 def median_ensemble(spark, sf):
     rows = prepared(spark, sf)
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    members = [models.fit(train, models.Candidate(m), FACTORIES) for m in ("boosting", "forest", "ridge")]
+    members = [models.fit(train, models.Candidate(m), SMALL) for m in ("boosting", "forest", "ridge")]
     return scores(models.predict_median(test, members), ["kind"])
 
 
@@ -182,9 +191,9 @@ def _train_segments(spark, sf, refit: bool = False):
         everything = clean.price_per_area_column(listings(spark, sf)).withColumn("part", F.lit("train"))
         final = stored(clean.leakfree_prepare(everything, ["kind"]))
     out = []
-    for kind in SEGMENTS:
+    for kind in kinds(rows):
         everything = final.filter(F.col("kind") == kind) if refit else None
-        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES[:2], FACTORIES))
+        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, BY_KIND, SMALL))
     return rows, out
 
 
@@ -227,7 +236,7 @@ def leaderboard_table(spark, sf):
 @query("cleaning_scenarios")
 def cleaning_scenarios(spark, sf):
     """Four ways to clean and fit, all measured on one common test set."""
-    rows = clean.price_per_area_column(listings(spark, sf).filter(F.col("kind").isin(*SEGMENTS)))
+    rows = clean.price_per_area_column(listings(spark, sf))
     split = clean.holdout_split(rows, "entity")
     fences = clean.learn_iqr(split.filter("part = 'train'"), by=["kind"])
     marked = stored(clean.mark_iqr(split, fences, by=["kind"]))
@@ -235,10 +244,10 @@ def cleaning_scenarios(spark, sf):
     plain, log = models.Candidate("ridge"), models.Candidate("ridge", "log")
 
     def one(name, frame, candidate):
-        return models.fit(frame, candidate, FACTORIES).predict(test).withColumn("scenario", F.lit(name))
+        return models.fit(frame, candidate, SMALL).predict(test).withColumn("scenario", F.lit(name))
 
     split_models = [
-        models.fit(train.filter(F.col("kind") == k), plain, FACTORIES).predict(test.filter(F.col("kind") == k)) for k in SEGMENTS
+        models.fit(train.filter(F.col("kind") == k), plain, SMALL).predict(test.filter(F.col("kind") == k)) for k in kinds(marked)
     ]
     parts = [
         one("1 single model", train, plain),
@@ -258,7 +267,7 @@ def variant_experiment(spark, sf):
     parts = []
     for variant in ("base", "district", "m2", "district+m2", "inflation"):
         train, test, target, numeric = models.variant_frames(rows.filter("part = 'train'"), rows.filter("part = 'test'"), variant)
-        fitted = models.fit(train, models.Candidate("ridge", target, numeric), FACTORIES)
+        fitted = models.fit(train, models.Candidate("ridge", target, numeric), SMALL)
         scored = fitted.predict(test)
         if variant == "inflation":
             scored = scored.withColumn("y_pred", F.col("y_pred") / F.col("inflation_factor"))
@@ -284,7 +293,7 @@ NUMERIC_YEAR = (*models.NUMERIC_COLUMNS, "year")
 def backcast_training(spark, sf):
     """Real and simulated rows in grouped folds; errors count real rows only."""
     train, _ = _backcast_rows(spark, sf)
-    held = models.out_of_fold(train, [models.Candidate("ridge", "log", NUMERIC_YEAR)], FACTORIES)
+    held = models.out_of_fold(train, [models.Candidate("ridge", "log", NUMERIC_YEAR)], SMALL)
     return models.cv_leaderboard(held.filter("simulated = 0"), ["kind"])
 
 
@@ -292,7 +301,7 @@ def backcast_training(spark, sf):
 def implied_past(spark, sf):
     """Annual rate a model trained on the back-cast implies for past years."""
     train, test = _backcast_rows(spark, sf)
-    member = models.fit(train, models.Candidate("ridge", "log", NUMERIC_YEAR), FACTORIES)
+    member = models.fit(train, models.Candidate("ridge", "log", NUMERIC_YEAR), SMALL)
     years = [y + 5.5 / 12.0 for y in (1996, 2000)]
     out = models.implied_past(test, [member], years)
     return distribution(out, ["kind", "year"], "annual_pct")
@@ -310,11 +319,7 @@ def _growth_parts(spark, sf):
 def growth_model(spark, sf):
     """Expected growth of each listing over the next month against both naive forecasts."""
     train, test = _growth_parts(spark, sf)
-    makers = {
-        "ridge": LinearRegression(regParam=10.0 / max(train.count(), 1)),
-        "forest": RandomForestRegressor(numTrees=20, minInstancesPerNode=10, seed=models.SEED),
-        "boosting": GBTRegressor(maxIter=10, maxDepth=4, stepSize=0.05, seed=models.SEED),
-    }
+    makers = {name: make() for name, make in models.growth_regressors(trees=20, rounds=10).items()}
     parts = [P.segment_mean_baseline(train, test, "target", "y_pred").withColumn("model", F.lit("segment mean"))]
     parts.append(test.withColumn("y_pred", F.lit(0.0)).withColumn("model", F.lit("no change")))
     for name, estimator in makers.items():

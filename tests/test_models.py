@@ -1,6 +1,7 @@
 """Model wrappers: scales, weights, unseen categories."""
 
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from pricetide.operators import models as M
@@ -59,3 +60,43 @@ def test_median_ensemble_lies_between(rows):
         scored = member.predict(scored, f"p{i}")
     scored = M.predict_median(scored, members)
     assert scored.filter("y_pred < least(p0, p1, p2) OR y_pred > greatest(p0, p1, p2)").count() == 0
+
+
+def _design(rows):
+    """Standardised numbers (sample deviation) and one-hot districts, as the feature stages make them."""
+    import numpy as np
+
+    numbers = np.array([[float(r[c]) for c in M.NUMERIC_COLUMNS] for r in rows])
+    sd = numbers.std(0, ddof=1)
+    scaled = np.where(sd > 0, (numbers - numbers.mean(0)) / np.where(sd > 0, sd, 1), 0.0)
+    names = sorted({r["district"] for r in rows})
+    onehot = np.array([[float(r["district"] == n) for n in names] for r in rows])
+    return np.column_stack((scaled, onehot, np.ones(len(rows))))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4])
+def test_ridge_is_the_closed_form(rows, scale):
+    """min |y - Xw - b|^2 + alpha |w|^2, whatever the scale of the target."""
+    import numpy as np
+
+    noisy = rows.withColumn("price", (F.col("price") + 9000.0 * ((F.col("entity") * 37) % 11)) / 1e4 * scale).cache()
+    got = {r["entity"]: r["y_pred"] for r in M.fit(noisy, M.Candidate("ridge"), {"ridge": lambda: LinearRegression(regParam=200.0)}).predict(noisy).collect()}
+    data = noisy.collect()
+    x, y = _design(data), np.array([r["price"] for r in data])
+    x = np.column_stack((x[:, :-1], np.ones(len(x)) * 0 + 1.0, x[:, -1]))  # one kind: its indicator is constant
+    penalty = np.diag([200.0] * (x.shape[1] - 1) + [0.0])
+    w = np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0]
+    assert [got[r["entity"]] for r in data] == pytest.approx((x @ w).tolist(), rel=2e-3)
+
+
+def test_logistic_penalty_is_one_half_square_beside_the_summed_loss(spark, rows):
+    made = M.classifiers()["logistic"]()
+    frame = rows.withColumn("target", F.when(F.col("entity") % 5 == 0, -0.1).otherwise(0.1))
+    fitted = M.fit_price_cut(frame, made, numeric=M.NUMERIC_COLUMNS).stages[-1]
+    assert fitted.getRegParam() == pytest.approx(1.0 / 400) and fitted.getStandardization() is False
+
+
+def test_forests_look_at_all_features():
+    for made in (M.regressors()["forest"](), M.macro_candidates()["forest"](), M.growth_regressors()["forest"]()):
+        assert made.getFeatureSubsetStrategy() == "all" and made.getMaxDepth() == 30
+    assert M.regressors()["forest"]().getNumTrees() == 400 and M.growth_regressors()["boosting"]().getMaxIter() == 300
