@@ -232,15 +232,18 @@ def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark window, with all their columns; no shuffle."""
+    """Documents without any benchmark window, with all their columns; only texts go to Python, and nothing is shuffled."""
     items, n_blocks = item_blocks(benchmark)
     for b in range(n_blocks):
         rows = items.where(F.col("_block") == b).select("item_id", "text").collect()
         tables = docs.sparkSession.sparkContext.broadcast(compile_items((r[0], r[1]) for r in rows))
+        docs = docs.where(_free_of(tables)(F.col("text")))
+    return docs
 
-        def keep(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not found for _, _, found in search(tables.value, batch.column("text"))], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+def _free_of(tables):
+    @F.arrow_udf("boolean")
+    def free(text: pa.Array) -> pa.Array:
+        return pa.array([not found for _, _, found in search(tables.value, text)], pa.bool_())
+
+    return free

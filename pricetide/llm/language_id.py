@@ -203,11 +203,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """Documents that are not rejected, with all their columns; no shuffle."""
+    """Documents that are not rejected, with all their columns; only texts go to Python, and nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(~_verdicts(shared.value, batch.column("text"))[2], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def stays(text: pa.Array) -> pa.Array:
+        return pa.array(~_verdicts(shared.value, text)[2], pa.bool_())
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(stays(F.col("text")))

@@ -74,9 +74,52 @@ QUERIES: dict[str, Query] = {
     "op10_chat_windows": op10_chat_windows,
 }
 
-SPACE = r"[^\x20\x09-\x0D]+"
+def _repetition_sql() -> str:
+    """Words, lines and windows as rows; a window found twice in its document covers its words."""
+    sizes = ", ".join(f"({n})" for n in repetition.MAX_COVERAGE)
+    shares = ", ".join(f"CAST(coalesce(c{n}, 0) AS DOUBLE) / greatest(word_chars, 1) AS coverage_{n}" for n in repetition.MAX_COVERAGE)
+    limits = " AND ".join(f"coverage_{n} <= {most}" for n, most in repetition.MAX_COVERAGE.items())
+    sums = ", ".join(f"sum(chars) FILTER (size = {n}) AS c{n}" for n in repetition.MAX_COVERAGE)
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+sizes(size) AS (VALUES {sizes}),
+windows AS (SELECT doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') AS p FROM (SELECT doc_id, w, size, unnest(range(1, greatest(len(w) - size + 1, 0) + 1)) AS k FROM docs, sizes)),
+repeated AS (SELECT doc_id, size, p FROM windows GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, size, unnest(range(k, k + size)) AS i FROM windows JOIN repeated USING (doc_id, size, p)),
+covered AS (SELECT doc_id, {sums}, count(*) FILTER (size = 5) AS n_repeat_words FROM (SELECT doc_id, size, length(word) AS chars FROM hit JOIN words USING (doc_id, i)) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)),
+marked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS line_chars FROM marked WHERE again GROUP BY doc_id),
+base AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM docs),
+joined AS (
+    SELECT base.*, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, {shares},
+        CAST(coalesce(line_chars, 0) AS DOUBLE) / greatest(word_chars, 1) AS line_coverage
+    FROM base LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND line_coverage <= {repetition.MAX_LINE_COVERAGE} AND {limits} AS kept
+FROM joined"""
+
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT r, unnest(range(0, greatest(length(x) // 2 - 399, 0))) AS p, x FROM docs),
+windows AS (SELECT r, p, md5(substr(x, 2 * p + 1, 800)) AS m FROM places),
+twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+starts AS (SELECT r, p FROM windows JOIN twice USING (m)),
+heads AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS head FROM starts),
+runs AS (SELECT r, p, sum(head) OVER (PARTITION BY r ORDER BY p) AS run FROM heads),
+spans AS (SELECT r, run, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY r, run),
+gone AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n, count(*) AS k FROM spans GROUP BY r),
+kept AS (
+    SELECT docs.r, doc_id, x, coalesce(n, 0) AS n, coalesce(k, 0) AS k,
+        CASE WHEN k IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda i: substr(x, 2 * CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END + 1,
+            2 * (CASE WHEN i > len(a) THEN length(x) // 2 ELSE a[i] END - CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END))), '') END AS rest
+    FROM docs LEFT JOIN gone USING (r))
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS n_removed, CAST(k AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept""",
     "op2_decontaminate": r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -113,6 +156,7 @@ SELECT doc_id, size, s AS source_size, target,
     CAST(greatest(0, least(size, floor(target) - b)) + greatest(0, least(size, floor(target) - b - s)) + greatest(0, least(size, floor(target) - b - 2 * s)) AS BIGINT) AS taken,
     CASE WHEN target > 0 THEN CAST(b + size AS DOUBLE) / target END AS finish
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source""",
+    "op4_repetition": _repetition_sql(),
     "op5_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
