@@ -27,6 +27,11 @@ HEADLINE = (
     "fuzzy_adjustment",
     "connected_components",
     "visual_duplicates",
+    "json_attr_extract",
+    "html_label_map",
+    "spearman_matrix",
+    "dedup_end_to_end",
+    "stream_history",
 )
 
 

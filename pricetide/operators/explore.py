@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import source_prefix
+from ..functions.text import KIND_CATALOG, fold_text, source_prefix
 from .ordered import Quantile, aggregate, attach, join_keys
 
 PRICE_BAND = (50_000.0, 20_000_000.0)
@@ -155,3 +155,17 @@ def district_lists(df: DataFrame, min_count: int = 3) -> DataFrame:
     """Per kind the sorted districts with at least ``min_count`` listings."""
     counts = df.filter("district <> ''").groupBy("kind", "district").agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") >= min_count).groupBy("kind").agg(F.array_sort(F.collect_list("district")).alias("districts"))
+
+
+def type_catalog(spark: SparkSession) -> DataFrame:
+    """The published property classes: kind, description and its aliases, one row each."""
+    rows = [(kind, about, list(aliases)) for kind, about, aliases in KIND_CATALOG]
+    table = spark.createDataFrame(rows, "kind string, description string, aliases array<string>")
+    return table.select("kind", "description", F.explode("aliases").alias("alias"))
+
+
+def type_usage(rows: DataFrame, kind: str) -> DataFrame:
+    """The catalogue with how many rows use each alias, whatever their case and accents."""
+    used = rows.groupBy(fold_text(F.col(kind)).alias("__folded")).agg(F.count("*").alias("listings"))
+    out = type_catalog(rows.sparkSession).withColumn("__folded", fold_text(F.col("alias"))).join(used, "__folded", "left")
+    return out.select("kind", "description", "alias", F.coalesce("listings", F.lit(0)).alias("listings"))

@@ -171,11 +171,12 @@ def horizon_pairs(features: DataFrame, horizon: int = 1, limit: float = MAX_MONT
 def temporal_split(pairs: DataFrame, test_months: int = 1, month: str = "target_month") -> DataFrame:
     """Column ``part``: the last ``test_months`` distinct target months are the test part.
 
-    At least one month stays in the train part.
+    At least one month stays in the train part; pairs of fewer than two target months fail when the split is read.
     """
     months = pairs.agg(F.array_sort(F.collect_set(month)).alias("m"))
-    take = F.least(F.lit(test_months), F.size("m") - 1)
-    cut = months.select(F.element_at("m", -F.greatest(take, F.lit(1)))).scalar()
+    take = F.greatest(F.least(F.lit(test_months), F.size("m") - 1), F.lit(1))
+    refused = F.raise_error(F.lit("a temporal split needs pairs of two target months or more")).cast(pairs.schema[month].dataType)
+    cut = months.select(F.when(F.size("m") < 2, refused).otherwise(F.element_at("m", -take))).scalar()
     return pairs.withColumn("__cut", cut).withColumn("part", F.when(F.col(month) >= F.col("__cut"), "test").otherwise("train")).drop("__cut")
 
 

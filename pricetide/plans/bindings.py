@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
+from ..functions.hashing import bits_to_hex
 from ..session import checkpoint_dir, spread, stored
 
 
@@ -310,6 +311,31 @@ keys AS (
     UNION ALL SELECT id, 'address|' || base || a FROM based
     UNION ALL SELECT id, 'street|' || base || s FROM based)"""
 
+
+
+def pictured_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the signature of a picture: fifty pictures, each retouched a little more from copy to copy."""
+    bits = F.transform("embedding", lambda x: x > 0)
+    pictures = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits"))
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    flipped = F.transform("bits", lambda b, i: F.when(i < F.floor(number / 50) % 12, ~b).otherwise(b))
+    rows = entities(spark, sf_dir)
+    joined = rows.join(pictures, number % 50 == F.col("vec_id"), "left")
+    return joined.withColumn("image_hash", F.coalesce(bits_to_hex(flipped), F.lit(""))).select(*rows.columns, "image_hash")
+
+
+# Pairs that look alike, written out: same kind and counts, near area and price, at most eight differing bits.
+LOOKS = """,
+pictured AS (
+    SELECT e.id, e.kind, e.rooms, e.price, greatest(e.area_total, e.area_private) AS area, list_transform(range(1, 65), lambda i:
+        CASE WHEN i <= (CAST(regexp_extract(e.id, '(\\d+)$', 1) AS BIGINT) // 50) % 12 THEN 1 - CAST(v.embedding[i] > 0 AS INTEGER) ELSE CAST(v.embedding[i] > 0 AS INTEGER) END) AS b
+    FROM entities e JOIN embeddings v ON v.vec_id = CAST(regexp_extract(e.id, '(\\d+)$', 1) AS BIGINT) % 50),
+look_edges AS (
+    SELECT l.id AS src, r.id AS dst FROM pictured l JOIN pictured r ON l.kind = r.kind AND l.rooms = r.rooms AND l.id < r.id
+    WHERE l.area > 0 AND r.area > 0 AND abs(l.area - r.area) / greatest(l.area, r.area) <= 0.18
+      AND (l.price = 0 OR r.price = 0 OR abs(l.price - r.price) / greatest(l.price, r.price) <= 0.25)
+      AND list_sum(list_transform(range(1, 65), lambda i: abs(l.b[i] - r.b[i]))) <= 8)"""
+
 COMPONENTS = KEYS + """,
 key_edges AS (
     SELECT DISTINCT a.vertex AS src, b.vertex AS dst
@@ -320,3 +346,6 @@ reach AS (
     UNION
     SELECT e.dst, r.label FROM reach r JOIN both_edges e ON r.vertex = e.src),
 components AS (SELECT vertex, min(label) AS component FROM reach GROUP BY 1)"""
+
+LOOK_COMPONENTS = COMPONENTS.replace("both_edges AS (SELECT src, dst FROM key_edges UNION SELECT dst, src FROM key_edges)", LOOKS.lstrip(",\n") + """,
+both_edges AS (SELECT src, dst FROM key_edges UNION SELECT dst, src FROM key_edges UNION SELECT src, dst FROM look_edges UNION SELECT dst, src FROM look_edges)""")

@@ -198,7 +198,8 @@ def cumulative_index(spark, sf):
     return rounded(month_text(P.cumulative_index(panel, index), "month"), 6)
 
 
-TABLE_MONTHS = ["1996-01", "1998-01", "2000-01", "2001-01"]
+# Every month of the calendar the observations come from.
+TABLE_MONTHS = [f"{year}-{month:02d}" for year in range(1995, 2002) for month in range(1, 13)]
 
 
 @query(
@@ -210,7 +211,7 @@ TABLE_MONTHS = ["1996-01", "1998-01", "2000-01", "2001-01"]
     SELECT * FROM t ORDER BY kind, total_change_pct DESC, district LIMIT 30""",
 )
 def cumulative_index_table(spark, sf):
-    """The published table: a column per month, best segments of each kind first, 30 rows."""
+    """The published table: a column for every month, best segments of each kind first, 30 rows."""
     panel, index = _index(spark, sf)
     wide = P.index_table(P.cumulative_index(panel, index), TABLE_MONTHS)
     return wide.filter("listings >= 300").orderBy("kind", F.desc("total_change_pct"), "district").limit(30)

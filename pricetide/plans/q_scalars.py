@@ -41,30 +41,7 @@ def safe_numbers(spark, sf):
     return rows.select("row_id", N.safe_double(F.col("raw")).alias("as_double"), N.safe_int(F.col("raw")).alias("as_int"))
 
 
-# Class names, descriptions and aliases of the published catalogue.
-KIND_CATALOG = (
-    ("Apartamento", "Unidades residenciais em edifícios, incluindo duplex.", ("apartamento", "apart", "apto", "apartamento duplex", "duplex")),
-    ("Casa", "Casas, geminadas e sobrados.", ("casa", "casa geminada", "geminada", "sobrado")),
-    (
-        "Terreno",
-        "Terrenos, lotes e áreas de terra/rurais.",
-        (
-            "terreno", "lote", "lote urbano", "terreno urbano", "terreno em condomínio", "area", "área", "area de terra",
-            "área de terra", "area rural", "área rural", "lote rural", "loteamento",
-        ),
-    ),
-    ("Cobertura", "Coberturas e penthouses.", ("cobertura", "penthouse")),
-    ("Chácara", "Chácaras e sítios.", ("chacara", "chácara", "sitio", "sítio", "chácara / sítio", "chacara / sitio")),
-    (
-        "Prédio",
-        "Prédios e edifícios inteiros.",
-        ("predio", "prédio", "predios", "prédios", "predio residencial", "prédio residencial", "predio comercial", "prédio comercial"),
-    ),
-    ("Studio", "Studios e apartamentos compactos.", ("studio", "studios", "apartamento studio", "apartamentos studio", "flat", "loft")),
-    ("Comercial", "Imóveis com uso comercial.", ("comercial", "sala comercial", "sala", "sala/conjunto", "casa comercial")),
-    ("Lançamento", "Imóveis em lançamento ou pré-lançamento.", ("lancamento", "lançamento", "lancamentos", "lançamentos")),
-    ("Outros", "Fallback para tipos sem similaridade suficiente.", ()),
-)
+KIND_CATALOG = T.KIND_CATALOG
 ALIASES = [alias for _, _, aliases in KIND_CATALOG for alias in aliases]
 ALIAS_LIST = "[" + ", ".join(f"'{a}'" for a in ALIASES) + "]"
 # Every part carries one of the aliases, upper-cased for odd parts, with its own name behind it.
@@ -112,11 +89,7 @@ CATALOG_SQL = " UNION ALL ".join(
 )
 def type_catalog(spark, sf):
     """The catalogue by alias, with how many listings use each alias."""
-    rows = spark.createDataFrame([(k, d, list(a)) for k, d, a in KIND_CATALOG], "kind string, description string, aliases array<string>")
-    aliases = rows.select("kind", "description", F.explode("aliases").alias("alias"))
-    used = _raw_kinds(spark, sf).groupBy(T.fold_text(F.col("raw")).alias("folded")).agg(F.count("*").alias("listings"))
-    out = aliases.withColumn("folded", T.fold_text(F.col("alias"))).join(used, "folded", "left")
-    return out.select("kind", "description", "alias", F.coalesce("listings", F.lit(0)).alias("listings"))
+    return explore.type_usage(_raw_kinds(spark, sf), "raw")
 
 
 @query(

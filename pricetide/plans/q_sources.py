@@ -305,12 +305,91 @@ def absolute_url(spark, sf):
     )
 
 
-@query("html_tag_texts")
+def _tag_texts_sql() -> str:
+    text = "regexp_replace(regexp_replace(split_part(piece, chr(2), 2), '(?is)</(?:title|h1|p)\\s*>.*$', ''), '<[^>]*>', ' ', 'g')"
+    for reference, character in html.ENTITIES:
+        text = f"replace({text}, '{reference}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return rf"""WITH marked AS (
+        SELECT page_id, string_split(regexp_replace(regexp_replace(html, '{html.NO_TEXT}', '', 'g'), '(?i)<(title|h1|p)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS pieces FROM pages),
+    cut AS (SELECT page_id, unnest(pieces[2:]) AS piece, unnest(range(len(pieces) - 1)) AS position FROM marked)
+    SELECT page_id, lower(split_part(piece, chr(2), 1)) AS tag, CAST(position AS INTEGER) AS position, trim(regexp_replace({text}, '\s+', ' ', 'g')) AS text FROM cut"""
+
+
+@query("html_tag_texts", _tag_texts_sql())
 def html_tag_texts(spark, sf):
-    """Headings and paragraphs of every page through a DOM pass."""
+    """Title, headings and paragraphs of every page."""
     return html.tag_texts(B.spread_table(spark, sf, "pages", "page_id"), ("title", "h1", "p"))
 
 
+def _summary_pages(spark, sf):
+    """Pages with summary rows; parts of even key name their counts by title only."""
+    key, size = B.text("p_partkey"), B.text("p_size")
+    even = F.col("p_partkey") % 2 == 0
+
+    def row(label, value):
+        open_row = '<div class="flex flex-justify-space-between flex-align-center pv-2 border-bottom"><span class="icon">i</span><span class="font-alt">'
+        return F.concat(F.lit(open_row), F.lit(label), F.lit('</span><span class="font-alt bold">'), value, F.lit("</span></div>"))
+
+    def titled(label, value):
+        return F.concat(F.lit(f'<div class="mini" title="{label}"><span>x</span><span>'), value, F.lit("</span></div>"))
+
+    rooms, baths = (F.col("p_size") % 5 + 1).cast("string"), (F.col("p_size") % 3 + 1).cast("string")
+    named = F.concat(row("Dormitórios", F.concat(rooms, F.lit(" + 1 suíte"))), row("Banheiros", baths), row("Garagens", F.lit("2 vagas")))
+    body = F.concat(
+        F.lit('<html><body><div class="flex flex-align-center"><span class="material-icons" title="'), F.lower("p_type"),
+        F.lit('">home</span></div><div class="container wide"><div class="col-12 m"><h2>'), F.col("p_brand"), F.lit('</h2></div></div><h2 class="text-primary">R$ '),
+        F.translate(F.format_number("p_retailprice", 2), ",.", ".,"), F.lit('</h2><a href="/cdn/'), key, F.lit('.jpg">f</a>'),
+        F.when(even, F.concat(titled("Quartos", rooms), titled("BWC", baths), titled("Vagas de Garagem", F.lit("3")))).otherwise(named),
+        row("Área Total", F.concat(size, F.lit(",50 m²"))), F.when(F.col("p_partkey") % 3 == 0, row("Área Privativa", F.concat(size, F.lit(",25")))).otherwise(""),
+        F.lit("</body></html>"),
+    )
+    part = B.spread_table(spark, sf, "part", "p_partkey")
+    return part.select(F.concat(F.lit("https://agency.example/imovel.php?id="), key).alias("url"), body.alias("html"))
+
+
+@query(
+    "html_summary_rows",
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, round(p_retailprice, 2) AS price, p_brand AS district, 'Chapeco' AS city, lower(p_type) AS kind,
+       CAST(p_size + 0.5 AS DOUBLE) AS area_total, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.25 ELSE p_size + 0.5 END AS DOUBLE) AS area_private,
+       CAST(p_size % 5 + 1 + p_partkey % 2 AS INTEGER) AS rooms, CAST(p_size % 3 + 1 AS INTEGER) AS baths, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS parking,
+       'https://agency.example/cdn/' || p_partkey || '.jpg' AS image_url FROM part""",
+)
+def html_summary_rows(spark, sf):
+    out = html.summary_records(_summary_pages(spark, sf))
+    return out.withColumn("price", F.round("price", 2)).drop("price_m2")
+
+
+def _classed_pages(spark, sf):
+    """Pages of classed list items; the district stands in a hidden paragraph or in the address only."""
+    key, size = B.text("p_partkey"), B.text("p_size")
+
+    def item(name, label, value):
+        return F.concat(F.lit(f'<li class="{name}"><div>i</div><div>{label}<strong>'), value, F.lit("</strong></div></li>"))
+
+    body = F.concat(
+        F.lit("<html><head><title>"), F.lit("Casa de esquina"), F.lit('</title><meta property="og:image" content="/f/'), key, F.lit('.jpg"></head><body><ul>'),
+        F.when(F.col("p_partkey") % 2 == 0, item("tipo x", "Tipo ", F.lower("p_type"))).otherwise(""),
+        item("area", "Lote | ", F.concat(size, F.lit(",50 m²"))), F.when(F.col("p_partkey") % 3 == 0, item("area", "Medida | ", F.concat(size, F.lit(",25 m²")))).otherwise(""),
+        item("quarto", "", (F.col("p_size") % 5 + 1).cast("string")), item("banheiro", "", (F.col("p_size") % 3 + 1).cast("string")), item("vaga", "", F.lit("2")),
+        F.lit('</ul><span class="vtotalvenda"><b>R$ '), F.translate(F.format_number("p_retailprice", 2), ",.", ".,"), F.lit("</b></span>"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit('<p class="visually-hidden">Casa no bairro Jardim Sul em Chapecó</p>')).otherwise(""), F.lit("</body></html>"),
+    )
+    url = F.concat(F.lit("https://agency.example/imovel/"), key, F.lit("/casa-venda-3-quartos-vila-nova-chapeco"))
+    return B.spread_table(spark, sf, "part", "p_partkey").select(url.alias("url"), body.alias("html"))
+
+
+@query(
+    "html_classed_items",
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, round(p_retailprice, 2) AS price, CASE WHEN p_partkey % 5 = 0 THEN 'Jardim Sul' ELSE 'Vila Nova' END AS district, 'Chapecó' AS city,
+       CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE 'Casa' END AS kind,
+       CAST(p_size + 0.5 AS DOUBLE) AS area_total, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.25 ELSE p_size + 0.5 END AS DOUBLE) AS area_private,
+       CAST(p_size % 5 + 1 AS INTEGER) AS rooms, CAST(p_size % 3 + 1 AS INTEGER) AS baths, 2 AS parking, 'https://agency.example/f/' || p_partkey || '.jpg' AS image_url FROM part""",
+)
+def html_classed_items(spark, sf):
+    out = html.classed_records(_classed_pages(spark, sf))
+    return out.withColumn("price", F.round("price", 2)).drop("price_m2")
+
+
 # ---------------------------------------------------------------- series and files
 @query(
     "series_monthly",

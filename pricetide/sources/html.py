@@ -1,15 +1,11 @@
-"""Field extraction from stored pages: regular expressions first, a DOM pass where nesting matters."""
+"""Field extraction from stored pages with built-in expressions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import backfill, parse_decimal, parse_money, price_per_area
+from ..functions.numbers import backfill, first_int, parse_decimal, parse_money, parse_rooms, price_per_area
 from ..functions.text import fold_label, slug_title
 
 
@@ -78,9 +74,13 @@ def label_map(html: Column, pair_pattern: str) -> Column:
     """
     labels = F.regexp_extract_all(html, F.lit(pair_pattern), F.lit(1))
     values = F.regexp_extract_all(html, F.lit(pair_pattern), F.lit(2))
-    entries = F.zip_with(
-        labels, values, lambda k, v: F.struct(fold_label(strip_tags(k)).alias("key"), strip_tags(v).alias("value"))
+    return last_entries(
+        F.zip_with(labels, values, lambda k, v: F.struct(fold_label(strip_tags(k)).alias("key"), strip_tags(v).alias("value")))
     )
+
+
+def last_entries(entries: Column) -> Column:
+    """Map of (key, value) structs: empty keys are dropped, of equal keys the last one counts."""
     entries = F.filter(entries, lambda e: e["key"] != "")
     last = F.filter(
         F.transform(
@@ -96,6 +96,16 @@ def label_map(html: Column, pair_pattern: str) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
+def titled_value(html: Column, titles: list[str]) -> Column:
+    """Last span inside the first div whose ``title`` attribute names one of the titles, tried in order."""
+
+    def named(title: str) -> Column:
+        block = F.regexp_extract(html, rf'(?is)<div[^>]*\btitle="[^"]*{title}[^"]*"[^>]*>(.*?)</div>', 1)
+        return strip_tags(F.try_element_at(F.regexp_extract_all(block, F.lit(r"(?is)<span[^>]*>(.*?)</span>"), F.lit(1)), F.lit(-1)))
+
+    return F.coalesce(*[F.nullif(named(title), F.lit("")) for title in titles])
+
+
 def map_lookup(labels: Column, parts: list[str]) -> Column:
     """Value of the first label containing one of the parts, tried in order."""
 
@@ -109,7 +119,8 @@ def map_lookup(labels: Column, parts: list[str]) -> Column:
 TITLE_CODE = r"C[oó]digo[:\s]+(\d+)"
 TITLE_PLACE = r"(?i)Bairro\s+(.+?)\s+em\s+(.+?)(?:\s*\||\s*$)"
 REFERENCE_CODE = r"Refer[eê]ncia[:\s]+(\d+)"
-CARD_PAIR = r'(?s)class="carac__title"[^>]*>(.*?)</[a-z]+>.*?class="carac__value"[^>]*>(.*?)</[a-z]+>'
+# A card without a value does not take the next card's.
+CARD_PAIR = r'(?s)class="carac__title"[^>]*>(.*?)</[a-z]+>(?:(?!carac__title).)*?class="carac__value"[^>]*>(.*?)</[a-z]+>'
 
 
 def list_items(html: Column) -> Column:
@@ -186,39 +197,125 @@ def slug_records(pages: DataFrame) -> DataFrame:
     return out.withColumn("price_m2", price_per_area(F.col("price"), F.col("area_private"), F.col("area_total")))
 
 
-# ---------------------------------------------------------------- DOM pass
-class _TextByTag(HTMLParser):
-    """Text inside the wanted tags, nested markup included."""
+# Markup of the pages with summary rows and of the pages with classed list items.
+SUMMARY_ROW = r'(?s)<div[^>]*class="[^"]*flex-justify-space-between[^"]*pv-2 border-bottom[^"]*"[^>]*>(.*?)</div>'
+SUMMARY_SPAN = r'(?s)<span[^>]*class="[^"]*\bfont-alt\b[^"]*"[^>]*>(.*?)</span>'
+SUMMARY_KIND = r'<span[^>]*class="[^"]*\bmaterial-icons\b[^"]*"[^>]*title="([^"]*)"'
+SUMMARY_DISTRICT = r'(?s)<div[^>]*class="[^"]*\bcontainer\b.*?<div[^>]*class="[^"]*\bcol-12\b[^"]*"[^>]*>.*?<h2[^>]*>(.*?)</h2>'
+SUMMARY_PRICE = r'(?s)<h2[^>]*class="[^"]*\btext-primary\b[^"]*"[^>]*>(.*?)</h2>'
+SUMMARY_IMAGES = (
+    r'<meta[^>]*property="og:image"[^>]*content="([^"]*)"',
+    r'<a[^>]*href="([^"]*/cdn/[^"]*)"',
+    r'<img[^>]*src="([^"]*)"',
+)
+CLASSED_PRICE = r'(?s)<[^>]*class="[^"]*\bvtotalvenda\b[^"]*"[^>]*>(.*?)</'
+CLASSED_TITLE = r"^([A-Za-zÀ-ÿ\s]+?)\s+de\s+"
+CLASSED_PLACE = r"(?is)bairro\s+(.+?)\s+em\s"
+
+
+def summary_records(pages: DataFrame) -> DataFrame:
+    """Listings with label/value summary rows; counts missing there are read from blocks named by their title."""
+    html = F.col("html")
+    rows = F.transform(F.regexp_extract_all(html, F.lit(SUMMARY_ROW), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit(SUMMARY_SPAN), F.lit(1)))
+    pairs = F.transform(
+        F.filter(rows, lambda r: F.size(r) >= 2),
+        lambda r: F.struct(fold_label(strip_tags(F.element_at(r, -2))).alias("key"), strip_tags(F.element_at(r, -1)).alias("value")),
+    )
+    df = pages.withColumn("__labels", last_entries(pairs))
+
+    def value(label: str, *titles: str) -> Column:
+        known = F.nullif(F.try_element_at(F.col("__labels"), F.lit(label)), F.lit(""))
+        return F.coalesce(known, titled_value(html, list(titles))) if titles else known
+
+    total, private = parse_decimal(value("area total")), parse_decimal(value("area privativa"))
+    out = df.select(
+        found(F.col("url"), r"[?&]id=(\d+)").alias("id"),
+        parse_money(strip_tags(found(html, SUMMARY_PRICE)), "first").alias("price"),
+        F.nullif(strip_tags(found(html, SUMMARY_DISTRICT)), F.lit("")).alias("district"),
+        F.lit("Chapeco").alias("city"),
+        F.trim(found(html, SUMMARY_KIND)).alias("kind"),
+        backfill(total, private).alias("area_total"),
+        backfill(private, total).alias("area_private"),
+        parse_rooms(value("dormitorios", "Quartos")).alias("rooms"),
+        first_int(value("banheiros", "BWC", "Banheiros")).alias("baths"),
+        first_int(value("garagens", "Vagas de Garagem", "Garagens", "Vagas")).alias("parking"),
+        first_image(html, F.col("url"), SUMMARY_IMAGES).alias("image_url"),
+    )
+    return out.withColumn("price_m2", price_per_area(F.col("price"), F.col("area_private"), F.col("area_total")))
+
+
+def classed_records(pages: DataFrame) -> DataFrame:
+    """Listings whose facts are list items told apart by their class."""
+    html = F.col("html")
+
+    def items(name: str) -> Column:
+        return F.regexp_extract_all(html, F.lit(rf'(?s)<li[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</li>'), F.lit(1))
 
-    def __init__(self, tags: tuple[str, ...]):
-        super().__init__(convert_charrefs=True)
-        self.tags, self.open, self.parts = tags, [], []
+    def strong(item: Column) -> Column:
+        return F.nullif(strip_tags(F.regexp_extract(item, r"(?s)<strong[^>]*>(.*?)</strong>", 1)), F.lit(""))
 
-    def handle_starttag(self, tag, attrs):
-        if tag in self.tags:
-            self.open.append(len(self.parts))
-            self.parts.append([tag, []])
+    def first_strong(name: str) -> Column:
+        return strong(F.get(items(name), F.lit(0)))
+
+    # Areas in page order: a named one replaces its kind, an unnamed one fills what is still open, the private area first.
+    areas = F.transform(
+        items("area"),
+        lambda i: F.struct(
+            fold_label(F.split_part(strip_tags(F.regexp_extract(i, r"(?s)</div>\s*<div[^>]*>(.*?)</div>", 1)), F.lit("|"), F.lit(1))).alias("label"),
+            parse_decimal(strong(i)).alias("value"),
+        ),
+    )
+    none = F.lit(None).cast("double")
+
+    def step(state: Column, area: Column) -> Column:
+        label, value = area["label"], area["value"]
+        named_private = label.contains("privativa") | label.contains("privada")
+        named_total = ~named_private & (label.contains("lote") | label.contains("total") | label.contains("terreno"))
+        other = ~named_private & ~named_total
+        private = F.when(named_private | (other & state["private"].isNull()), value).otherwise(state["private"])
+        total = F.when(named_total | (other & state["private"].isNotNull() & state["total"].isNull()), value).otherwise(state["total"])
+        return F.struct(private.alias("private"), total.alias("total"))
+
+    both = F.aggregate(F.filter(areas, lambda a: a["value"].isNotNull()), F.struct(none.alias("private"), none.alias("total")), step)
+    df = pages.withColumn("__areas", both)
+    private, total = F.col("__areas.private"), F.col("__areas.total")
+    slug = F.regexp_replace(found(F.col("url"), r"/imovel/\d+/([^/]+)-chapeco"), r"^[a-z-]+-venda(-\d+-quartos)?-", "")
+    hidden = strip_tags(found(html, r'(?s)<p[^>]*class="[^"]*\bvisually-hidden\b[^"]*"[^>]*>(.*?)</p>'))
+    out = df.select(
+        found(F.col("url"), r"/imovel/(\d+)").alias("id"),
+        parse_money(strip_tags(found(html, CLASSED_PRICE)), "first").alias("price"),
+        F.coalesce(F.trim(found(hidden, CLASSED_PLACE)), slug_title(slug)).alias("district"),
+        F.lit("Chapecó").alias("city"),
+        F.coalesce(first_strong("tipo"), F.trim(found(strip_tags(found(html, r"(?s)<title[^>]*>(.*?)</title>")), CLASSED_TITLE))).alias("kind"),
+        backfill(total, private).alias("area_total"),
+        backfill(private, total).alias("area_private"),
+        parse_rooms(first_strong("quarto")).alias("rooms"),
+        first_int(first_strong("banheiro")).alias("baths"),
+        first_int(first_strong("vaga")).alias("parking"),
+        first_image(html, F.col("url"), IMAGE_PATTERNS).alias("image_url"),
+    )
+    return out.withColumn("price_m2", price_per_area(F.col("price"), F.col("area_private"), F.col("area_total")))
 
-    def handle_endtag(self, tag):
-        if tag in self.tags and self.open and self.parts[self.open[-1]][0] == tag:
-            self.open.pop()
 
-    def handle_data(self, data):
-        for i in self.open:
-            self.parts[i][1].append(data)
+# ---------------------------------------------------------------- texts by tag
+# Character references that are decoded, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+NO_TEXT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
 def tag_texts(pages: DataFrame, tags: tuple[str, ...], key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, tag, position, text) of every wanted element, entities decoded, in Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, body in zip(batch[key], batch[html]):
-                parser = _TextByTag(tags)
-                parser.feed(body or "")
-                rows += [(page, tag, i, " ".join("".join(text).split())) for i, (tag, text) in enumerate(parser.parts)]
-            yield pd.DataFrame(rows, columns=[key, "tag", "position", "text"])
-
-    kind = dict(pages.dtypes)[key]
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, tag string, position int, text string")
+    """(key, tag, position, text) of every wanted element in page order.
+
+    An element ends where a wanted tag closes or the next one opens, so unclosed paragraphs end at the next paragraph.
+    Scripts, styles and comments are left out.
+    """
+    names = "|".join(tags)
+    marked = F.regexp_replace(F.regexp_replace(F.col(html), NO_TEXT, ""), rf"(?i)<({names})(?:\s[^>]*)?>", "\u0001$1\u0002")
+    pieces = F.split(marked, "\u0001")
+    rows = pages.select(key, F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("position", "piece"))
+    body = F.regexp_replace(F.split_part("piece", F.lit("\u0002"), F.lit(2)), rf"(?is)</(?:{names})\s*>.*$", "")
+    text = F.regexp_replace(body, r"<[^>]*>", " ")
+    for reference, character in ENTITIES:
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return rows.select(key, F.lower(F.split_part("piece", F.lit("\u0002"), F.lit(1))).alias("tag"), "position", text.alias("text"))

@@ -62,6 +62,9 @@ def test_features_use_the_month_only(spark, panel):
     parts = P.temporal_split(P.horizon_pairs(full, 1))
     bounds = {r["part"]: (r["lo"], r["hi"]) for r in parts.groupBy("part").agg(F.min("target_month").alias("lo"), F.max("target_month").alias("hi")).collect()}
     assert bounds["train"][1] < bounds["test"][0]
+    last = parts.agg(F.max("target_month")).first()[0]
+    with pytest.raises(Exception, match="two target months"):
+        P.temporal_split(parts.drop("part").filter(F.col("target_month") == last)).collect()
 
 
 def test_rates_credibility_and_bootstrap(spark):
