@@ -44,10 +44,10 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     renamed = right
     condition = None
     for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__{key}")
-        test = left[key].eqNullSafe(F.col(f"__{key}"))
+        renamed = renamed.withColumnRenamed(key, f"__key_{key}")
+        test = left[key].eqNullSafe(F.col(f"__key_{key}"))
         condition = test if condition is None else condition & test
-    return left.join(renamed, condition, how).drop(*[f"__{key}" for key in keys])
+    return left.join(renamed, condition, how).drop(*[f"__key_{key}" for key in keys])
 
 
 def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,27 +114,27 @@ def _quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> Dat
     for q in quantiles:
         shared.setdefault(id(q.value), []).append(q)
     values = [group[0].value for group in shared.values()]
-    entries = F.array(*[F.struct(F.lit(i).alias("metric"), v.cast("double").alias("value")) for i, v in enumerate(values)])
-    long = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.metric", "e.value")
-    group = [*keys, "metric"]
-    counts = long.filter("value IS NOT NULL").groupBy(*group, "value").agg(F.count("*").alias("rows"))
+    entries = F.array(*[F.struct(F.lit(i).alias("__metric"), v.cast("double").alias("__value")) for i, v in enumerate(values)])
+    long = df.select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.__metric", "__e.__value")
+    group = [*keys, "__metric"]
+    counts = long.filter("__value IS NOT NULL").groupBy(*group, "__value").agg(F.count("*").alias("__rows"))
     probs = F.create_map(*[x for i, g in enumerate(shared.values()) for x in (F.lit(i), F.array(*[F.lit(float(q.p)) for q in g]))])
 
-    binned = counts.withColumn("__fine", fine_bin(F.col("value")))
-    offsets = _offsets(binned, group, ("rows",))
-    position = F.transform(probs[F.col("metric")], lambda p: (F.col("total_rows") - 1) * p)
+    binned = counts.withColumn("__fine", fine_bin(F.col("__value")))
+    offsets = _offsets(binned, group, ("__rows",))
+    position = F.transform(probs[F.col("__metric")], lambda p: (F.col("total___rows") - 1) * p)
     ends = F.flatten(F.transform(position, lambda p: F.array(F.floor(p), F.ceil(p))))
     wanted = offsets.withColumn("__positions", position)
-    low, high = F.col("__off_rows"), F.col("__off_rows") + F.col("__in_rows")
-    wanted = wanted.filter(F.exists(ends, lambda e: (e >= low) & (e < high))).drop("__in_rows", "total_rows")
-    inside = Window.partitionBy(*group, "__fine").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.col("__off___rows"), F.col("__off___rows") + F.col("__in___rows")
+    wanted = wanted.filter(F.exists(ends, lambda e: (e >= low) & (e < high))).drop("__in___rows", "total___rows")
+    inside = Window.partitionBy(*group, "__fine").orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)
     picked = join_keys(binned, wanted, [*group, "__fine"]).withColumn(
-        "__before", F.col("__off_rows") + F.coalesce(F.sum("rows").over(inside), F.lit(0))
+        "__before", F.col("__off___rows") + F.coalesce(F.sum("__rows").over(inside), F.lit(0))
     )
 
     def at(i: int, end) -> Column:
         place = end(F.get("__positions", F.lit(i)))
-        return F.max(F.when((place >= F.col("__before")) & (place < F.col("__before") + F.col("rows")), F.col("value")))
+        return F.max(F.when((place >= F.col("__before")) & (place < F.col("__before") + F.col("__rows")), F.col("__value")))
 
     most = max(len(g) for g in shared.values())
     columns = [c for i in range(most) for c in (at(i, F.floor).alias(f"__lo{i}"), at(i, F.ceil).alias(f"__hi{i}"))]
@@ -147,5 +147,5 @@ def _quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> Dat
 
     solved = solved.select(*group, *[between(i).alias(f"__q{i}") for i in range(most)])
     return solved.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col(f"__q{i}"))).alias(q.name) for m, g in enumerate(shared.values()) for i, q in enumerate(g)]
+        *[F.max(F.when(F.col("__metric") == m, F.col(f"__q{i}"))).alias(q.name) for m, g in enumerate(shared.values()) for i, q in enumerate(g)]
     )

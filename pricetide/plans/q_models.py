@@ -20,7 +20,8 @@ from ..operators import panel as P
 from ..operators.rates import distribution
 from ..session import stored
 from . import bindings as B
-from .q_index import FEATURES, PAST_YEARS, embargoed, macro
+from . import linear_sql
+from .q_index import FEATURES, MACRO, PAST_YEARS, embargoed, macro
 from .q_panel import TEST_MONTHS, month_text
 from .registry import query
 
@@ -56,11 +57,15 @@ def prepared(spark, sf) -> DataFrame:
     return stored(clean.leakfree_prepare(rows, ["kind"]))
 
 
+DIGITS = {"mae": 2, "rmse": 2, "r2": 6, "mape": 4, "within_10_pct": 4, "within_20_pct": 4, "mdape": 4}
+
+
 def scores(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All metrics of scored rows, with a row for the typical part of the test."""
+    """All metrics of scored rows, rounded, with a row for the typical part of the test."""
     both = df.withColumn("rows", F.explode(F.when(F.col("typical"), F.array(F.lit("full"), F.lit("typical"))).otherwise(F.array(F.lit("full")))))
     by = [*keys, "rows"]
-    return metrics.regression_metrics(both, by, "price").join(metrics.percentage_error(both, by, "price").drop("n"), by)
+    out = metrics.regression_metrics(both, by, "price").join(metrics.percentage_error(both, by, "price").drop("n"), by)
+    return out.withColumns({c: F.round(c, n) for c, n in DIGITS.items()})
 
 
 def kinds(rows: DataFrame) -> list[str]:
@@ -74,16 +79,16 @@ def _single(spark, sf, model: str, target: str = "price") -> DataFrame:
     return scores(fitted.predict(rows.filter("part = 'test'")), ["kind"])
 
 
-@query("feature_encoding")
+@query("feature_encoding", linear_sql.ENCODED)
 def feature_encoding(spark, sf):
     """The encoded feature vector of every listing, fitted on the train part."""
     rows = models.impute(prepared(spark, sf))
     fitted = Pipeline(stages=models.feature_stages()).fit(rows.filter("part = 'train'"))
     array = vector_to_array("features")
-    return fitted.transform(rows).select("entity", F.size(array).alias("width"), F.aggregate(array, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return fitted.transform(rows).select("entity", F.size(array).alias("width"), F.round(F.aggregate(array, F.lit(0.0), lambda a, x: a + x), 8).alias("total"))
 
 
-@query("ridge_regression")
+@query("ridge_regression", linear_sql.single("price"))
 def ridge_regression(spark, sf):
     return _single(spark, sf, "ridge")
 
@@ -108,12 +113,12 @@ def gbt_regression(spark, sf):
     return _single(spark, sf, "boosting")
 
 
-@query("log_target")
+@query("log_target", linear_sql.single("log"))
 def log_target(spark, sf):
     return _single(spark, sf, "ridge", "log")
 
 
-@query("per_area_target")
+@query("per_area_target", linear_sql.single("per_area"))
 def per_area_target(spark, sf):
     return _single(spark, sf, "ridge", "per_area")
 
@@ -233,7 +238,7 @@ def leaderboard_table(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("cleaning_scenarios")
+@query("cleaning_scenarios", linear_sql.SCENARIOS)
 def cleaning_scenarios(spark, sf):
     """Four ways to clean and fit, all measured on one common test set."""
     rows = clean.price_per_area_column(listings(spark, sf))
@@ -342,9 +347,10 @@ def price_cut_classifier(spark, sf):
 
 
 # ---------------------------------------------------------------- macro
-@query("macro_coefficients")
+@query("macro_coefficients", f"WITH RECURSIVE {MACRO}, " + linear_sql.least_squares("macro", FEATURES, "target"))
 def macro_coefficients(spark, sf):
-    return models.linear_coefficients(stored(macro(spark, sf)), FEATURES, "target")
+    out = models.linear_coefficients(stored(macro(spark, sf)), FEATURES, "target")
+    return out.withColumn("coefficient", F.round("coefficient", 5))
 
 
 @query("macro_models")

@@ -104,3 +104,9 @@ def test_positional_sample(spark):
         for p in {0, n // 3, 2 * n // 3, n - 1}:
             want[(k, p)] = ordered[p][1]
     assert got == want
+
+
+def test_keys_may_be_called_anything(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("b", 2, 7.0)], "rows string, value int, metric double")
+    got = aggregate(df, ["rows", "value"], [], [Quantile("m", F.col("metric"))]).collect()
+    assert {(r["rows"], r["value"], r["m"]) for r in got} == {("a", 1, 3.0), ("b", 2, 7.0)}
