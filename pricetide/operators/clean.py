@@ -114,8 +114,8 @@ def holdout_split(df: DataFrame, key: str, test_share: float = 0.2, seed: str =
     return df.withColumn("part", F.when(draw < test_share, "test").otherwise("train"))
 
 
-def group_folds(df: DataFrame, entity: str, folds: int = 5, seed: str = "42") -> DataFrame:
-    """Column ``fold``: all rows of an entity share one fold."""
+def group_folds(df: DataFrame, entity: str, folds: int = 5, seed: str = "folds") -> DataFrame:
+    """Column ``fold``: all rows of an entity share one fold. The seed is not that of the hold-out, which would empty a fold."""
     return df.withColumn("fold", hash_bucket(folds, F.col(entity), F.lit(seed)))
 
 

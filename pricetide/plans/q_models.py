@@ -124,7 +124,7 @@ def per_area_target(spark, sf):
 
 
 CANDIDATES = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge", "lasso", "forest", "boosting")]
-BY_KIND = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge")] + [models.Candidate("forest")]
+BY_KIND = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge")]
 
 
 def _segment(rows: DataFrame, kind: str, part: str) -> DataFrame:

@@ -368,7 +368,7 @@ def holdout_split(spark, sf):
 
 @query(
     "group_folds",
-    f"""SELECT CAST(p_partkey AS VARCHAR) AS code, CAST(floor({B.uniform_sql('p_partkey', "'42'")} * 5) AS INTEGER) AS fold, count(*) AS n
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS code, CAST(floor({B.uniform_sql('p_partkey', "'folds'")} * 5) AS INTEGER) AS fold, count(*) AS n
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
 )
 def group_folds(spark, sf):
