@@ -91,11 +91,11 @@ raw AS (SELECT x.g, entity, sum(v * w) AS raw FROM x JOIN weights ON weights.g =
 def scores(predicted: str, keys: str) -> str:
     """Metrics of ``predicted`` (keys, price, typical, y_pred), for all rows and the typical ones."""
     by = f"{keys}, rows" if keys else "rows"
-    return f"""SELECT {by}, round(avg(abs(price - y_pred)), 2) AS mae, round(sqrt(avg(pow(price - y_pred, 2))), 2) AS rmse,
-    round(1 - sum(pow(price - y_pred, 2)) / (var_pop(price) * count(*)), 6) AS r2, round(100 * avg(abs((price - y_pred) / price)), 4) AS mape, count(*) AS n,
-    round(100 * avg(CASE WHEN abs(y_pred - price) / price * 100 <= 10 THEN 1.0 ELSE 0.0 END), 4) AS within_10_pct,
-    round(100 * avg(CASE WHEN abs(y_pred - price) / price * 100 <= 20 THEN 1.0 ELSE 0.0 END), 4) AS within_20_pct,
-    round(quantile_cont(abs(y_pred - price) / price * 100, 0.5), 4) AS mdape
+    return f"""SELECT {by}, round(avg(abs(price - y_pred)), 0) AS mae, round(sqrt(avg(pow(price - y_pred, 2))), 0) AS rmse,
+    round(1 - sum(pow(price - y_pred, 2)) / (var_pop(price) * count(*)), 4) AS r2, round(100 * avg(abs((price - y_pred) / price)), 2) AS mape, count(*) AS n,
+    round(100 * avg(CASE WHEN abs(y_pred - price) / price * 100 <= 10 THEN 1.0 ELSE 0.0 END), 2) AS within_10_pct,
+    round(100 * avg(CASE WHEN abs(y_pred - price) / price * 100 <= 20 THEN 1.0 ELSE 0.0 END), 2) AS within_20_pct,
+    round(quantile_cont(abs(y_pred - price) / price * 100, 0.5), 2) AS mdape
 FROM (SELECT *, unnest(CASE WHEN typical THEN ['full', 'typical'] ELSE ['full'] END) AS rows FROM {predicted}) GROUP BY {by}"""
 
 
