@@ -1,7 +1,7 @@
 """Price, growth and macro models.
 
-``rf_regression`` and ``gbt_regression`` train at the published sizes. Comparisons of many candidates train smaller forests
-and fewer boosting rounds (``SMALL``), on all rows, folds and kinds: at the published sizes one of them takes an hour.
+Models train at the published sizes, also in the comparisons by kind and over the grids. Only ``cv_leaderboard``,
+``weighted_ensemble`` and ``mdape_ensemble`` train smaller forests and fewer boosting rounds (``SMALL``), on all rows and folds.
 """
 
 from __future__ import annotations
@@ -125,7 +125,6 @@ def per_area_target(spark, sf):
 
 
 CANDIDATES = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge", "lasso", "forest", "boosting")]
-BY_KIND = [models.Candidate(m, t) for t in ("price", "log") for m in ("linear", "ridge")]
 
 
 def _segment(rows: DataFrame, kind: str, part: str) -> DataFrame:
@@ -142,14 +141,14 @@ def cv_leaderboard(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    """A small grid by cross-validation, and the winner on the test part."""
+    """The published grids by cross-validation, and each family's winner on the test part."""
     rows = prepared(spark, sf)
-    best, tried = models.grid_search(
-        rows.filter("part = 'train'"), "forest", {"maxDepth": [4, 8], "numTrees": [10]}, SMALL, folds=FOLDS
-    )
-    table = spark.createDataFrame([("cv", str(p), float(s)) for p, s in tried], "stage string, parameters string, mae double")
-    test = scores(best.predict(rows.filter("part = 'test'")), [])
-    return table.unionByName(test.select(F.concat(F.lit("test "), "rows").alias("stage"), F.lit("best").alias("parameters"), "mae"))
+    best, tried = models.grid_search(rows.filter("part = 'train'"), models.GRIDS, PUBLISHED)
+    table = spark.createDataFrame([("cv", p, float(s)) for p, s in tried], "stage string, parameters string, mae double")
+    for member in best:
+        test = scores(member.predict(rows.filter("part = 'test'")), [])
+        table = table.unionByName(test.select(F.concat(F.lit("test "), "rows").alias("stage"), F.lit(member.candidate.name).alias("parameters"), "mae"))
+    return table
 
 
 def _ensemble(spark, sf, metric: str, tie: str):
@@ -185,7 +184,7 @@ def mdape_ensemble(spark, sf):
 def median_ensemble(spark, sf):
     rows = prepared(spark, sf)
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    members = [models.fit(train, models.Candidate(m), SMALL) for m in ("boosting", "forest", "ridge")]
+    members = [models.fit(train, models.Candidate(m), PUBLISHED) for m in ("boosting", "forest", "ridge")]
     return scores(models.predict_median(test, members), ["kind"])
 
 
@@ -199,7 +198,7 @@ def _train_segments(spark, sf, refit: bool = False):
     out = []
     for kind in kinds(rows):
         everything = final.filter(F.col("kind") == kind) if refit else None
-        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, BY_KIND, SMALL))
+        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES, PUBLISHED))
     return rows, out
 
 
@@ -325,7 +324,7 @@ def _growth_parts(spark, sf):
 def growth_model(spark, sf):
     """Expected growth of each listing over the next month against both naive forecasts."""
     train, test = _growth_parts(spark, sf)
-    makers = {name: make() for name, make in models.growth_regressors(trees=20, rounds=10).items()}
+    makers = {name: make() for name, make in models.growth_regressors().items()}
     parts = [P.segment_mean_baseline(train, test, "target", "y_pred").withColumn("model", F.lit("segment mean"))]
     parts.append(test.withColumn("y_pred", F.lit(0.0)).withColumn("model", F.lit("no change")))
     for name, estimator in makers.items():
@@ -338,7 +337,7 @@ def price_cut_classifier(spark, sf):
     """Probability of a price cut: AUC and Brier score beside the historical rate."""
     train, test = _growth_parts(spark, sf)
     parts = []
-    for name, make in models.classifiers(rounds=10).items():
+    for name, make in models.classifiers().items():
         scored = models.predict_price_cut(models.fit_price_cut(train, make()), test)
         parts.append(scored.select("label", "p").withColumn("model", F.lit(name)))
     rate = train.agg(F.avg((F.col("target") < -0.005).cast("double"))).scalar()
@@ -358,7 +357,7 @@ def macro_coefficients(spark, sf):
 def macro_models(spark, sf):
     """Candidates over the embargoed cuts, beside the naive references."""
     split = stored(embargoed(spark, sf))
-    learned = models.macro_forecasts(split, FEATURES, models.macro_candidates(trees=10, rounds=5))
+    learned = models.macro_forecasts(split, FEATURES, models.macro_candidates())
     naive = I.naive_forecasts(split.filter("part = 'test'"))
     columns = ["cut", "model", "prediction", "target"]
     both = learned.select(*columns).unionByName(naive.select(*columns))

@@ -5,6 +5,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from pricetide.operators import models as M
+from pricetide.plans import catalog, q_models
 
 FACTORIES = M.regressors(trees=5, rounds=3)
 
@@ -100,3 +101,47 @@ def test_forests_look_at_all_features():
     for made in (M.regressors()["forest"](), M.macro_candidates()["forest"](), M.growth_regressors()["forest"]()):
         assert made.getFeatureSubsetStrategy() == "all" and made.getMaxDepth() == 30
     assert M.regressors()["forest"]().getNumTrees() == 400 and M.growth_regressors()["boosting"]().getMaxIter() == 300
+
+
+def test_grid_search_tries_every_cell_and_keeps_each_familys_best(rows):
+    grids = {"ridge": {"regParam": [1e6, 0.1]}, "forest": {"numTrees": [2], "maxDepth": [1, 6]}}
+    winners, tried = M.grid_search(rows, grids, FACTORIES)
+    assert len(tried) == 8 and len({name for name, _ in tried}) == 8
+    error = dict(tried)
+    for member, family in zip(winners, ("ridge", "forest", "ridge", "forest"), strict=True):
+        name = member.candidate.name
+        assert name.startswith(family) and error[name] == min(e for n, e in tried if n.startswith(family) and n.endswith(f"({member.candidate.target})"))
+    assert winners[0].candidate.model == "ridge {'regParam': 0.1}"
+    assert {f: len(list(M.product(*g.values()))) for f, g in M.GRIDS.items()} == {"ridge": 5, "lasso": 4, "forest": 4, "boosting": 8}
+
+
+@pytest.mark.parametrize("name", ["growth_model", "price_cut_classifier", "macro_models", "grid_search", "median_ensemble", "batch_score"])
+def test_registered_queries_train_at_published_sizes(spark, sf, monkeypatch, name):
+    """The sizes of what would be trained; the first fit ends the query."""
+    seen = []
+
+    class Enough(Exception):
+        pass
+
+    def sizes(factories):
+        made = [make() for make in factories.values()]
+        seen.append([e.getNumTrees() if e.hasParam("numTrees") else e.getMaxIter() for e in made if e.hasParam("maxDepth")])
+        raise Enough
+
+    monkeypatch.setattr(q_models, "prepared", lambda *_: spark.createDataFrame([("train", "k", 0)], "part string, kind string, fold int"))
+    monkeypatch.setattr(q_models, "_growth_parts", lambda *_: (None, None))
+    monkeypatch.setattr(q_models, "embargoed", lambda *_: spark.range(1))
+    monkeypatch.setattr(M, "fit", lambda train, candidate, factories: sizes(factories))
+    monkeypatch.setattr(M, "macro_forecasts", lambda split, features, factories: sizes(factories))
+    monkeypatch.setattr(M, "train_segment", lambda *a: seen.append([c.name for c in a[3]]) or sizes(a[4]))
+    monkeypatch.setattr(M, "grid_search", lambda train, grids, factories: seen.append(grids) or sizes(factories))
+    for maker in ("growth_regressors", "classifiers"):
+        monkeypatch.setattr(M, maker, lambda *a, make=getattr(M, maker), **k: sizes(make(*a, **k)))
+    monkeypatch.setattr(q_models.clean, "leakfree_prepare", lambda *_: spark.createDataFrame([("k",)], "kind string"))
+    with pytest.raises(Enough):
+        catalog.queries()[name](spark, sf)
+    assert seen[-1] == {"growth_model": [300, 300], "price_cut_classifier": [300], "macro_models": [300, 200]}.get(name, [400, 500])
+    if name == "grid_search":
+        assert seen[0] is M.GRIDS
+    if name == "batch_score":
+        assert len(seen[0]) == 10
