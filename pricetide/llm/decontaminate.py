@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import textbatch as tb
 
 WINDOW = 10
@@ -156,8 +157,8 @@ def digest(items: set[str]) -> str:
 
 
 def item_blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """Items with a block number, and how many blocks keep each near ``BLOCK_BYTES``."""
-    items = benchmark.select("item_id", "text")
+    """Distinct items with a block number, and how many blocks keep each near ``BLOCK_BYTES``."""
+    items = stored(benchmark.select("item_id", "text").distinct())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     return items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n

@@ -89,6 +89,14 @@ def test_decontamination(spark, odd, pairs, monkeypatch, block_bytes):
     assert stays == Counter(e[0] for e in expected if not e[5])
 
 
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    texts = [(1, "one row of the benchmark, many times over")] * 50 + [(k, f"row {k} of the benchmark") for k in range(2, 40)]
+    items, n = decontaminate.item_blocks(spark.createDataFrame(texts, "item_id long, text string"))
+    assert items.count() == 39 and n == -(-sum(len(t) for _, t in set(texts)) // 200)
+    assert items.groupBy("_block").agg(F.sum(F.length("text"))).agg(F.max("sum(length(text))")).first()[0] <= 3 * 200
+
+
 def test_clean_keeps_columns_and_empty_tables(spark, odd, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert bag(decontaminate.clean(odd, bench).collect()) == bag(odd.collect())
