@@ -12,7 +12,8 @@ string and ``unescaped`` undoes it exactly.
 
 * Null roles and texts are empty; a null conv_id is one conversation. Repeated rows are turns of their own. The first
   turn whose role is ``system`` is the system turn. An empty table gives no windows. Other columns are not looked at.
-* A conversation's spans are built from window functions over (conv_id); its output is one row per window.
+* A conversation's spans are built from window functions over (conv_id); its turns then meet by (conv_id, window), so no row
+  holds more than one window. Only the digests of ``read_back`` hold a whole conversation.
 """
 
 from __future__ import annotations
@@ -59,19 +60,23 @@ def windows(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("span", F.struct(F.floor(F.col("before") / F.col("step")), F.floor((F.col("after") - 1) / F.col("step"))))
     rows = rows.withColumn("starts", ~F.col("span").eqNullSafe(F.lag("span").over(place)))
     rows = rows.withColumn("from", F.min("idx").over(place.rangeBetween(-HISTORY, 0)))
+    rows = rows.withColumn("window", F.sum(F.col("starts").cast("int")).over(place.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
+    # Windows that begin up to HISTORY tokens after the turn's own beginning; spans are about a step long, so these are few.
+    rows = rows.withColumn("later", F.collect_list(F.when(F.col("starts"), F.col("window"))).over(place.rangeBetween(1, HISTORY)))
     head = F.concat(F.lit(TURN), escaped(F.col("role")))
     tail = F.concat(escaped(F.col("text")), F.lit(END))
     new = F.when(F.col("role") == "assistant", F.lit(LOSS)).otherwise(F.lit(TEXT))
-    rows = rows.select("conv_id", F.struct("idx", "starts", "from", F.concat(head, F.lit(TEXT), tail).alias("past"), F.concat(head, new, tail).alias("new")).alias("t"), F.col("system.idx").alias("s"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.first("s").alias("s"))
-    convs = convs.withColumn("cuts", F.filter("ts", lambda t: t["starts"])).withColumn("past", F.transform("ts", lambda t: t["past"])).withColumn("new", F.transform("ts", lambda t: t["new"]))
-    convs = convs.select("conv_id", "s", "past", "new", F.size("ts").alias("n"), "cuts", F.posexplode("cuts").alias("window", "cut"))
-    at, lo = F.col("cut.idx"), F.col("cut.from")
-    until = F.coalesce(F.try_element_at("cuts", F.col("window") + 2)["idx"], F.col("n") + 1)
-    piece = lambda array, a, b: F.array_join(F.slice(array, a.cast("int"), (b - a).cast("int")), "")
-    system = F.when(F.col("s") < lo, F.element_at("past", F.col("s").cast("int"))).otherwise("")
-    text = F.concat(F.lit(WINDOW), F.coalesce(system, F.lit("")), piece(F.col("past"), lo, at), F.lit(NOW), piece(F.col("new"), at, until))
-    return convs.select("conv_id", "window", text.alias("formatted"))
+    rows = rows.withColumn("past", F.concat(head, F.lit(TEXT), tail))
+    system = F.min(F.when(F.col("role") == "system", F.struct("idx", "past"))).over(Window.partitionBy("conv_id"))
+    rows = rows.withColumn("system", F.when(F.col("starts") & (F.col("system.idx") < F.col("from")), system))
+    piece = lambda window, now, idx, text: F.struct(window.alias("window"), F.struct(F.lit(now).alias("now"), idx.alias("idx"), text.alias("text")).alias("p"))
+    own = piece(F.col("window"), True, F.col("idx"), F.concat(head, new, tail))
+    first = piece(F.col("window"), False, F.col("system.idx"), F.col("system.past"))
+    history = F.transform("later", lambda w: piece(w, False, F.col("idx"), F.col("past")))
+    pieces = F.concat(F.array(own), F.filter(F.array(first), lambda p: p["p"]["text"].isNotNull()), history)
+    made = rows.select("conv_id", F.inline(pieces)).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    side = lambda now: F.array_join(F.transform(F.filter("ps", lambda p: p["now"] == F.lit(now)), lambda p: p["text"]), "")
+    return made.select("conv_id", "window", F.concat(F.lit(WINDOW), side(False), F.lit(NOW), side(True)).alias("formatted"))
 
 
 def new_turns(formatted: Column) -> Column:

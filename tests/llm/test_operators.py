@@ -355,3 +355,16 @@ def test_chat_windows(spark):
             spare = chat_windows.BUDGET // 4 + sum(1 + len(t) / 4 for t in turns if "<|turn|>system" in t)
             assert sum(1 + (len(t) - 16) / 4 for t in turns) <= chat_windows.BUDGET + spare + 3 * len(turns)
     assert chat_windows.read_back(chat_windows.windows(df.limit(0))).collect() == []
+
+
+def test_long_conversation_stays_in_rows_of_one_window(spark):
+    """Turns meet by window, never by conversation, and a conversation of many windows reads back whole."""
+    turns = spark.range(3000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("text "), (F.col("id") % 300).cast("int")).alias("text"))
+    windows = chat_windows.windows(turns)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line.split("[", 1)[1].split("]", 1)[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert grouped and all("window#" in keys for keys in grouped)
+    assert windows.count() > 300 and windows.agg(F.max(F.length("formatted"))).first()[0] < 2 * chat_windows.CHARS_PER_TOKEN * chat_windows.BUDGET
+    whole = "".join(f"{'user' if k % 2 == 0 else 'assistant'}\n{'text ' * (k % 300)}\n" for k in range(3000))
+    row = chat_windows.read_back(windows).first()
+    assert row["n_turns"] == 3000 and row["turns_sha256"] == plain.sha(whole)
