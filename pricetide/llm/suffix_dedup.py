@@ -9,7 +9,7 @@ Texts are UTF-8 bytes; strings do not cross documents, may overlap, and are judg
    equal in all bytes enter a shard twice at most, which is all that is needed to see that they repeat.
 3. A task sorts the suffixes of some megabytes of groups by induced sorting and computes permuted common prefixes
    (``suffix_array``); windows with a neighbour that shares 400 bytes are repeats.
-4. Groups with more than ``GROUP_BYTES`` of different segments (a hot passage with many surroundings) never meet in one task:
+4. Groups with more than ``GROUP_BYTES`` of segments, copies counted twice at most (a hot passage with many surroundings), never meet in one task:
    the different pieces around their anchors are cut into windows, which are counted by 128-bit hash over all tasks.
 5. Repeats travel back to documents as runs of positions.
 
@@ -278,6 +278,12 @@ def renamed(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_mark")
 
 
+def heavy_groups(given: DataFrame) -> DataFrame:
+    """Groups whose segments, each as often as it enters a shard (twice at most), exceed ``GROUP_BYTES``; tasks may send more copies."""
+    each = given.groupBy("g", "u1", "u2").agg((F.least(F.count("*"), F.lit(2)) * F.first(F.length("bytes"))).alias("_size"))
+    return each.groupBy(F.col("g").alias("_g")).agg(F.sum("_size").alias("_size")).where(F.col("_size") > GROUP_BYTES).drop("_size")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """Documents that hold repeated windows: doc_id, _text (hash), text, marks (place of a unit, runs of starts in it)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -292,7 +298,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, _text long, _row long, g long, u1 long, u2 long, start int, bytes binary"
     units = stored(holders.withColumn("merge", F.lit(True)).mapInArrow(unit_rows, schema))
     given = units.where("bytes IS NOT NULL")
-    heavy = stored(given.groupBy(F.col("g").alias("_g")).agg(F.sum(F.length("bytes")).alias("_size")).where(F.col("_size") > GROUP_BYTES).drop("_size"))
+    heavy = stored(heavy_groups(given))
     crowded = not heavy.isEmpty()
     light = given.join(heavy, F.col("g") == F.col("_g"), "left_anti") if crowded else given
     light = light.select("g", "u1", "u2", "_row", "start", "bytes").repartition("g").sortWithinPartitions("g", "u1", "u2")

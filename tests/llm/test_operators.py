@@ -75,6 +75,13 @@ def test_suffix_dedup_of_slices(spark, monkeypatch):
     assert bag(suffix_dedup.suffix_dedup(df).collect()) == bag(plain.suffix_dedup(rows))
 
 
+def test_copies_from_many_tasks_do_not_make_a_group_heavy(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 3000)
+    rows = [(1, 7, 8, bytearray(1000))] * 400 + [(2, k, k, bytearray(1000)) for k in range(4)] + [(3, 5, 5, bytearray(3001))]
+    given = spark.createDataFrame(rows, "g long, u1 long, u2 long, bytes binary")
+    assert sorted(r["_g"] for r in suffix_dedup.heavy_groups(given).collect()) == [2, 3]
+
+
 # ---------------------------------------------------------------- decontamination
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "SHORT"), (3, None), (4, "another Text"), (None, "several documents share"), (2, "zz")]
 
