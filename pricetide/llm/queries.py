@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, language_id, line_dedup, mixing, repetition, simhash_anchor, suffix_dedup, toxicity, url_filter
+from . import chat_windows, decontaminate, fill_middle, heap_clusters, language_id, line_dedup, mixing, repetition, seed_extend, simhash_anchor, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,20 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.windows(turns.unionByName(more)))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2(c, 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (fill_middle.restore(F.col("output"), F.col("form")), "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.seed_extend_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clusters.heap_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +86,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_chat_windows": op10_chat_windows,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_seed_extend": op12_seed_extend,
+    "op13_heap_clusters": op13_heap_clusters,
 }
 
 def _repetition_sql() -> str:
@@ -103,6 +120,36 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM joined"""
 
 
+def _clusters_sql() -> str:
+    """Every round written out: nearest centroid by (distance, number), then floor means of non-empty clusters."""
+    k, rounds, width, scale, seed = heap_clusters.K, heap_clusters.ROUNDS, heap_clusters.DIMENSIONS, heap_clusters.SCALE, heap_clusters.SEED
+
+    def assigned(r: int) -> str:
+        return f"""
+a{r} AS MATERIALIZED (
+    SELECT r, arg_min(j, [d, j]) AS j, CAST(min(d) AS BIGINT) AS d
+    FROM (SELECT r, j, list_sum(list_transform(range(1, {width} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM kept, c{r}) GROUP BY r)"""
+
+    def moved(r: int) -> str:
+        return f"""
+c{r + 1} AS MATERIALIZED (
+    SELECT c{r}.j, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+        SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m
+        FROM (SELECT j, i, sum(v[i]) AS s, count(*) AS n FROM kept JOIN a{r} USING (r), range(1, {width} + 1) AS p(i) GROUP BY j, i) GROUP BY j) AS means ON c{r}.j = means.j)"""
+
+    steps = ",".join(assigned(r) + "," + moved(r) for r in range(rounds))
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+kept AS MATERIALIZED (
+    SELECT r, vec_id, list_transform(x, lambda e: CAST(floor({scale} * e) AS HUGEINT)) AS v FROM rows
+    WHERE len(x) = {width} AND len(list_filter(x, lambda e: isfinite(e))) = {width}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT v, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM kept) ORDER BY h, v LIMIT {k}),{steps},{assigned(rounds)},
+per AS (SELECT j, sum(d) AS s FROM a{rounds} GROUP BY j)
+SELECT vec_id, CAST(a{rounds}.j AS INTEGER) AS cluster, d AS distance, CAST(s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(s) FROM per) AS BIGINT) AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN per ON per.j = a{rounds}.j JOIN c{rounds} ON c{rounds}.j = a{rounds}.j"""
+
+
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -204,4 +251,29 @@ SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
     sha256(coalesce(string_agg(text, '' ORDER BY idx) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(chars) + any_value(extra) AS BIGINT) AS formatted_chars
 FROM placed p JOIN extras e ON p.conv_id IS NOT DISTINCT FROM e.conv_id GROUP BY p.conv_id""",
+    "op11_fill_middle": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+    SELECT *, len(l) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(l) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(l) + 1) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM docs),
+cut AS (
+    SELECT *, array_to_string(l[1 : least(a, b)], '') AS p, array_to_string(l[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(l[greatest(a, b) + 1 : n], '') AS s FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM cut""",
+    "op12_seed_extend": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT r, doc_id, k, md5(array_to_string(w[k : k + 19], ' ')) AS m FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 19, 0) + 1)) AS k FROM docs)),
+ranked AS (SELECT r, k, row_number() OVER (PARTITION BY m ORDER BY doc_id, k) AS place FROM windows),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 20)) AS i FROM ranked WHERE place > 1),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)""",
+    "op13_heap_clusters": _clusters_sql(),
 }

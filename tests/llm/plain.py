@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -126,3 +127,61 @@ def mixture(rows):
             target[s] = 3.0 * total[s] if full else level * weight[s]
         open_ = open_ - full if full else set()
     return size, total, target
+
+
+def fill_middle(doc_id, text, seed=7, rate=100, spm=50):
+    """(n, form, prefix chars, middle chars, output)."""
+    text = text or ""
+    lines = re.findall("[^\n]*\n|[^\n]+", text)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return len(lines), "plain", None, None, text
+    a, b = sorted((h1 % (len(lines) + 1), h2 % (len(lines) + 1)))
+    p, m, s = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+    form = "spm" if h4 % 100 < spm else "psm"
+    return len(lines), form, len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+
+
+def repeated_starts(rows, size=20):
+    """rows of (key, words) in order -> starts of windows that start earlier, by position of the row."""
+    seen, out = set(), []
+    for _, w in rows:
+        mine = []
+        for k in range(len(w) - size + 1):
+            t = tuple(w[k : k + size])
+            if t in seen:
+                mine.append(k)
+            seen.add(t)
+        out.append(mine)
+    return out
+
+
+def seed_extend(rows, size=20):
+    """rows of (doc_id, text), no two equal -> rows of the digest; nulls first, then ids, then the hash of the text as ordered by the caller."""
+    cut = [(i, re.findall(SPACE, t or "")) for i, t in rows]
+    out = []
+    for (i, w), starts in zip(cut, repeated_starts(cut, size), strict=True):
+        gone = {p for k in starts for p in range(k, k + size)}
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+def clusters(rows, k=8, rounds=10, dims=64):
+    """rows of (vec_id, vector) -> rows (vec_id, cluster, distance, cluster inertia, inertia, digest)."""
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    centroids = [v for _, v in sorted(((sha(f"3:{'' if i is None else i}"), v) for i, v in kept))[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[nearest(v)[1]].append(v)
+        centroids = [[sum(x) // len(groups[j]) for x in zip(*groups[j], strict=True)] if j in groups else c for j, c in enumerate(centroids)]
+    last = [(i, *nearest(v)[::-1]) for i, v in kept]
+    per = Counter()
+    for _, j, d in last:
+        per[j] += d
+    return [(i, j, d, per[j], sum(per.values()), sha(",".join(map(str, centroids[j])))) for i, j, d in last]

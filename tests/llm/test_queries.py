@@ -24,7 +24,7 @@ def bag(rows):
 
 
 def test_names_and_twins():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
@@ -67,6 +67,24 @@ def test_op10_reads_back_the_extra_conversation(spark):
     assert r["turns_sha256"] == plain.sha(f"user\n{text}\nassistant\n{text}\n")
 
 
+def test_op11(spark, docs):
+    got = {r["doc_id"]: r for r in queries.op11_fill_middle(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        *counts, output = plain.fill_middle(d["doc_id"], d["text"])
+        assert tuple(got[d["doc_id"]]) == (d["doc_id"], *counts, plain.sha(output), plain.sha(d["text"] or ""))
+
+
+def test_op12(spark, docs):
+    rows = sorted((d["doc_id"], d["text"]) for d in docs)
+    assert bag(queries.op12_seed_extend(spark, SF).collect()) == bag(plain.seed_extend(rows))
+
+
+def test_op13(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert bag(queries.op13_heap_clusters(spark, SF).collect()) == bag(plain.clusters(rows))
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage on the rows its predecessor wrote."""
     given = spark.read.parquet(f"{SF}/documents.parquet")
