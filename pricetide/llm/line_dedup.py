@@ -138,7 +138,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
                 maps.append(zlib.compress(np.packbits(keep).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(maps, pa.binary())], ["doc_id", "_text", "keep"])
 
-    per_doc = losses(docs).groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("at")).alias("at"))
+    per_doc = losses(docs).groupBy("doc_id", "_text").agg(F.flatten(F.collect_set("at")).alias("at"))
     return per_doc.mapInArrow(pack, f"doc_id {kind}, _text long, keep binary")
 
 
