@@ -154,6 +154,9 @@ ORACLES: dict[str, str] = {
     "op1_suffix_dedup": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 places AS (SELECT r, unnest(range(0, greatest(length(x) // 2 - 399, 0))) AS p, x FROM docs),
+short_windows AS (SELECT r, p, md5(substr(x, 2 * p + 1, 512)) AS m FROM (SELECT r, unnest(range(0, greatest(length(x) // 2 - 255, 0))) AS p, x FROM docs)),
+short_starts AS (SELECT r, p FROM short_windows JOIN (SELECT m FROM short_windows GROUP BY m HAVING count(*) > 1) USING (m)),
+short AS (SELECT r, CAST(sum(least(256, q - p)) AS BIGINT) AS again FROM (SELECT r, p, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p), p + 256) AS q FROM short_starts) GROUP BY r),
 windows AS (SELECT r, p, md5(substr(x, 2 * p + 1, 800)) AS m FROM places),
 twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
 starts AS (SELECT r, p FROM windows JOIN twice USING (m)),
@@ -166,7 +169,9 @@ kept AS (
         CASE WHEN k IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda i: substr(x, 2 * CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END + 1,
             2 * (CASE WHEN i > len(a) THEN length(x) // 2 ELSE a[i] END - CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END))), '') END AS rest
     FROM docs LEFT JOIN gone USING (r))
-SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS n_removed, CAST(k AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept""",
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS n_removed, CAST(k AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256,
+    coalesce(again, 0) AS n_repeated
+FROM kept LEFT JOIN short USING (r)""",
     "op2_decontaminate": r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -17,18 +17,26 @@ def sha(x: str | bytes) -> str:
     return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
 
 
-def suffix_dedup(rows, length=400):
-    """rows of (doc_id, text) -> rows of the digest."""
-    raw = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(b[p : p + length] for _, b in raw for p in range(len(b) - length + 1))
+def repeated_bytes(raw, length):
+    """Flags of the bytes inside strings of ``length`` that start at two places or more, for each text."""
+    seen = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
     out = []
-    for i, b in raw:
-        gone = bytearray(len(b))
+    for b in raw:
+        flags = bytearray(len(b))
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
-                gone[p : p + length] = b"\x01" * length
+                flags[p : p + length] = b"\x01" * length
+        out.append(flags)
+    return out
+
+
+def suffix_dedup(rows, length=400, short=256):
+    """rows of (doc_id, text) -> rows of the digest."""
+    raw = [(t or "").encode() for _, t in rows]
+    out = []
+    for (i, _), b, gone, again in zip(rows, raw, repeated_bytes(raw, length), repeated_bytes(raw, short), strict=True):
         spans = len(re.findall(b"\x01+", bytes(gone)))
-        out.append((i, len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone) if not g))))
+        out.append((i, len(b), sum(gone), spans, sha(bytes(c for c, g in zip(b, gone) if not g)), sum(again)))
     return out
 
 
