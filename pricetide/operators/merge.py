@@ -132,15 +132,16 @@ def upsert_latest(
     )
 
 
-def merge_latest(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Two tables of one row per key as one: the larger ``order_key`` wins, first and last dates of either survive."""
+def fold_latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key of rows that are one per key and part each: the larger ``order_key`` wins, first and last dates of all survive.
+
+    The order of the parts and the way they are grouped don't matter.
+    """
     dates = {"inserted_at": F.min("inserted_at"), "updated_at": F.max("updated_at")}
-    dates = {c: agg.alias(c) for c, agg in dates.items() if c in current.columns}
-    fields = [c for c in current.columns if c not in (*keys, *dates, "order_key")]
-    merged = current.unionByName(batch).groupBy(*keys).agg(
-        F.max_by(F.struct(*fields), "order_key").alias("r"), *dates.values(), F.max("order_key").alias("order_key")
-    )
-    return merged.select(*keys, *[f"r.{f}" for f in fields], *dates, "order_key").select(*current.columns)
+    dates = {c: agg.alias(c) for c, agg in dates.items() if c in rows.columns}
+    fields = [c for c in rows.columns if c not in (*keys, *dates, "order_key")]
+    merged = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "order_key").alias("r"), *dates.values(), F.max("order_key").alias("order_key"))
+    return merged.select(*keys, *[f"r.{f}" for f in fields], *dates, "order_key").select(*rows.columns)
 
 
 def replace_latest(rows: DataFrame, key: str, order: Column) -> DataFrame:

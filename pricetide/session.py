@@ -53,14 +53,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write a table several branches read, and continue from the columnar copy.
 
     The copy lives in the shared checkpoint folder, so it survives executors and later stages see
-    its true size and only the columns they need.
+    its true size and only the columns they need. ``options`` go to the Parquet writer.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

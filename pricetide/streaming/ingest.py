@@ -1,14 +1,22 @@
 """Incremental snapshot ingest with the results of its batch twins.
 
-A table of one row per key lies in hash buckets. A batch reads and rewrites the buckets it has rows for, nothing else, under
-its own number; a small map says which batch holds each bucket, and a pointer which map is current. A replayed batch reads
-the map before its own and writes the same files again. Rows keep their place in the caller's order, so equal stamps, late
-rows and rows years old end where one batch over everything would put them; nothing is dropped by age.
+A table of one row per key is kept as runs. A micro-batch writes one run: its own rows, one per key, and nothing else. When
+``FAN`` runs of a level have gathered they are merged into one run of the next level, so a row is rewritten once per level and
+what a batch writes follows the size of the batch, not of the table. Readers fold the runs: the larger ``order_key`` wins a
+key, first and last dates of all survive; folding any runs in any order gives the same rows. Rows keep their place in the
+caller's order, so equal stamps, late rows and rows years old end where one batch over everything would put them; nothing is
+dropped by age.
+
+Which runs are live stands in a manifest, one small file per batch that is written beside and renamed into place: readers take
+the newest manifest and see a whole table, before a batch or after it. A replayed batch starts from the manifest before its
+own and writes runs under new names. Runs that neither of the last ``KEPT`` manifests names are deleted.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.merge import merge_latest, price_history, upsert_latest
+from ..operators.merge import fold_latest, price_history, upsert_latest
 
-BUCKETS = 64
+FAN = 4
+KEPT = 3
+FILE_BYTES = 128 << 20
 
 
 def snapshot_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*", files_per_trigger: int = 8) -> DataFrame:
@@ -32,39 +42,112 @@ def snapshot_stream(spark: SparkSession, folder: str, schema: StructType, patter
     )
 
 
-def _map_path(target: str, batch_id: int) -> str:
-    return f"{target}/maps/batch={batch_id}"
-
-
-def _rows(spark: SparkSession, target: str, holders: dict[int, int], schema: StructType) -> DataFrame:
-    paths = [f"{target}/rows/batch={batch}/bucket={bucket}" for bucket, batch in sorted(holders.items())]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def start_keyed(
-    stream: DataFrame, target: str, checkpoint: str, keys: list[str], reduce: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Fold every micro-batch into a table of one row per key.
-
-    ``reduce`` turns a batch into one row per key with an ``order_key``. Only the first batch of a checkpoint may start from
-    nothing; a later one that cannot read its predecessor's map fails.
-    """
+class RunTable:
+    """Runs and manifests of one table below ``target``."""
+
+    def __init__(self, spark: SparkSession, target: str) -> None:
+        self.spark, self.target = spark, target.rstrip("/")
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.target).getFileSystem(self._conf)
+
+    # ------------------------------------------------------------ manifests
+    def _manifest_path(self, batch_id: int) -> str:
+        return f"{self.target}/manifests/{batch_id:020d}.json"
+
+    def batches(self) -> list[int]:
+        """Batches that have a manifest, oldest first."""
+        folder = self._path(f"{self.target}/manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def manifest(self, batch_id: int | None = None) -> dict:
+        """The manifest of a batch, or the newest; a missing one is an error."""
+        if batch_id is None:
+            found = self.batches()
+            if not found:
+                raise FileNotFoundError(f"no manifest below {self.target}")
+            batch_id = found[-1]
+        path = self._path(self._manifest_path(batch_id))
+        if not self._fs.exists(path):
+            raise FileNotFoundError(f"batch {batch_id} left no manifest below {self.target}")
+        stream = self._fs.open(path)
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, batch_id: int, manifest: dict) -> None:
+        """Put a manifest in place; readers see the one before or this one, never a part."""
+        side = self._path(f"{self.target}/manifests/.{batch_id:020d}-{uuid.uuid4().hex}")
+        stream = self._fs.create(side, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(side.toUri() if side.toUri().getScheme() else self._fs.getUri(), self._conf)
+        options = self._jvm.org.apache.hadoop.fs.Options
+        how = self.spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+        how[0] = getattr(options, "Rename").OVERWRITE
+        files.rename(self._fs.makeQualified(side), self._fs.makeQualified(self._path(self._manifest_path(batch_id))), how)
+
+    # ------------------------------------------------------------ runs
+    def write_run(self, rows: DataFrame, batch_id: int, level: int) -> dict:
+        """Rows as a run of their own; its name is never used again."""
+        name = f"{batch_id:020d}-{level}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.target}/runs/{name}")
+        size = self._fs.getContentSummary(self._path(f"{self.target}/runs/{name}")).getLength()
+        return {"name": name, "level": level, "bytes": size}
+
+    def read_runs(self, runs: list[dict], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.target}/runs/{r['name']}" for r in runs])
+
+    def compact(self, runs: list[dict], keys: list[str], schema: StructType, batch_id: int, fan: int = FAN) -> list[dict]:
+        """Merges ``fan`` runs of a level into one of the next until no level has so many; files grow in number with the run."""
+        runs = list(runs)
+        while full := [level for level, n in Counter(r["level"] for r in runs).items() if n >= fan]:
+            level = min(full)
+            merged = [r for r in runs if r["level"] == level]
+            files = max(1, -(-sum(r["bytes"] for r in merged) // FILE_BYTES))
+            rows = fold_latest(self.read_runs(merged, schema), keys).repartition(files, *keys)
+            runs = [r for r in runs if r["level"] != level] + [self.write_run(rows, batch_id, level + 1)]
+        return runs
+
+    def vacuum(self, batch_id: int, kept: int = KEPT) -> None:
+        """Deletes manifests older than the last ``kept`` and every run that those kept do not name.
+
+        Only the writer calls this, after its commit, so no run is on its way into a manifest.
+        """
+        batches = [b for b in self.batches() if b <= batch_id]
+        for old in batches[:-kept]:
+            self._fs.delete(self._path(self._manifest_path(old)), False)
+        live = {r["name"] for b in self.batches() for r in self.manifest(b)["runs"]}
+        for status in self._fs.listStatus(self._path(f"{self.target}/runs")):
+            if status.getPath().getName() not in live:
+                self._fs.delete(status.getPath(), True)
+
+    # ------------------------------------------------------------ batches and readers
+    def fold(self, batch: DataFrame, batch_id: int, keys: list[str], fan: int = FAN) -> None:
+        """Adds a batch of one row per key. Only batch 0 may start from nothing; a later one needs its predecessor's manifest."""
+        before = [] if batch_id == 0 else self.manifest(batch_id - 1)["runs"]
+        runs = [*before, self.write_run(batch, batch_id, 0)]
+        runs = self.compact(runs, keys, batch.schema, batch_id, fan)
+        self.commit(batch_id, {"batch": batch_id, "keys": keys, "schema": batch.schema.json(), "runs": runs})
+        self.vacuum(batch_id)
+
+    def latest(self) -> DataFrame:
+        """The table as of the newest manifest, with ``order_key``."""
+        found = self.manifest()
+        schema = StructType.fromJson(json.loads(found["schema"]))
+        return fold_latest(self.read_runs(found["runs"], schema), found["keys"])
+
+
+def start_keyed(stream: DataFrame, target: str, checkpoint: str, keys: list[str], reduce: Callable[[DataFrame], DataFrame], fan: int = FAN) -> StreamingQuery:
+    """Fold every micro-batch into a table of one row per key; ``reduce`` turns a batch into one row per key with an ``order_key``."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = reduce(batch).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        schema = fresh.drop("bucket").schema
-        known = {} if batch_id == 0 else dict(spark.read.parquet(_map_path(target, batch_id - 1)).select("bucket", "holder").collect())
-        touched = {r[0] for r in fresh.select("bucket").distinct().collect()}
-        before = _rows(spark, target, {b: known[b] for b in touched & set(known)}, schema)
-        merged = merge_latest(before, fresh.drop("bucket"), keys)
-        merged = merged.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/rows/batch={batch_id}")
-        fresh.unpersist()
-        now = known | dict.fromkeys(touched, batch_id)
-        spark.createDataFrame(sorted(now.items()), "bucket int, holder long").coalesce(1).write.mode("overwrite").parquet(_map_path(target, batch_id))
-        pointer = spark.createDataFrame([(batch_id, schema.json())], "batch long, schema string")
-        pointer.coalesce(1).write.mode("overwrite").parquet(f"{target}/current")
+        RunTable(batch.sparkSession, target).fold(reduce(batch), batch_id, keys, fan)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -82,6 +165,4 @@ def start_history(stream: DataFrame, target: str, checkpoint: str, order: Column
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
     """The current rows of a table kept by ``start_keyed``."""
-    batch, schema = spark.read.parquet(f"{target}/current").first()
-    holders = dict(spark.read.parquet(_map_path(target, batch)).select("bucket", "holder").collect())
-    return _rows(spark, target, holders, StructType.fromJson(json.loads(schema))).drop("order_key")
+    return RunTable(spark, target).latest().drop("order_key")

@@ -68,3 +68,77 @@ def test_a_lost_predecessor_is_an_error(spark, tmp_path):
         run(str(tmp_path / "elsewhere"))
     run(out)
     assert ingest.latest_version(spark, out).count() == 1
+
+
+# ---------------------------------------------------------------- runs, manifests, compaction
+def keyed_rows(spark, lo, hi, price):
+    df = spark.range(lo, hi).select(F.col("id").cast("string").alias("id"), F.lit(float(price)).alias("price"))
+    return df.withColumns({"inserted_at": F.lit(price), "updated_at": F.lit(price), "order_key": F.lit(price)})
+
+
+def written(target):
+    """Bytes of each run's files."""
+    return {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in (target / "runs").iterdir()}
+
+
+def test_a_small_batch_writes_a_small_run(spark, tmp_path):
+    table = ingest.RunTable(spark, str(tmp_path))
+    table.fold(keyed_rows(spark, 0, 200_000, 1), 0, ["id"])
+    large = max(written(tmp_path).values())
+    for batch in (1, 2):
+        before = set(written(tmp_path))
+        table.fold(keyed_rows(spark, 500 * batch, 500 * batch + 300, batch + 1), batch, ["id"])
+        assert sum(n for name, n in written(tmp_path).items() if name not in before) < large / 50
+    got = table.latest().groupBy("price").count().collect()
+    assert sorted(map(tuple, got)) == [(1.0, 199_400), (2.0, 300), (3.0, 300)]
+
+
+def test_runs_merge_by_level_and_old_ones_go(spark, tmp_path):
+    table = ingest.RunTable(spark, str(tmp_path))
+    for batch in range(10):
+        table.fold(keyed_rows(spark, batch, batch + 5, batch), batch, ["id"], fan=3)
+        runs = table.manifest()["runs"]
+        assert all(sum(r["level"] == level for r in runs) < 3 for level in range(4))
+    assert [r["level"] for r in sorted(runs, key=lambda r: r["level"])] == [0, 2]
+    assert table.batches() == [7, 8, 9]
+    named = {r["name"] for b in table.batches() for r in table.manifest(b)["runs"]}
+    assert set(written(tmp_path)) == named
+    got = {r["id"]: (r["price"], r["inserted_at"], r["updated_at"]) for r in table.latest().collect()}
+    assert got == {str(k): (float(min(k, 9)), max(0, k - 4), min(k, 9)) for k in range(14)}
+
+
+def test_a_replayed_batch_starts_from_its_predecessor(spark, tmp_path):
+    table = ingest.RunTable(spark, str(tmp_path))
+    for batch in (0, 1, 1, 1):
+        table.fold(keyed_rows(spark, 0, 3, batch), batch, ["id"])
+    assert table.batches() == [0, 1] and len(table.manifest()["runs"]) == 2
+    assert [r["price"] for r in table.latest().collect()] == [1.0] * 3
+
+
+def test_readers_see_the_manifest_they_began_with(spark, tmp_path):
+    """A half-written manifest is not seen, and runs stay for readers while later batches come in."""
+    table = ingest.RunTable(spark, str(tmp_path))
+    table.fold(keyed_rows(spark, 0, 3, 0), 0, ["id"], fan=2)
+    reader = table.latest()
+    (tmp_path / "manifests" / ".00000000000000000009-half").write_text("{")
+    for batch in (1, 2):
+        table.fold(keyed_rows(spark, 0, 3, batch), batch, ["id"], fan=2)
+    assert [r["price"] for r in reader.collect()] == [0.0] * 3
+    assert [r["price"] for r in table.latest().collect()] == [2.0] * 3
+
+
+def test_files_grow_in_number_with_the_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FILE_BYTES", 20_000)
+    table = ingest.RunTable(spark, str(tmp_path))
+    for batch in (0, 1):
+        table.fold(keyed_rows(spark, 20_000 * batch, 20_000 * (batch + 1), batch), batch, ["id"], fan=2)
+    (run,) = table.manifest()["runs"]
+    assert run["level"] == 1 and len(list((tmp_path / "runs" / run["name"]).glob("*.parquet"))) > 3
+    assert table.latest().count() == 40_000
+
+
+def test_no_manifest_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        ingest.latest_version(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        ingest.RunTable(spark, str(tmp_path)).fold(keyed_rows(spark, 0, 1, 0), 3, ["id"])
