@@ -121,6 +121,26 @@ def test_seed_extend_of_random_mosaics(spark, seed):
     assert bag(seed_extend.seed_extend_dedup(df).collect()) == expected_rows(spark, pairs)
 
 
+def judged(rows, size):
+    """Marks of sorted rows that come in batches of ``size``."""
+    names = list(seed_extend.ROWS)
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    parts = [batch.slice(k, size) for k in range(0, batch.num_rows, size)]
+    return Counter((r["doc_id"], r["mark"]) for out in seed_extend.judge_rows(iter(parts)) for r in out.to_pylist())
+
+
+@pytest.mark.parametrize("size", range(1, 12))
+def test_scan_keeps_its_state_between_batches(size):
+    rows = [
+        (False, 1, 5, 7, 0, 3, 0), (False, 1, 5, 7, 0, 3, 0), (False, 1, 5, 8, 0, 3, 0), (False, 1, 5, 8, 0, 3, 0),  # one content: a copy, each row twice
+        (False, 2, 5, None, 0, 1, 34), (False, 2, 5, None, 1, 1, 34), (False, 2, 6, 9, 0, 4, 1), (False, 2, 7, 9, 0, 8, 0), (True, 2, 7, 9, 0, 9, 0),
+        (False, 3, 1, 1, 1, 1, 1), (False, 4, 1, 1, 1, 2, 1),
+    ]
+    span = lambda start, stop: (start << 32) + stop
+    assert judged(rows, size) == Counter({(8, span(3, 23)): 2, (None, span(1, 22)): 1, (None, -1 - 3): 1, (9, -1 - 5): 1, (9, -1 - 8): 1, (9, span(9, 29)): 1})
+
+
 def test_hot_passages_and_repeated_rows(spark):
     """A third of the rows share a passage in different surroundings, a third are one row, the rest are copies of one text."""
     passage = " ".join(f"p{k}" for k in range(60))
@@ -136,7 +156,7 @@ def test_maximal_repeats(spark):
     common = [f"c{k}" for k in range(50)]
     rows = [(1, " ".join(["x"] * 3 + common)), (2, " ".join(["y", "z", *common, "q"])), (3, " ".join(common[5:24])), (4, " ".join(common[:30] + ["-"] + common[30:]))]
     got = seed_extend.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert bag(got) == bag([(2, 2, 52, 1, 3), (4, 0, 30, 1, 3), (4, 31, 51, 1, 33)])
+    assert bag(got) == bag([(2, 2, 52), (4, 0, 30), (4, 31, 51)])
 
 
 # ---------------------------------------------------------------- clusters
