@@ -7,12 +7,14 @@ rules a fit/transform contract, so a Pipeline or cross-validation never looks at
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, uniform
 from ..session import stored
-from .ordered import Quantile, aggregate, attach
+from .ordered import Quantile, aggregate, attach, join_keys
 
 RARE_MIN_COUNT = 10
 RARE_LABEL = "outros"
@@ -33,7 +35,7 @@ def learn_rare(df: DataFrame, column: str = "district", by: list[str] | None = N
 def apply_rare(df: DataFrame, rare: DataFrame, column: str = "district", by: list[str] | None = None, label: str = RARE_LABEL) -> DataFrame:
     """Replace the learned rare categories; categories never seen are kept."""
     keys = [*(by or []), column]
-    marked = df.join(rare.withColumn("__rare", F.lit(True)), keys, "left")
+    marked = join_keys(df, rare.withColumn("__rare", F.lit(True)), keys, "left")
     replaced = F.when(F.col("__rare"), F.lit(label)).otherwise(F.col(column))
     return marked.withColumn(column, replaced).drop("__rare")
 
@@ -103,7 +105,7 @@ def learn_median_encoding(df: DataFrame, column: str, value: str, min_count: int
 
 
 def apply_median_encoding(df: DataFrame, per: DataFrame, overall: DataFrame, column: str, out: str) -> DataFrame:
-    joined = df.join(per.withColumnRenamed("encoded", "__e"), column, "left")
+    joined = join_keys(df, per.withColumnRenamed("encoded", "__e"), [column], "left")
     return joined.withColumn(out, F.coalesce("__e", overall.select("encoded").scalar())).drop("__e")
 
 
@@ -145,7 +147,7 @@ def leakfree_prepare(rows: DataFrame, by: list[str], columns=NUMERIC_COLUMNS, ra
 
 def input_warnings(rows: DataFrame, rare: DataFrame, bounds: DataFrame, by: list[str], columns=NUMERIC_COLUMNS) -> DataFrame:
     """Rows with the fields outside what training saw: array of (field, direction, low, high)."""
-    marked = rows.join(rare.withColumn("__rare", F.lit(True)), [*by, "district"], "left")
+    marked = join_keys(rows, rare.withColumn("__rare", F.lit(True)), [*by, "district"], "left")
     marked = attach(marked, bounds, by)
     none = F.lit(None).cast("double")
 
@@ -164,15 +166,62 @@ def input_warnings(rows: DataFrame, rare: DataFrame, bounds: DataFrame, by: list
 
 
 # ---------------------------------------------------------------- ML wrappers
-class _RuleModel(Model):
-    """Applies learned rules to whatever frame it is given."""
-
-    def __init__(self, apply):
+def _apply(rule: str, df: DataFrame, tables: dict[str, DataFrame], columns: list[str], by: list[str], out: str) -> DataFrame:
+    match rule:
+        case "rare":
+            return apply_rare(df, tables["rare"], columns[0], by)
+        case "clip":
+            return apply_clip(df, tables["bounds"], columns, by)
+        case "fence":
+            return mark_iqr(df, tables["fences"], columns, by, out)
+        case "encode":
+            return apply_median_encoding(df, tables["per"], tables["overall"], columns[0], out)
+    raise ValueError(f"no rule is called {rule!r}")
+
+
+class RuleModel(Model, MLWritable, MLReadable):
+    """Applies a learned rule to whatever frame it is given. The rule's tables are saved with it."""
+
+    rule = Param(Params._dummy(), "rule", "rare, clip, fence or encode", TypeConverters.toString)
+    columns = Param(Params._dummy(), "columns", "columns the rule looks at", TypeConverters.toListString)
+    by = Param(Params._dummy(), "by", "columns of the groups it was learned in", TypeConverters.toListString)
+    out = Param(Params._dummy(), "out", "column it adds, if any", TypeConverters.toString)
+
+    def __init__(self, rule: str = "rare", tables: dict[str, DataFrame] | None = None, columns=(), by: list[str] | None = None, out: str = ""):
         super().__init__()
-        self._apply = apply
+        self.tables = tables or {}
+        self._set(rule=rule, columns=list(columns), by=list(by or []), out=out)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self._apply(dataset)
+        given = (self.getOrDefault(p) for p in (self.columns, self.by, self.out))
+        return _apply(self.getOrDefault(self.rule), dataset, self.tables, *given)
+
+    def write(self) -> MLWriter:
+        return _RuleWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _RuleReader()
+
+
+class _RuleWriter(MLWriter):
+    def __init__(self, model: RuleModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, {"tables": sorted(self.model.tables)})
+        for name, table in self.model.tables.items():
+            table.write.parquet(f"{path}/tables/{name}")
+
+
+class _RuleReader(MLReader):
+    def load(self, path: str) -> RuleModel:
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = RuleModel(tables={name: self.sparkSession.read.parquet(f"{path}/tables/{name}") for name in found["tables"]})
+        model._resetUid(found["uid"])
+        DefaultParamsReader.getAndSetParams(model, found)
+        return model
 
 
 class RareCategories(Estimator):
@@ -180,9 +229,8 @@ class RareCategories(Estimator):
         super().__init__()
         self.column, self.by, self.min_count = column, by, min_count
 
-    def _fit(self, dataset: DataFrame) -> _RuleModel:
-        rare = stored(learn_rare(dataset, self.column, self.by, self.min_count))
-        return _RuleModel(lambda df: apply_rare(df, rare, self.column, self.by))
+    def _fit(self, dataset: DataFrame) -> RuleModel:
+        return RuleModel("rare", {"rare": stored(learn_rare(dataset, self.column, self.by, self.min_count))}, [self.column], self.by)
 
 
 class QuantileClip(Estimator):
@@ -190,9 +238,8 @@ class QuantileClip(Estimator):
         super().__init__()
         self.columns, self.by, self.quantiles = columns, by, quantiles
 
-    def _fit(self, dataset: DataFrame) -> _RuleModel:
-        bounds = stored(learn_clip(dataset, self.columns, self.by, self.quantiles))
-        return _RuleModel(lambda df: apply_clip(df, bounds, self.columns, self.by))
+    def _fit(self, dataset: DataFrame) -> RuleModel:
+        return RuleModel("clip", {"bounds": stored(learn_clip(dataset, self.columns, self.by, self.quantiles))}, self.columns, self.by)
 
 
 class IqrFence(Estimator):
@@ -202,9 +249,8 @@ class IqrFence(Estimator):
         super().__init__()
         self.columns, self.by, self.factor = columns, by, factor
 
-    def _fit(self, dataset: DataFrame) -> _RuleModel:
-        fences = stored(learn_iqr(dataset, self.columns, self.by, self.factor))
-        return _RuleModel(lambda df: mark_iqr(df, fences, self.columns, self.by))
+    def _fit(self, dataset: DataFrame) -> RuleModel:
+        return RuleModel("fence", {"fences": stored(learn_iqr(dataset, self.columns, self.by, self.factor))}, self.columns, self.by, "typical")
 
 
 class MedianTargetEncoder(Estimator):
@@ -212,6 +258,6 @@ class MedianTargetEncoder(Estimator):
         super().__init__()
         self.column, self.value, self.out, self.min_count = column, value, out, min_count
 
-    def _fit(self, dataset: DataFrame) -> _RuleModel:
+    def _fit(self, dataset: DataFrame) -> RuleModel:
         per, overall = map(stored, learn_median_encoding(dataset, self.column, self.value, self.min_count))
-        return _RuleModel(lambda df: apply_median_encoding(df, per, overall, self.column, self.out))
+        return RuleModel("encode", {"per": per, "overall": overall}, [self.column], out=self.out)

@@ -2,11 +2,14 @@
 
 Candidates are described by data (name, target scale), fitted as MLlib pipelines, and compared by
 out-of-fold predictions that stay DataFrames. Only model names, weights and metrics of a handful of
-candidates reach the driver.
+candidates reach the driver. Linear models look at one-hot categories, trees at nominal indices. Ensembles are saved and
+loaded with their members, weights and cleaning rules (``EnsembleModel``, ``save_segments``); out-of-fold predictions can be
+kept cell by cell (``cells.CellStore``), so that training goes on where it stopped.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -14,15 +17,19 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import reference_area, safe_expm1
+from ..session import stored
+from .cells import CellStore, cell_name, rows_digest, settings
 from .clean import NUMERIC_COLUMNS, apply_median_encoding, learn_median_encoding
 from .metrics import percentage_error, regression_metrics
 
@@ -31,6 +38,10 @@ TOP_MODELS = 3
 # A constant column sends the closed form to an iterative solver, which then has to come as close.
 EXACT = {"maxIter": 1000, "tol": 1e-12}
 SEED = 42
+# Parts of a forest that are fitted at the same time, and rows to a partition for tree learners.
+PARTS = 8
+TREE_ROWS = 100_000
+MISSING = "(none)"
 
 
 # ---------------------------------------------------------------- features and candidates
@@ -47,10 +58,45 @@ def feature_stages(numeric=NUMERIC_COLUMNS, categorical=CATEGORICAL_COLUMNS, out
     ]
 
 
+def tree_stages(numeric=NUMERIC_COLUMNS, categorical=CATEGORICAL_COLUMNS, out: str = "features") -> list:
+    """Numbers as they are and categories as nominal indices, which trees split into subsets; unseen categories share one index."""
+    index = [f"{c}__i" for c in categorical]
+    return [
+        StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*numeric, *index], outputCol=out),
+    ]
+
+
+def is_tree(estimator) -> bool:
+    return estimator.hasParam("maxDepth")
+
+
+def stages_for(estimator, numeric=NUMERIC_COLUMNS, categorical=CATEGORICAL_COLUMNS) -> list:
+    return tree_stages(numeric, categorical) if is_tree(estimator) else feature_stages(numeric, categorical)
+
+
+def tree_rows(frame: DataFrame, label: str) -> DataFrame:
+    """What a tree learner sees. Its draws depend on partitions and their order; here both follow from the rows alone."""
+    rows = frame.select("features", label)
+    parts = max(1, -(-rows.count() // TREE_ROWS))
+    return rows.repartition(parts, label).sortWithinPartitions(label, vector_to_array("features"))
+
+
+def fit_on(estimator, frame: DataFrame, label: str, features: PipelineModel) -> PipelineModel:
+    """The fitted feature stages with the estimator fitted behind them."""
+    ready = features.transform(frame)
+    estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: label})
+    if is_tree(estimator):
+        most = max([0, *(len(names) for s in features.stages if isinstance(s, StringIndexerModel) for names in s.labelsArray)])
+        estimator = estimator.copy({estimator.maxBins: max(estimator.getMaxBins(), most + 1)})
+        ready = tree_rows(ready, label)
+    return PipelineModel(stages=[*features.stages, estimator.fit(ready)])
+
+
 def impute(df: DataFrame, numeric=NUMERIC_COLUMNS, categorical=CATEGORICAL_COLUMNS) -> DataFrame:
-    """Constant imputation: 0 for numbers, empty text for categories."""
+    """Constant imputation: 0 for numbers; null and empty categories are one of their own (``MISSING``, for a name can't be empty)."""
     df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric})
-    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical})
+    return df.withColumns({c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(MISSING)) for c in categorical})
 
 
 def regressors(trees: int = 400, rounds: int = 500, seed: int = SEED) -> dict[str, Callable]:
@@ -65,9 +111,85 @@ def regressors(trees: int = 400, rounds: int = 500, seed: int = SEED) -> dict[st
     }
 
 
-def forest(trees: int, min_rows: int, seed: int = SEED) -> RandomForestRegressor:
+class SplitForest(RandomForestRegressor):
+    """A forest fitted as ``PARTS`` smaller ones at the same time.
+
+    Deep trees are grown level by level from dense statistics of all open nodes. Smaller forests keep those and the nodes that
+    travel with each job small, and fill the cores where the rows are few. Part i draws with seed + i; the mean of the parts'
+    predictions, weighted by their trees, is that of the whole forest.
+    """
+
+    def _fit(self, dataset: DataFrame) -> SplitForestModel:
+        parts = min(PARTS, self.getNumTrees())
+        sizes = [self.getNumTrees() // parts + (i < self.getNumTrees() % parts) for i in range(parts)]
+        rows = dataset.select(self.getFeaturesCol(), self.getLabelCol()).persist()
+
+        def one(task):
+            i, trees = task
+            part = self.copy({self.numTrees: trees, self.seed: self.getSeed() + i, self.predictionCol: f"__part{i}"})
+            return RandomForestRegressor._fit(part, rows)
+
+        try:
+            with ThreadPool(parts) as pool:
+                models = pool.map(inheritable_thread_target(one), list(enumerate(sizes)))
+        finally:
+            rows.unpersist()
+        return SplitForestModel(models, self.getPredictionCol())
+
+
+class SplitForestModel(Model, MLWritable, MLReadable):
+    """The mean of forests, weighted by their trees."""
+
+    predictionCol = Param(Params._dummy(), "predictionCol", "column of the predictions", TypeConverters.toString)
+
+    def __init__(self, parts: list[RandomForestRegressionModel] | None = None, out: str = "prediction"):
+        super().__init__()
+        self.parts = parts or []
+        self._set(predictionCol=out)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scored = reduce(lambda df, part: part.transform(df), self.parts, dataset)
+        weighted = [F.lit(float(p.getNumTrees)) * F.col(p.getPredictionCol()) for p in self.parts]
+        mean = reduce(Column.__add__, weighted) / float(sum(p.getNumTrees for p in self.parts))
+        return scored.withColumn(self.getOrDefault(self.predictionCol), mean).drop(*(p.getPredictionCol() for p in self.parts))
+
+    def write(self) -> MLWriter:
+        return _PartsWriter(self, self.parts)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _PartsReader(cls, RandomForestRegressionModel)
+
+
+class _PartsWriter(MLWriter):
+    """Params of a model and, beside them, the models it holds."""
+
+    def __init__(self, model: Model, parts: list):
+        super().__init__()
+        self.model, self.parts = model, parts
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, {"parts": len(self.parts)})
+        for i, part in enumerate(self.parts):
+            part.write().save(f"{path}/parts/{i}")
+
+
+class _PartsReader(MLReader):
+    def __init__(self, cls: type, part: type):
+        super().__init__()
+        self.cls, self.part = cls, part
+
+    def load(self, path: str):
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls([self.part.load(f"{path}/parts/{i}") for i in range(found["parts"])])
+        model._resetUid(found["uid"])
+        DefaultParamsReader.getAndSetParams(model, found)
+        return model
+
+
+def forest(trees: int, min_rows: int, seed: int = SEED) -> SplitForest:
     """Every split looks at all features; trees grow to the depth limit of the implementation."""
-    return RandomForestRegressor(numTrees=trees, minInstancesPerNode=min_rows, maxDepth=30, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed)
+    return SplitForest(numTrees=trees, minInstancesPerNode=min_rows, maxDepth=30, featureSubsetStrategy="all", maxMemoryInMB=256, cacheNodeIds=True, seed=seed)
 
 
 @dataclass(frozen=True)
@@ -136,42 +258,55 @@ def penalised(estimator, frame: DataFrame, label: str):
     return estimator.copy(changes)
 
 
-def _features(train: DataFrame, candidate: Candidate) -> PipelineModel:
-    return Pipeline(stages=feature_stages(candidate.numeric, candidate.categorical)).fit(impute(train, candidate.numeric, candidate.categorical))
+def _features(train: DataFrame, candidate: Candidate, estimator) -> PipelineModel:
+    return Pipeline(stages=stages_for(estimator, candidate.numeric, candidate.categorical)).fit(impute(train, candidate.numeric, candidate.categorical))
 
 
 def fit(train: DataFrame, candidate: Candidate, factories: dict[str, Callable], price: str = "price", features: PipelineModel | None = None) -> Fitted:
     """Fit one candidate on its target scale; ``features`` are its feature stages if they are fitted already."""
-    features = features or _features(train, candidate)
+    estimator = factories[candidate.model]()
+    features = features or _features(train, candidate, estimator)
     frame = impute(train, candidate.numeric, candidate.categorical).withColumn("__y", target_column(candidate.target, price))
-    estimator = penalised(factories[candidate.model](), frame, "__y")
-    estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "__y"})
-    return Fitted(candidate, PipelineModel(stages=[*features.stages, estimator.fit(features.transform(frame))]))
+    return Fitted(candidate, fit_on(penalised(estimator, frame, "__y"), frame, "__y", features))
 
 
 # ---------------------------------------------------------------- comparison
 def out_of_fold(
-    train: DataFrame, candidates: list[Candidate], factories: dict[str, Callable], fold: str = "fold", price: str = "price", parallelism: int = 4
+    train: DataFrame,
+    candidates: list[Candidate],
+    factories: dict[str, Callable],
+    fold: str = "fold",
+    price: str = "price",
+    parallelism: int = 4,
+    store: CellStore | None = None,
 ) -> DataFrame:
     """Predictions of every candidate for rows of the fold it did not see, as (…, model, y_pred).
 
-    Candidates that look at the same columns share a fold's fitted feature stages; ``parallelism`` fits run at a time.
+    Candidates that look at the same columns in the same way share a fold's fitted feature stages; ``parallelism`` fits run at a
+    time. With a ``store`` every (fold, candidate) cell is written when it is done, and cells that are there are not fitted again.
     """
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())
-    shared = {(k, c.numeric, c.categorical): c for k in folds for c in candidates}
+    cells = [(c, k) for c in candidates for k in folds]
+    made = {c: factories[c.model]() for c in candidates}
+    data = rows_digest(train) if store else ""
+    names = {(c, k): cell_name(data, c.name, repr(c), settings(made[c]), fold, k, price) for c, k in cells} if store else {}
+    todo = [cell for cell in cells if not store or not store.has(names[cell])]
+    shared = {(k, c.numeric, c.categorical, is_tree(made[c])): c for c, k in todo}
 
     def stages(key):
-        return key, _features(train.filter(F.col(fold) != key[0]), shared[key])
+        return key, _features(train.filter(F.col(fold) != key[0]), shared[key], made[shared[key]])
 
     def one(task):
         candidate, k = task
-        fitted = fit(train.filter(F.col(fold) != k), candidate, factories, price, ready[k, candidate.numeric, candidate.categorical])
-        return fitted.predict(train.filter(F.col(fold) == k)).withColumn("model", F.lit(candidate.name))
+        features = ready[k, candidate.numeric, candidate.categorical, is_tree(made[candidate])]
+        fitted = fit(train.filter(F.col(fold) != k), candidate, factories, price, features)
+        held = fitted.predict(train.filter(F.col(fold) == k)).withColumn("model", F.lit(candidate.name))
+        return store.put(names[task], held) if store else held
 
     with ThreadPool(parallelism) as pool:
         ready = dict(pool.map(inheritable_thread_target(stages), shared))
-        parts = pool.map(inheritable_thread_target(one), [(c, k) for c in candidates for k in folds])
-    return reduce(DataFrame.unionByName, parts)
+        parts = pool.map(inheritable_thread_target(one), todo, 1)
+    return store.read([names[cell] for cell in cells]) if store else reduce(DataFrame.unionByName, parts)
 
 
 def cv_leaderboard(predictions: DataFrame, keys: list[str] | None = None, y: str = "price") -> DataFrame:
@@ -223,6 +358,64 @@ def predict_median(df: DataFrame, members: list[Fitted], out: str = "y_pred") ->
     return scored.withColumn(out, middle).select(*df.columns, out)
 
 
+class EnsembleModel(Model, MLWritable, MLReadable):
+    """Fitted members and how their predictions are combined; saved and loaded as one model."""
+
+    combine = Param(Params._dummy(), "combine", "weighted or median", TypeConverters.toString)
+    predictionCol = Param(Params._dummy(), "predictionCol", "column of the combined predictions", TypeConverters.toString)
+    weights = Param(Params._dummy(), "weights", "weight of each member", TypeConverters.toListFloat)
+    candidates = Param(Params._dummy(), "candidates", "what each member is, as text", TypeConverters.toListString)
+
+    def __init__(self, parts: list[PipelineModel] | None = None, candidates: list[Candidate] | None = None, weights: list[float] | None = None, combine: str = "weighted", out: str = "y_pred"):
+        super().__init__()
+        self.parts = parts or []
+        described = [json.dumps([c.model, c.target, c.numeric, c.categorical]) for c in candidates or []]
+        self._set(combine=combine, predictionCol=out, weights=weights or [], candidates=described)
+
+    @classmethod
+    def of(cls, members: list[Fitted], combine: str = "weighted", out: str = "y_pred") -> EnsembleModel:
+        return cls([m.pipeline for m in members], [m.candidate for m in members], [m.weight for m in members], combine, out)
+
+    @property
+    def members(self) -> list[Fitted]:
+        described = [json.loads(c) for c in self.getOrDefault(self.candidates)]
+        made = [Candidate(model, target, tuple(numeric), tuple(categorical)) for model, target, numeric, categorical in described]
+        return [Fitted(c, p, w) for c, p, w in zip(made, self.parts, self.getOrDefault(self.weights), strict=True)]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        combined = predict_median if self.getOrDefault(self.combine) == "median" else predict_weighted
+        return combined(dataset, self.members, self.getOrDefault(self.predictionCol))
+
+    def write(self) -> MLWriter:
+        return _PartsWriter(self, self.parts)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _PartsReader(cls, PipelineModel)
+
+
+def save_segments(path: str, rules: PipelineModel, models: dict[str, EnsembleModel], spark: SparkSession) -> None:
+    """Cleaning rules and an ensemble per segment below one folder; the list of segments is written last and makes it complete."""
+    rules.write().save(f"{path}/rules")
+    for i, model in enumerate(models.values()):
+        model.write().save(f"{path}/segments/{i}")
+    spark.createDataFrame(list(enumerate(models)), "place int, segment string").coalesce(1).write.parquet(f"{path}/index")
+
+
+def load_segments(path: str, spark: SparkSession) -> tuple[PipelineModel, dict[str, EnsembleModel]]:
+    """What ``save_segments`` wrote: a row per segment reaches the driver."""
+    index = spark.read.parquet(f"{path}/index").orderBy("place").collect()
+    return PipelineModel.load(f"{path}/rules"), {r["segment"]: EnsembleModel.load(f"{path}/segments/{r['place']}") for r in index}
+
+
+def score_segments(rows: DataFrame, rules: PipelineModel, models: dict[str, EnsembleModel], segment: str = "kind", out: str = "estimate") -> DataFrame:
+    """Rows cleaned with the rules and scored by the ensemble of their segment; rows of other segments have no estimate."""
+    ready = stored(rules.transform(rows))
+    parts = [predict_weighted(ready.filter(F.col(segment) == name), model.members, out) for name, model in models.items()]
+    rest = ready.filter(~F.coalesce(F.col(segment).isin(list(models)), F.lit(False))).withColumn(out, F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, [*parts, rest])
+
+
 def fit_ensemble(train: DataFrame, weights: dict[str, float], candidates: list[Candidate], factories: dict[str, Callable], price: str = "price") -> list[Fitted]:
     """Refit the chosen members on all given rows."""
     by_name = {c.name: c for c in candidates}
@@ -245,14 +438,23 @@ class SegmentModel:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def train_segment(prepared: DataFrame, final_rows: DataFrame | None, segment: str, candidates: list[Candidate], factories: dict[str, Callable], metric: str = "mae", tie: str = "rmse") -> SegmentModel:
+def train_segment(
+    prepared: DataFrame,
+    final_rows: DataFrame | None,
+    segment: str,
+    candidates: list[Candidate],
+    factories: dict[str, Callable],
+    metric: str = "mae",
+    tie: str = "rmse",
+    store: CellStore | None = None,
+) -> SegmentModel:
     """Rank on the folds of the train part, fit the ensemble for evaluation, refit on everything.
 
     ``prepared``: part, fold and features, cleaned with rules of the train part. ``final_rows``:
     the segment cleaned with rules of all its rows; None leaves the final fit out.
     """
     train = prepared.filter("part = 'train'")
-    board = cv_leaderboard(out_of_fold(train, candidates, factories))
+    board = cv_leaderboard(out_of_fold(train, candidates, factories, store=store))
     weights = inverse_weights(top_members(board, metric, tie))
     return SegmentModel(
         segment,
@@ -305,9 +507,7 @@ GROWTH_NUMERIC = (
 def fit_growth(train: DataFrame, estimator, numeric=GROWTH_NUMERIC, target: str = "target") -> PipelineModel:
     """Expected log growth over the horizon."""
     frame = impute(train, numeric)
-    est = penalised(estimator, frame, target)
-    est = est.copy({est.featuresCol: "features", est.labelCol: target})
-    return Pipeline(stages=[*feature_stages(numeric), est]).fit(frame)
+    return fit_on(penalised(estimator, frame, target), frame, target, Pipeline(stages=stages_for(estimator, numeric)).fit(frame))
 
 
 def predict_growth(model: PipelineModel, df: DataFrame, numeric=GROWTH_NUMERIC, out: str = "y_pred") -> DataFrame:
@@ -336,8 +536,7 @@ def fit_price_cut(train: DataFrame, estimator, band: float = 0.005, numeric=GROW
     frame = impute(train, numeric).withColumn("label", (F.col("target") < -band).cast("double"))
     if isinstance(estimator, LogisticRegression):
         estimator = estimator.copy({estimator.regParam: estimator.getRegParam() / max(frame.count(), 1)})
-    est = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "label"})
-    return Pipeline(stages=[*feature_stages(numeric), est]).fit(frame)
+    return fit_on(estimator, frame, "label", Pipeline(stages=stages_for(estimator, numeric)).fit(frame))
 
 
 def predict_price_cut(model: PipelineModel, df: DataFrame, band: float = 0.005, numeric=GROWTH_NUMERIC) -> DataFrame:
@@ -378,9 +577,7 @@ def macro_forecasts(split: DataFrame, features: list[str], factories: dict[str,
         rows = usable.filter(F.col("cut") == F.lit(cut))
         train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
         for name, make in factories.items():
-            estimator = penalised(make(), train, "target")
-            estimator = estimator.copy({estimator.featuresCol: "features", estimator.labelCol: "target"})
-            model = Pipeline(stages=[*stages, estimator]).fit(train)
+            model = fit_on(penalised(make(), train, "target"), train, "target", Pipeline(stages=stages).fit(train))
             parts.append(model.transform(test).select(*rows.columns, "prediction").withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 

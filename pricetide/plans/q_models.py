@@ -17,6 +17,7 @@ from ..functions.dates import month_start
 from ..operators import clean, metrics, models
 from ..operators import index as I
 from ..operators import panel as P
+from ..operators.cells import CellStore
 from ..operators.rates import distribution
 from ..session import stored
 from . import bindings as B
@@ -135,7 +136,7 @@ def _segment(rows: DataFrame, kind: str, part: str) -> DataFrame:
 def cv_leaderboard(spark, sf):
     """Candidates ranked by out-of-fold predictions of the train part."""
     train = prepared(spark, sf).filter("part = 'train'")
-    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, SMALL))
+    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, SMALL, store=_store(spark)))
     return board.orderBy("mae", "rmse")
 
 
@@ -154,7 +155,7 @@ def grid_search(spark, sf):
 def _ensemble(spark, sf, metric: str, tie: str):
     rows = prepared(spark, sf)
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, SMALL))
+    board = models.cv_leaderboard(models.out_of_fold(train, CANDIDATES, SMALL, store=_store(spark)))
     weights = models.inverse_weights(models.top_members(board, metric, tie))
     return train, test, weights
 
@@ -171,7 +172,7 @@ def weighted_ensemble(spark, sf):
 def mdape_ensemble(spark, sf):
     """Weights by 1 / MdAPE; the ensemble competes with its members on the same out-of-fold rows."""
     train = prepared(spark, sf).filter("part = 'train'")
-    held = stored(models.out_of_fold(train, CANDIDATES, SMALL).select("entity", "price", "model", "y_pred"))
+    held = models.out_of_fold(train, CANDIDATES, SMALL, store=_store(spark)).select("entity", "price", "model", "y_pred")
     board = models.cv_leaderboard(held)
     weights = models.inverse_weights(models.top_members(board, "mdape", "mae"))
     mixed = models.combine(held, weights, ["entity", "price"]).withColumn("model", F.lit("ensemble"))
@@ -188,9 +189,15 @@ def median_ensemble(spark, sf):
     return scores(models.predict_median(test, members), ["kind"])
 
 
+def _store(spark) -> CellStore:
+    """A folder of this run's out-of-fold cells."""
+    return CellStore(spark, B.shared_folder(spark, "cells"))
+
+
 def _train_segments(spark, sf, refit: bool = False):
     """One model set per segment: an evaluation fit on train and, with ``refit``, a final fit on everything."""
     rows = prepared(spark, sf)
+    store = _store(spark)
     final = None
     if refit:
         everything = clean.price_per_area_column(listings(spark, sf)).withColumn("part", F.lit("train"))
@@ -198,7 +205,7 @@ def _train_segments(spark, sf, refit: bool = False):
     out = []
     for kind in kinds(rows):
         everything = final.filter(F.col("kind") == kind) if refit else None
-        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES, PUBLISHED))
+        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES, PUBLISHED, store=store))
     return rows, out
 
 
@@ -209,15 +216,21 @@ def segmented_training(spark, sf):
     return scores(reduce(DataFrame.unionByName, scored), ["kind"])
 
 
+def train_and_save(spark, sf) -> str:
+    """Trains every segment, and leaves the final ensembles and the cleaning rules of their rows in a folder."""
+    _, trained = _train_segments(spark, sf, refit=True)
+    rules = Pipeline(stages=[clean.RareCategories("district", ["kind"]), clean.QuantileClip(by=["kind"])])
+    folder = B.shared_folder(spark, "segments")
+    models.save_segments(folder, rules.fit(listings(spark, sf)), {t.segment: models.EnsembleModel.of(t.final) for t in trained}, spark)
+    return folder
+
+
 @query("batch_score")
 def batch_score(spark, sf):
-    """Final segment models over all current listings, with the cleaning rules of their training."""
-    _, trained = _train_segments(spark, sf, refit=True)
-    rows = clean.price_per_area_column(listings(spark, sf))
-    rare, bounds = clean.learn_rare(rows, "district", ["kind"]), clean.learn_clip(rows, by=["kind"])
-    ready = stored(clean.apply_clip(clean.apply_rare(rows, rare, "district", ["kind"]), bounds, by=["kind"]))
-    scored = [models.predict_weighted(ready.filter(F.col("kind") == t.segment), t.final, "estimate") for t in trained]
-    return reduce(DataFrame.unionByName, scored).select("entity", "kind", "district", "price", "estimate")
+    """Final segment models over all current listings: models and cleaning rules as training saved them, read back."""
+    rules, saved = models.load_segments(train_and_save(spark, sf), spark)
+    scored = models.score_segments(clean.price_per_area_column(listings(spark, sf)), rules, saved)
+    return scored.select("entity", "kind", "district", "price", "estimate")
 
 
 @query("leaderboard_table")
