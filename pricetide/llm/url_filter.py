@@ -51,6 +51,7 @@ class Trie:
             ends = node.setdefault(None, {})
             if ends.get(rest, ("allow",))[0] != "block":
                 ends[rest] = (verdict, host + path)
+            ends[None] = sorted({len(r) for r in ends if r is not None}, reverse=True)  # the lengths worth a look
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest rule that fits."""
@@ -66,7 +67,7 @@ class Trie:
             best = None
             for k, segment in enumerate(segments):
                 ends = node.get(None, {})
-                rest = next((segment[:m] for m in range(len(segment), -1, -1) if segment[:m] in ends), None)
+                rest = next((segment[:m] for m in ends.get(None, ()) if segment[:m] in ends), None)
                 if rest is not None:
                     best = ends[rest]
                 if segment not in node or k == len(segments) - 1:
