@@ -188,11 +188,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
         for batch in batches:
             got = [features(shared.value, data, offsets) for _, _, data, offsets in tb.slices(batch.column("text"))]
             x = np.concatenate(got) if got else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column("toxic")], ["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(x[:, k]) for k in range(3)), batch.column("toxic")], ["_id", "a", "b", "c", "toxic"])
 
     fits = sample.where("fits").select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(fits), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    got = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(fits), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic")
+    # One row per sampled label, whatever the number of documents that carry its id.
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    per = rows.mapInArrow(measure, f"_id {kind}, a double, b double, c double, toxic int").groupBy("_id", "toxic").agg(*(F.avg(c).alias(c) for c in "abc"))
+    got = per.orderBy("_id", "toxic").toArrow()
     x = np.column_stack([got.column(c).to_numpy() for c in "abc"])
     return Model(table, fit_curve(x, got.column("toxic").to_numpy()))
 
