@@ -416,14 +416,19 @@ def score_segments(rows: DataFrame, rules: PipelineModel, models: dict[str, Ense
     return reduce(DataFrame.unionByName, [*parts, rest])
 
 
+def fit_members(train: DataFrame, candidates: list[Candidate], factories: dict[str, Callable], price: str = "price") -> list[Fitted]:
+    """Candidates fitted on all given rows at the same time."""
+    more = () if price == "price" else (price,)
+    with ThreadPool(max(1, len(candidates))) as pool:
+        return pool.map(inheritable_thread_target(lambda c: fit(train, c, factories, *more)), candidates)
+
+
 def fit_ensemble(train: DataFrame, weights: dict[str, float], candidates: list[Candidate], factories: dict[str, Callable], price: str = "price") -> list[Fitted]:
     """Refit the chosen members on all given rows."""
     by_name = {c.name: c for c in candidates}
-    out = []
-    for name, weight in weights.items():
-        fitted = fit(train, by_name[name], factories, price)
+    out = fit_members(train, [by_name[name] for name in weights], factories, price)
+    for fitted, weight in zip(out, weights.values(), strict=True):
         fitted.weight = weight
-        out.append(fitted)
     return out
 
 

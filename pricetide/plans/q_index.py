@@ -8,6 +8,7 @@ from ..functions.dates import month_start
 from ..operators import index as I
 from ..operators import models, rates
 from ..session import stored
+from ..sources.published import publish, read_published
 from . import bindings as B
 from .q_panel import month_text, rounded
 from .registry import query
@@ -286,12 +287,14 @@ def backcast_adjusted(spark, sf):
     UNION ALL SELECT entity, 1, round(year, 8), strftime(month, '%Y-%m'), kind, district, area_total, round(price, 0), NULL, NULL, CAST(round(adjustment_pp, 3) AS DOUBLE) FROM past""",
 )
 def export_dataset(spark, sf):
-    """Real and simulated rows in the published columns."""
+    """Real and simulated rows in the published columns: written as table and CSV, and read back from the table."""
     levels, rows = _levels_and_rows(spark, sf)
     both = rows.unionByName(I.backcast(rows, levels, PAST_YEARS, "adjustment_pp"))
     missing = {c: F.lit(None).cast("double") for c in ("area_private", "rooms", "baths", "parking")}
     out = I.export_dataset(both.withColumns(missing), ("adjustment_pp",)).drop(*missing)
-    return out.withColumn("year", F.round("year", 8))
+    folder = B.shared_folder(spark, "published")
+    publish(out.withColumn("year", F.round("year", 8)), folder, "listings", ["entity", "year"])
+    return read_published(spark, folder, "listings")
 
 
 @query(

@@ -185,7 +185,7 @@ def mdape_ensemble(spark, sf):
 def median_ensemble(spark, sf):
     rows = prepared(spark, sf)
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    members = [models.fit(train, models.Candidate(m), PUBLISHED) for m in ("boosting", "forest", "ridge")]
+    members = models.fit_members(train, [models.Candidate(m) for m in ("boosting", "forest", "ridge")], PUBLISHED)
     return scores(models.predict_median(test, members), ["kind"])
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Only the empty field is null; texts such as ``NA`` stay text."""
     return spark.read.csv(path, schema=schema, header=True, nullValue="", emptyValue='""', encoding="UTF-8")
 
@@ -17,11 +18,6 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     out.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue='""')
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-
-
 def write_district_lists(lists: DataFrame, path: str) -> None:
     """One JSON object ``{kind: [districts]}``; the number of kinds is fixed by the classifier."""
     entries = F.map_from_entries(F.collect_list(F.struct("kind", "districts")))

@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.merge import fold_latest, price_history, upsert_latest
+from ..sources.files import SharedFiles
 
 FAN = 4
 KEPT = 3
@@ -46,62 +47,34 @@ class RunTable:
     """Runs and manifests of one table below ``target``."""
 
     def __init__(self, spark: SparkSession, target: str) -> None:
-        self.spark, self.target = spark, target.rstrip("/")
-        self._jvm = spark._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path(self.target).getFileSystem(self._conf)
+        self.spark, self.files = spark, SharedFiles(spark, target)
 
     # ------------------------------------------------------------ manifests
-    def _manifest_path(self, batch_id: int) -> str:
-        return f"{self.target}/manifests/{batch_id:020d}.json"
+    def _manifest_name(self, batch_id: int) -> str:
+        return f"manifests/{batch_id:020d}.json"
 
     def batches(self) -> list[int]:
         """Batches that have a manifest, oldest first."""
-        folder = self._path(f"{self.target}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        return [int(n.removesuffix(".json")) for n in self.files.names("manifests") if n.endswith(".json") and not n.startswith(".")]
 
     def manifest(self, batch_id: int | None = None) -> dict:
         """The manifest of a batch, or the newest; a missing one is an error."""
         if batch_id is None:
             found = self.batches()
             if not found:
-                raise FileNotFoundError(f"no manifest below {self.target}")
+                raise FileNotFoundError(f"no manifest below {self.files.root}")
             batch_id = found[-1]
-        path = self._path(self._manifest_path(batch_id))
-        if not self._fs.exists(path):
-            raise FileNotFoundError(f"batch {batch_id} left no manifest below {self.target}")
-        stream = self._fs.open(path)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def commit(self, batch_id: int, manifest: dict) -> None:
-        """Put a manifest in place; readers see the one before or this one, never a part."""
-        side = self._path(f"{self.target}/manifests/.{batch_id:020d}-{uuid.uuid4().hex}")
-        stream = self._fs.create(side, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(side.toUri() if side.toUri().getScheme() else self._fs.getUri(), self._conf)
-        options = self._jvm.org.apache.hadoop.fs.Options
-        how = self.spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
-        how[0] = getattr(options, "Rename").OVERWRITE
-        files.rename(self._fs.makeQualified(side), self._fs.makeQualified(self._path(self._manifest_path(batch_id))), how)
+        return self.files.read_json(self._manifest_name(batch_id))
 
     # ------------------------------------------------------------ runs
     def write_run(self, rows: DataFrame, batch_id: int, level: int) -> dict:
         """Rows as a run of their own; its name is never used again."""
         name = f"{batch_id:020d}-{level}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.target}/runs/{name}")
-        size = self._fs.getContentSummary(self._path(f"{self.target}/runs/{name}")).getLength()
-        return {"name": name, "level": level, "bytes": size}
+        rows.write.parquet(self.files.path(f"runs/{name}"))
+        return {"name": name, "level": level, "bytes": self.files.size(f"runs/{name}")}
 
     def read_runs(self, runs: list[dict], schema: StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f"{self.target}/runs/{r['name']}" for r in runs])
+        return self.spark.read.schema(schema).parquet(*[self.files.path(f"runs/{r['name']}") for r in runs])
 
     def compact(self, runs: list[dict], keys: list[str], schema: StructType, batch_id: int, fan: int = FAN) -> list[dict]:
         """Merges ``fan`` runs of a level into one of the next until no level has so many; files grow in number with the run."""
@@ -121,11 +94,11 @@ class RunTable:
         """
         batches = [b for b in self.batches() if b <= batch_id]
         for old in batches[:-kept]:
-            self._fs.delete(self._path(self._manifest_path(old)), False)
+            self.files.delete(self._manifest_name(old))
         live = {r["name"] for b in self.batches() for r in self.manifest(b)["runs"]}
-        for status in self._fs.listStatus(self._path(f"{self.target}/runs")):
-            if status.getPath().getName() not in live:
-                self._fs.delete(status.getPath(), True)
+        for name in self.files.names("runs"):
+            if name not in live:
+                self.files.delete(f"runs/{name}")
 
     # ------------------------------------------------------------ batches and readers
     def fold(self, batch: DataFrame, batch_id: int, keys: list[str], fan: int = FAN) -> None:
@@ -133,7 +106,7 @@ class RunTable:
         before = [] if batch_id == 0 else self.manifest(batch_id - 1)["runs"]
         runs = [*before, self.write_run(batch, batch_id, 0)]
         runs = self.compact(runs, keys, batch.schema, batch_id, fan)
-        self.commit(batch_id, {"batch": batch_id, "keys": keys, "schema": batch.schema.json(), "runs": runs})
+        self.files.replace_json(self._manifest_name(batch_id), {"batch": batch_id, "keys": keys, "schema": batch.schema.json(), "runs": runs})
         self.vacuum(batch_id)
 
     def latest(self) -> DataFrame:
