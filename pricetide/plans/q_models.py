@@ -205,7 +205,7 @@ def _train_segments(spark, sf, refit: bool = False):
     out = []
     for kind in kinds(rows):
         everything = final.filter(F.col("kind") == kind) if refit else None
-        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES, PUBLISHED, store=store))
+        out.append(models.train_segment(rows.filter(F.col("kind") == kind), everything, kind, CANDIDATES, PUBLISHED, "mae", "rmse", store))
     return rows, out
 
 
