@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,39 +100,95 @@ def term_heights(strengths: list[Column], rules=RULES) -> dict[str, Column]:
     return heights
 
 
-def grid_shapes() -> tuple[list[float], dict[str, list[float]]]:
-    """Output grid and the degree of every output set on it."""
+def grid_segments(sets=OUTPUT_SETS) -> list[tuple[str, str, int, int]]:
+    """(falling set, rising set, first grid point, last grid point) between neighbouring corners of the output sets.
+
+    Every set runs straight between corners and exactly one falls from 1 to 0 while its neighbour rises.
+    """
     step = (OUTPUT_HIGH - OUTPUT_LOW) / (OUTPUT_POINTS - 1)
-    ys = [OUTPUT_LOW + step * i for i in range(OUTPUT_POINTS)]
+    corners = sorted({x for shape in sets.values() for x in shape if not math.isinf(x)})
 
     def degree(y: float, a: float, b: float, c: float, d: float) -> float:
         up = 1.0 if math.isinf(b) or b <= a else (y - a) / (b - a)
         down = 1.0 if math.isinf(c) or d <= c else (d - y) / (d - c)
         return max(0.0, min(1.0, up, down))
 
-    return ys, {term: [degree(y, *shape) for y in ys] for term, shape in OUTPUT_SETS.items()}
+    out = []
+    for left, right in zip(corners, corners[1:]):
+        ends = {term: (degree(left, *shape), degree(right, *shape)) for term, shape in sets.items()}
+        falling = [term for term, e in ends.items() if e == (1.0, 0.0)]
+        rising = [term for term, e in ends.items() if e == (0.0, 1.0)]
+        if len(falling) != 1 or len(rising) != 1 or any(e != (0.0, 0.0) for t, e in ends.items() if t not in (*falling, *rising)):
+            raise ValueError("output sets must pass into each other one by one")
+        out.append((falling[0], rising[0], round((left - OUTPUT_LOW) / step), round((right - OUTPUT_LOW) / step)))
+    return out
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _ones(a: Column, b: Column) -> Column:
+    """Sum of j for a < j <= b."""
+    return (b * (b + 1) - a * (a + 1)) / 2
+
+
+def _squares(a: Column, b: Column) -> Column:
+    """Sum of j squared for a < j <= b."""
+    return (b * (b + 1) * (2 * b + 1) - a * (a + 1) * (2 * a + 1)) / 6
+
+
+def _segment_sums(down: Column, up: Column, n: int) -> Column:
+    """Sum of h and of j * h over j = 0 .. n - 1, where h is max(min(down, 1 - j / n), min(up, j / n)).
+
+    The falling side is the higher one up to ``turn``; it is flat up to ``flat``, the rising side is flat after ``full``.
+    """
+    last = F.lit(float(n - 1))
+    cross = F.least(F.when(down >= up, 1.0).otherwise(down), F.greatest(1 - up, F.lit(0.5)))
+    turn = F.least(F.floor(cross * n).cast("double"), last)
+
+    def ends(turn: Column) -> Column:
+        flat = F.least(turn, F.floor((1 - down) * n).cast("double"))
+        full = F.least(last, F.greatest(turn, F.floor(up * n).cast("double")))
+        return F.struct(turn.alias("turn"), flat.alias("flat"), full.alias("full"))
+
+    def sums(e: Column) -> Column:
+        turn, flat, full = e["turn"], e["flat"], e["full"]
+        none = F.lit(-1.0)
+        area = down * (flat + 1) + (turn - flat) - _ones(flat, turn) / n + _ones(turn, full) / n + up * (last - full)
+        moment = down * _ones(none, flat) + _ones(flat, turn) - _squares(flat, turn) / n + _squares(turn, full) / n + up * _ones(full, last)
+        return F.struct(area.alias("area"), moment.alias("moment"))
+
+    return _let(_let(turn, ends), sums)
+
+
+def _shifted(sums: Column, first: int) -> Column:
+    """Sums of a segment that begins at grid point ``first``."""
+    return _let(sums, lambda s: F.struct(s["area"].alias("area"), (s["moment"] + float(first) * s["area"]).alias("moment")))
 
 
 def centroid(heights: dict[str, Column]) -> Column:
-    """Centre of the clipped area on the output grid, 0 when nothing fires."""
-    ys, shapes = grid_shapes()
-    points = F.lit(np.array(ys))
-    sets = {term: F.lit(np.array(shapes[term])) for term in heights}
-
-    def area(row: Column) -> Column:
-        def height(i: Column) -> Column:
-            return F.greatest(F.lit(0.0), *[F.least(row[term], F.get(sets[term], i)) for term in heights])
-
-        profile = F.transform(F.sequence(F.lit(0), F.lit(OUTPUT_POINTS - 1)), height)
-        zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("moment"))
-        pairs = F.zip_with(profile, points, lambda h, y: F.struct(h.alias("h"), (h * y).alias("m")))
-        return F.aggregate(
-            pairs,
-            zero,
-            lambda acc, p: F.struct((acc["area"] + p["h"]).alias("area"), (acc["moment"] + p["m"]).alias("moment")),
-            lambda acc: F.when(acc["area"] > 0, acc["moment"] / acc["area"]).otherwise(0.0),
+    """Centre of the clipped area on the output grid, 0 when nothing fires.
+
+    Sums over the grid points are arithmetic progressions between the corners of the clipped sets, so a row costs the same
+    whatever the number of points.
+    """
+    step = (OUTPUT_HIGH - OUTPUT_LOW) / (OUTPUT_POINTS - 1)
+    segments = grid_segments()
+
+    def solve(row: Column) -> Column:
+        def height(term: str) -> Column:
+            return row[term] if term in heights else F.lit(0.0)
+
+        # The last grid point belongs to no segment.
+        area, moment = height(segments[-1][1]), height(segments[-1][1]) * float(segments[-1][3])
+        total = F.array(*[_shifted(_segment_sums(height(down), height(up), last - first), first) for down, up, first, last in segments])
+        whole = F.aggregate(
+            total,
+            F.struct(area.alias("area"), moment.alias("moment")),
+            lambda acc, s: F.struct((acc["area"] + s["area"]).alias("area"), (acc["moment"] + s["moment"]).alias("moment")),
         )
+        return _let(whole, lambda s: F.when(s["area"] > 0, OUTPUT_LOW + step * s["moment"] / s["area"]).otherwise(0.0))
 
-    # The one-element array binds the heights once per row instead of once per grid point.
-    bound = F.array(F.struct(*[h.alias(term) for term, h in heights.items()]))
-    return F.element_at(F.transform(bound, area), 1)
+    return _let(F.struct(*[h.alias(term) for term, h in heights.items()]), solve)

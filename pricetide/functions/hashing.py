@@ -72,3 +72,24 @@ def poisson_weight(draw: Column) -> Column:
     for k, bound in enumerate(bounds[1:], start=1):
         out = out.when(draw < bound, k)
     return out.otherwise(len(bounds))
+
+
+def hash_draws(*parts: Column) -> Column:
+    """Reproducible md5 of the joined parts: four draws of eight hex digits."""
+    return F.md5(F.concat_ws("|", *[part.cast("string") for part in parts]).cast("binary"))
+
+
+DRAWS = 4
+
+
+def poisson_weight_of(draws: Column, place: int) -> Column:
+    """Poisson(1) weight of draw ``place`` (0 to 3) of ``hash_draws``.
+
+    Digits are compared as text with the bounds' digits, which orders them as the numbers they stand for.
+    """
+    digits = F.substring(draws, 8 * place + 1, 8)
+    bounds = [f"{math.ceil(bound * 2**32):08x}" for bound in poisson_thresholds()]
+    out = F.when(digits < bounds[0], 0)
+    for k, bound in enumerate(bounds[1:], start=1):
+        out = out.when(digits < bound, k)
+    return out.otherwise(len(bounds))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import fuzzy
-from ..functions.hashing import poisson_weight, uniform
+from ..functions.hashing import DRAWS, hash_draws, poisson_weight_of
 from ..functions.numbers import clamp
 from ..session import stored
 from .ordered import Quantile, aggregate, join_keys, prefix_counts
@@ -47,17 +47,18 @@ def segment_rates(sums: DataFrame) -> DataFrame:
 def bootstrap_sums(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: str = "42") -> DataFrame:
     """Weighted sums of every (segment, replica): each code counts Poisson(1) times in a replica.
 
-    Weights come from a hash of (code, replica), so any engine or retry draws the same sample, and
-    the sums combine on the map side before anything is shuffled.
+    Weights come from a hash of the code and a block of four replicas, so any engine or retry draws the same sample. A row
+    makes one digest for four weights, and the sums of a block combine on the map side before anything is shuffled.
     """
-    # Every row grows a thousandfold, so few input rows are spread over all cores first.
-    draws = sums.repartition(2 * sums.sparkSession.sparkContext.defaultParallelism, "code").withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
-    draws = draws.withColumn("u", uniform(F.col("code"), F.col("replica"), F.lit(seed)))
-    # No filter on the weight: it would be pushed below the draw and evaluate it once per test.
-    draws = draws.withColumn("w", poisson_weight(F.col("u")))
-    return draws.groupBy(*SEGMENT, "replica").agg(
-        F.sum(F.col("w") * F.col("dlog")).alias("d"), F.sum(F.col("w") * F.col("gap")).alias("g")
-    )
+    blocks = -(-replicas // DRAWS)
+    # Every row grows by the number of blocks, so few input rows are spread over all cores first.
+    draws = sums.repartition(2 * sums.sparkSession.sparkContext.defaultParallelism, "code").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    draws = draws.withColumn("digest", hash_draws(F.col("code"), F.col("block"), F.lit(seed)))
+    draws = draws.withColumns({f"w{k}": poisson_weight_of(F.col("digest"), k) for k in range(DRAWS)})
+    totals = [F.sum(F.col(f"w{k}") * F.col(c)).alias(f"{c}{k}") for k in range(DRAWS) for c in ("dlog", "gap")]
+    blocked = draws.groupBy(*SEGMENT, "block").agg(*totals)
+    rows = F.array(*[F.struct((F.col("block") * DRAWS + k + 1).alias("replica"), F.col(f"dlog{k}").alias("d"), F.col(f"gap{k}").alias("g")) for k in range(DRAWS)])
+    return blocked.select(*SEGMENT, F.inline(rows)).filter(F.col("replica") <= replicas)
 
 
 def replica_rates(boot: DataFrame) -> DataFrame:

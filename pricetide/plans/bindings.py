@@ -194,10 +194,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.withColumnRenamed("price", "y")
 
 
-def uniform_sql(*parts: str) -> str:
-    """The md5 draw of ``functions.hashing.uniform``."""
+def uniform_sql(*parts: str, place: str = "0") -> str:
+    """The md5 draw of ``functions.hashing.uniform``, or draw ``place`` of ``hash_draws``."""
     joined = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST('0x' || substr(md5({joined}), 1, 8) AS UBIGINT) / 4294967296.0)"
+    return f"(CAST('0x' || substr(md5({joined}), CAST(8 * ({place}) + 1 AS BIGINT), 8) AS UBIGINT) / 4294967296.0)"
 
 
 def half_up(expr: str, digits: int) -> str:

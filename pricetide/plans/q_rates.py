@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy as Z
-from ..functions.hashing import poisson_thresholds
+from ..functions.hashing import DRAWS, poisson_thresholds
 from ..operators import index as I
 from ..operators import panel as P
 from ..operators import rates as R
@@ -46,7 +46,7 @@ def segment_rates(spark, sf):
 
 WEIGHT = " + ".join(f"CAST(u >= {t!r} AS INTEGER)" for t in poisson_thresholds())
 BOOT = POINTS + f""",
-draws AS (SELECT s.*, g.replica, {B.uniform_sql('s.code', 'g.replica', "'42'")} AS u FROM sums s CROSS JOIN (SELECT unnest(range(1, {R.BOOTSTRAP_REPLICAS + 1})) AS replica) g),
+draws AS (SELECT s.*, g.replica, {B.uniform_sql('s.code', f'(g.replica - 1) // {DRAWS}', "'42'", place=f'(g.replica - 1) % {DRAWS}')} AS u FROM sums s CROSS JOIN (SELECT unnest(range(1, {R.BOOTSTRAP_REPLICAS + 1})) AS replica) g),
 weighted AS (SELECT *, {WEIGHT} AS w FROM draws),
 seg_boot AS (SELECT district, kind, replica, sum(w * dlog) / sum(w * gap) AS rate FROM weighted WHERE w > 0 GROUP BY 1, 2, 3),
 kind_boot AS (SELECT kind, replica, sum(w * dlog) / sum(w * gap) AS rate FROM weighted WHERE w > 0 GROUP BY 1, 2)"""

@@ -1,8 +1,10 @@
 """Column expressions on inline rows, including the published worked examples."""
 
 import math
+import random
 from urllib.parse import urljoin
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,35 @@ def test_absolute_url_agrees_with_the_standard_library(spark):
     df = spark.createDataFrame(rows, "b string, v string")
     got = [r[0] for r in df.select(html.absolute_url(F.col("b"), F.col("v"))).collect()]
     assert got == [urljoin(b, v) for b, v in rows]
+
+
+def test_weights_of_a_digest_are_those_of_its_numbers(spark):
+    df = spark.range(3000).withColumn("h", H.hash_draws(F.col("id"), F.lit("x")))
+    for k in range(H.DRAWS):
+        number = F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("double") / 4294967296.0
+        assert df.filter(H.poisson_weight_of(F.col("h"), k) != H.poisson_weight(number)).count() == 0
+
+
+def test_centroid_equals_the_sum_over_the_grid(spark):
+    random.seed(3)
+    terms = list(Z.OUTPUT_SETS)
+    levels = [0.0, 0.25, 0.5, 0.75, 1.0, 1 / 3, 1e-9, 1 - 1e-9]
+    rows = [[random.choice(levels) for _ in terms] for _ in range(1500)] + [[random.random() for _ in terms] for _ in range(1500)]
+    rows += [[0.0] * len(terms), [1.0] * len(terms)]
+    step = (Z.OUTPUT_HIGH - Z.OUTPUT_LOW) / (Z.OUTPUT_POINTS - 1)
+    ys = np.array([Z.OUTPUT_LOW + step * i for i in range(Z.OUTPUT_POINTS)])
+
+    def shape(a, b, c, d):
+        up = np.ones_like(ys) if math.isinf(b) else (ys - a) / (b - a)
+        down = np.ones_like(ys) if math.isinf(c) else (d - ys) / (d - c)
+        return np.clip(np.minimum(up, down), 0, 1)
+
+    shapes = np.array([shape(*Z.OUTPUT_SETS[t]) for t in terms])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{t} double" for t in terms))
+    got = {r["i"]: r["c"] for r in df.select("i", Z.centroid({t: F.col(t) for t in terms}).alias("c")).collect()}
+    some = {r["i"]: r["c"] for r in df.select("i", Z.centroid({t: F.col(t) for t in terms[1:4]}).alias("c")).collect()}
+    for i, r in enumerate(rows):
+        for out, heights in ((got, r), (some, [0.0, *r[1:4], 0.0])):
+            profile = np.minimum(np.array(heights)[:, None], shapes).max(axis=0)
+            want = (profile * ys).sum() / profile.sum() if profile.sum() > 0 else 0.0
+            assert out[i] == pytest.approx(want, abs=1e-9 if profile.sum() > 1e-3 else 1e-6)
