@@ -4,7 +4,10 @@ Values of a group are counted per distinct value. Distinct values fall into fine
 spans about 0.14 % of its value; NaN and the infinities have bins of their own at the ends (NaN above everything). Prefix
 sums run over the coarse bins of a group (a bounded number), over the fine bins of a coarse bin (at most 4,096) and inside
 a fine bin, so a group with any share of the rows, packed as densely as prices in cents are, is spread over many tasks.
-There is one route for every size of input.
+
+Quantiles read their counts from a written table, so each group's number of distinct values is known: groups of at most
+``BUFFER_VALUES`` are solved by one aggregate whose buffer holds that many counts, all others by the bins. Both give the
+same numbers (tests run both ways).
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 FINE_BITS = 12
 BINS_PER_OCTAVE = 512
 BIN_BASE = 600_000
+#: Distinct values of a group that one aggregate may hold.
+BUFFER_VALUES = 100_000
 
 
 @dataclass(frozen=True)
@@ -118,8 +125,32 @@ def _quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> Dat
     long = df.select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.__metric", "__e.__value")
     group = [*keys, "__metric"]
     counts = long.filter("__value IS NOT NULL").groupBy(*group, "__value").agg(F.count("*").alias("__rows"))
-    probs = F.create_map(*[x for i, g in enumerate(shared.values()) for x in (F.lit(i), F.array(*[F.lit(float(q.p)) for q in g]))])
+    counts = stored(counts)
+    shares = [[float(q.p) for q in g] for g in shared.values()]
+    sizes = counts.groupBy(*group).agg(F.count("*").alias("__distinct"))
+    most = sizes.agg(F.max("__distinct")).first()[0] or 0
+    if most <= BUFFER_VALUES:
+        solved = _buffered(counts, group, shares)
+    else:
+        heavy = sizes.filter(F.col("__distinct") > BUFFER_VALUES).drop("__distinct")
+        light = join_keys(counts, heavy, group, "left_anti")
+        solved = _buffered(light, group, shares).unionByName(_binned(join_keys(counts, heavy, group, "left_semi"), group, shares))
+    return solved.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__metric") == m, F.get("__q", F.lit(i)))).alias(q.name) for m, g in enumerate(shared.values()) for i, q in enumerate(g)]
+    )
+
 
+def _buffered(counts: DataFrame, group: list[str], shares: list[list[float]]) -> DataFrame:
+    """Column ``__q``: each group's quantiles from one buffer of counts; shares differ by metric."""
+    every = sorted({p for ps in shares for p in ps})
+    places = F.create_map(*[x for m, ps in enumerate(shares) for x in (F.lit(m), F.array(*[F.lit(every.index(p)) for p in ps]))])
+    held = counts.groupBy(*group).agg(F.percentile("__value", every, F.col("__rows")).alias("__all"))
+    return held.select(*group, F.transform(places[F.col("__metric")], lambda i: F.get("__all", i)).alias("__q"))
+
+
+def _binned(counts: DataFrame, group: list[str], shares: list[list[float]]) -> DataFrame:
+    """Column ``__q`` by prefix sums over bins, for groups of any size."""
+    probs = F.create_map(*[x for m, ps in enumerate(shares) for x in (F.lit(m), F.array(*map(F.lit, ps)))])
     binned = counts.withColumn("__fine", fine_bin(F.col("__value")))
     offsets = _offsets(binned, group, ("__rows",))
     position = F.transform(probs[F.col("__metric")], lambda p: (F.col("total___rows") - 1) * p)
@@ -136,7 +167,7 @@ def _quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> Dat
         place = end(F.get("__positions", F.lit(i)))
         return F.max(F.when((place >= F.col("__before")) & (place < F.col("__before") + F.col("__rows")), F.col("__value")))
 
-    most = max(len(g) for g in shared.values())
+    most = max(map(len, shares))
     columns = [c for i in range(most) for c in (at(i, F.floor).alias(f"__lo{i}"), at(i, F.ceil).alias(f"__hi{i}"))]
     solved = picked.groupBy(*group).agg(*columns, F.first("__positions").alias("__positions"))
 
@@ -145,7 +176,4 @@ def _quantiles(df: DataFrame, keys: list[str], quantiles: list[Quantile]) -> Dat
         share = place - F.floor(place)
         return F.when((share == 0) | (lo == hi), lo).otherwise((1 - share) * lo + share * hi)
 
-    solved = solved.select(*group, *[between(i).alias(f"__q{i}") for i in range(most)])
-    return solved.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__metric") == m, F.col(f"__q{i}"))).alias(q.name) for m, g in enumerate(shared.values()) for i, q in enumerate(g)]
-    )
+    return solved.select(*group, F.array(*[between(i) for i in range(most)]).alias("__q"))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pricetide.operators import ordered
 from pricetide.operators.metrics import auc_brier, spearman
 from pricetide.operators.ordered import FINE_BITS, Quantile, aggregate, average_ranks, fine_bin
 from pricetide.operators.rates import positional_sample
@@ -110,3 +111,19 @@ def test_keys_may_be_called_anything(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("b", 2, 7.0)], "rows string, value int, metric double")
     got = aggregate(df, ["rows", "value"], [], [Quantile("m", F.col("metric"))]).collect()
     assert {(r["rows"], r["value"], r["m"]) for r in got} == {("a", 1, 3.0), ("b", 2, 7.0)}
+
+
+@pytest.mark.parametrize("held", [0, 3, 450, 10**6])
+def test_both_routes_give_the_same_quantiles(spark, skewed, monkeypatch, held):
+    nan, inf = float("nan"), float("inf")
+    extra = [("nan", v) for v in (1.0, 2.0, nan, nan, inf, -inf)] + [("ends", v) for v in (-inf, -inf, 0.0, -0.0, inf)]
+    df = spark.createDataFrame(skewed + extra, "k string, v double")
+    quantiles = [Quantile(f"q{int(100 * p)}", v, p) for v in (F.col("v"),) for p in (0.0, 0.1, 0.5, 0.9, 1.0)]
+    quantiles.append(Quantile("half", F.when(F.col("v") > 0, F.col("v") / 2), 0.25))
+    columns = [F.round(q.name, 9).alias(q.name) for q in quantiles]
+    monkeypatch.setattr(ordered, "BUFFER_VALUES", 10**6)
+    want = sorted(map(str, aggregate(df, ["k"], [F.count("*").alias("n")], quantiles).select("k", "n", *columns).collect()))
+    monkeypatch.setattr(ordered, "BUFFER_VALUES", held)
+    got = sorted(map(str, aggregate(df, ["k"], [F.count("*").alias("n")], quantiles).select("k", "n", *columns).collect()))
+    assert got == want
+    assert aggregate(df, [], [], quantiles[:2]).collect() and aggregate(df.limit(0), ["k"], [], quantiles).collect() == []
