@@ -95,7 +95,9 @@ def _repetition_sql() -> str:
     """Words, lines and windows as rows; a window found twice in its document covers its words."""
     sizes = ", ".join(f"({n})" for n in repetition.MAX_COVERAGE)
     shares = ", ".join(f"CAST(coalesce(c{n}, 0) AS DOUBLE) / greatest(word_chars, 1) AS coverage_{n}" for n in repetition.MAX_COVERAGE)
-    limits = " AND ".join(f"coverage_{n} <= {most}" for n, most in repetition.MAX_COVERAGE.items())
+    limits = " AND ".join(
+        f"coverage_{n} <= CASE WHEN n_repeat_runs >= {repetition.MANY_RUNS} THEN {repetition.MANY_COVERAGE[n]} ELSE {most} END" for n, most in repetition.MAX_COVERAGE.items()
+    )
     sums = ", ".join(f"sum(chars) FILTER (size = {n}) AS c{n}" for n in repetition.MAX_COVERAGE)
     return rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -105,6 +107,7 @@ windows AS (SELECT doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') AS
 repeated AS (SELECT doc_id, size, p FROM windows GROUP BY ALL HAVING count(*) > 1),
 hit AS (SELECT DISTINCT doc_id, size, unnest(range(k, k + size)) AS i FROM windows JOIN repeated USING (doc_id, size, p)),
 covered AS (SELECT doc_id, {sums}, count(*) FILTER (size = 5) AS n_repeat_words FROM (SELECT doc_id, size, length(word) AS chars FROM hit JOIN words USING (doc_id, i)) GROUP BY doc_id),
+runs AS (SELECT doc_id, count(*) AS runs FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS previous FROM hit WHERE size = 5) WHERE previous IS NULL OR previous < i - 1 GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)),
 marked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS line_chars FROM marked WHERE again GROUP BY doc_id),
@@ -113,8 +116,8 @@ base AS (
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM docs),
 joined AS (
     SELECT base.*, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, {shares},
-        CAST(coalesce(line_chars, 0) AS DOUBLE) / greatest(word_chars, 1) AS line_coverage
-    FROM base LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id))
+        CAST(coalesce(line_chars, 0) AS DOUBLE) / greatest(word_chars, 1) AS line_coverage, CAST(coalesce(runs, 0) AS BIGINT) AS n_repeat_runs
+    FROM base LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN runs USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND line_coverage <= {repetition.MAX_LINE_COVERAGE} AND {limits} AS kept
 FROM joined"""

@@ -6,7 +6,8 @@ shuffle. Words are runs of anything but ``[\\x20\\x09-\\x0D]``; null and empty t
 ``kept`` is the base rule (at least ten words, at most a fifth of them inside repeated five-word windows) and then the
 coverage rules: characters inside n-grams found twice or more (first included) and inside lines equal to an earlier line,
 each as a share of the characters in words, may not exceed ``MAX_COVERAGE`` and ``MAX_LINE_COVERAGE``. A line or sentence
-that a short text says twice stays below them.
+that a short text says twice stays below them. A text whose repeated five-word windows form ``MANY_RUNS`` runs or more
+repeats several passages, or one more than twice: ``MANY_COVERAGE``, below the base rule, holds for it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ MIN_WORDS = 10
 # Highest share of characters inside repeated n-grams of so many words.
 MAX_COVERAGE = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 MAX_LINE_COVERAGE = 0.20
+# The same for texts of so many repeated runs. One passage said twice makes two runs.
+MANY_RUNS = 3
+MANY_COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -32,7 +36,7 @@ LINE[0x0A] = False
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = (*(f"coverage_{n}" for n in MAX_COVERAGE), "line_coverage")
-SCHEMA = "doc_id {id}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, " + ", ".join(f"{c} double" for c in SHARES)
+SCHEMA = "doc_id {id}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, " + ", ".join(f"{c} double" for c in SHARES) + ", n_repeat_runs long"
 
 
 def repeated(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -99,13 +103,16 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         hit = covered(words, rows, size)
         if size == BASE_WINDOW:
             out["n_repeat_words"] = tb.row_sums(hit, rows, n)
+            begins = hit.copy()
+            begins[1:] &= ~hit[:-1] | (rows[1:] != rows[:-1])
+            runs = tb.row_sums(begins, rows, n)
         if size in MAX_COVERAGE:
             shares[f"coverage_{size}"] = tb.row_sums(chars * hit, rows, n) / of
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
     good = ~out["base_failed"] & (shares["line_coverage"] <= MAX_LINE_COVERAGE)
     for size, most in MAX_COVERAGE.items():
-        good &= shares[f"coverage_{size}"] <= most
-    return out | {"kept": good} | shares
+        good &= shares[f"coverage_{size}"] <= np.where(runs >= MANY_RUNS, MANY_COVERAGE[size], most)
+    return out | {"kept": good} | shares | {"n_repeat_runs": runs}
 
 
 def repetition_rules(docs: DataFrame) -> DataFrame:
@@ -115,8 +122,8 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in tb.slices(batch.column("text")):
                 got = measures(data, offsets)
-                kinds = [pa.int64()] * len(COUNTS) + [pa.bool_()] * 2 + [pa.float64()] * len(SHARES)
-                names = (*COUNTS, "base_failed", "kept", *SHARES)
+                kinds = [pa.int64()] * len(COUNTS) + [pa.bool_()] * 2 + [pa.float64()] * len(SHARES) + [pa.int64()]
+                names = (*COUNTS, "base_failed", "kept", *SHARES, "n_repeat_runs")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), *(pa.array(got[c], k) for c, k in zip(names, kinds, strict=True))], ["doc_id", *names]
                 )

@@ -81,6 +81,13 @@ def repetition(text):
     return base, failed, share, line
 
 
+def repeat_runs(text):
+    w = re.findall(SPACE, text or "")
+    seen = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    hit = {k + j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    return sum(k - 1 not in hit for k in hit)
+
+
 def line_dedup(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     holders = defaultdict(set)

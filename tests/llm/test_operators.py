@@ -160,11 +160,26 @@ def test_repetition(odd, pairs, empty):
         r = match[0]
         assert r["base_failed"] == failed and r["line_coverage"] == pytest.approx(line)
         assert all(r[f"coverage_{n}"] == pytest.approx(share[n]) for n in share)
-        good = not failed and line <= 0.2 and all(share[n] <= most for n, most in repetition.MAX_COVERAGE.items())
+        runs = plain.repeat_runs(text)
+        limits = repetition.MANY_COVERAGE if runs >= repetition.MANY_RUNS else repetition.MAX_COVERAGE
+        good = not failed and line <= 0.2 and all(share[n] <= most for n, most in limits.items())
+        assert r["n_repeat_runs"] == runs
         assert r["kept"] == good
     assert repetition.repetition_rules(empty).collect() == []
 
 
+def test_several_repeated_passages_have_lower_limits(spark):
+    own = lambda tag, n: " ".join(f"{tag}{k:02d}" for k in range(n))
+    twice = f"{own('p', 12)} {own('a', 60)} {own('p', 12)} {own('b', 60)}"
+    two = f"{own('p', 6)} {own('a', 50)} {own('q', 6)} {own('b', 50)} {own('p', 6)} {own('c', 10)} {own('q', 6)} {own('d', 10)}"
+    thrice = f"{own('p', 8)} {own('a', 55)} {own('p', 8)} {own('b', 55)} {own('p', 8)} x"
+    rows = [(0, twice), (1, two), (2, thrice), (3, own("a", 100))]
+    got = {r["doc_id"]: r for r in repetition.repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[k]["kept"] for k in range(4)] == [True, False, False, True]
+    assert [got[k]["n_repeat_runs"] for k in range(4)] == [2, 4, 3, 0]
+
+
 # ---------------------------------------------------------------- lines
 def test_line_dedup(odd, pairs, empty):
     assert bag(line_dedup.line_dedup(odd).drop("keep").collect()) == bag(plain.line_dedup(pairs))

@@ -40,6 +40,7 @@ def test_op4(spark, docs):
         base, failed, share, line = plain.repetition(d["text"])
         r = got[d["doc_id"]]
         assert tuple(r[c] for c in repetition.COUNTS) == base and r["base_failed"] == failed
+        assert r["n_repeat_runs"] == plain.repeat_runs(d["text"])
         assert r["line_coverage"] == pytest.approx(line) and all(r[f"coverage_{n}"] == pytest.approx(x) for n, x in share.items())
 
 
