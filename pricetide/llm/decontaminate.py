@@ -47,45 +47,76 @@ def block_hash(words: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return tb.mixed(h)
 
 
+class Words:
+    """All words of a block of items: one byte buffer, where each word lies in it, its hash and its item."""
+
+    def __init__(self, items: Iterable[tuple[object, str | None]]):
+        names: dict[str, int] = {}
+        texts, owner = [], []
+        for item_id, text in items:
+            owner.append(names.setdefault("null" if item_id is None else str(item_id), len(names)))
+            texts.append((text or "").encode())
+        self.names = list(names)
+        data = tb.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        self.starts, self.ends, rows = tb.spans(data, offsets, WORD)
+        self.hashes = tb.span_hash(tb.prefix_hash(data), self.starts, self.ends)
+        self.first = tb.bounds(rows, len(texts))
+        self.item = np.array(owner, np.int32)[rows]
+        self.raw = data.tobytes()
+
+
 class Patterns:
-    """All windows of one length: shift table, suffix buckets, words and items."""
+    """All windows of one length: shift table, suffix buckets, each window's first word, and its items as ranges of ``items``.
+
+    Equal windows, told by 128 bits over their words' hashes, are one pattern. All but the words' bytes are numeric arrays, some
+    30 bytes a window beside 28 a word.
+    """
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[str]]):
-        self.length = length
+    def __init__(self, length: int, words: Words, starts: np.ndarray):
+        self.length, self.words = length, words
         self.block = min(BLOCK_WORDS, length)
-        self.words = list(windows)
-        self.items = [sorted(windows[w]) for w in self.words]
-        flat = [b for w in self.words for b in w]
-        data = np.frombuffer(b"".join(flat), np.uint8)
-        ends = np.cumsum([len(b) for b in flat])
-        starts = ends - [len(b) for b in flat]
-        self.hashes = tb.span_hash(tb.prefix_hash(data), starts, ends).reshape(len(self.words), length)
+        low, high = np.zeros(len(starts), np.uint64), np.full(len(starts), 7, np.uint64)
+        for q in range(length):
+            h = words.hashes[starts + q]
+            low, high = tb.mixed(low * np.uint64(0x9E3779B97F4A7C15) + h), tb.mixed((high ^ h) * np.uint64(0xD6E8FEB86659FD93))
+        item = words.item[starts]
+        order = np.lexsort((item, high, low))
+        low, high, item, starts = low[order], high[order], item[order], starts[order]
+        other = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        new = other | np.concatenate(([True], item[1:] != item[:-1]))
+        self.at = starts[other]
+        self.items = item[new]
+        self.edge = np.append(np.flatnonzero(other[new]), len(self.items))
         shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.uint8)
-        row = np.arange(len(self.words)) * length
         for q in range(self.block - 1, length):
-            at = block_hash(self.hashes.ravel(), row + q, self.block) >> np.uint64(64 - TABLE_BITS)
-            np.minimum.at(shift, at.astype(np.int64), np.uint8(length - 1 - q))
+            slot = block_hash(words.hashes, self.at + q, self.block) >> np.uint64(64 - TABLE_BITS)
+            np.minimum.at(shift, slot.astype(np.int64), np.uint8(length - 1 - q))
         self.shift = shift
-        suffix = block_hash(self.hashes.ravel(), row + length - 1, self.block)
-        self.order = np.argsort(suffix, kind="stable")
+        suffix = block_hash(words.hashes, self.at + length - 1, self.block)
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
         self.suffix = suffix[self.order]
 
+    def same_words(self, k: int, raw: bytes, starts: np.ndarray, ends: np.ndarray, last: int) -> bool:
+        """Do the words that end with word ``last`` of a text equal pattern ``k`` byte by byte?"""
+        mine, theirs = int(self.at[k]), last - self.length + 1
+        return all(
+            raw[starts[theirs + q] : ends[theirs + q]] == self.words.raw[self.words.starts[mine + q] : self.words.ends[mine + q]] for q in range(self.length)
+        )
 
-def cut_words(text: str | None) -> list[bytes]:
-    data = tb.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = tb.spans(data, np.array([0, len(data)]), WORD)
-    raw = data.tobytes()
-    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    def names(self, k: int) -> list[str]:
+        return [self.words.names[i] for i in self.items[self.edge[k] : self.edge[k + 1]]]
 
 
 def compile_items(items: Iterable[tuple[object, str | None]]) -> list[Patterns]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item_id, text in items:
-        words = cut_words(text)
-        size = min(WINDOW, len(words))
-        for k in range(len(words) - size + 1 if words else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(words[k : k + size]), set()).add("null" if item_id is None else str(item_id))
-    return [Patterns(n, w) for n, w in sorted(by_length.items())]
+    words = Words(items)
+    count = np.diff(words.first)
+    starts = {n: words.first[:-1][count == n] for n in range(1, WINDOW)}
+    long = count >= WINDOW
+    windows = count[long] - WINDOW + 1
+    ahead = np.cumsum(windows) - windows
+    starts[WINDOW] = np.repeat(words.first[:-1][long] - ahead, windows) + np.arange(windows.sum())
+    return [Patterns(n, words, at) for n, at in starts.items() if len(at)]
 
 
 def occurrences(p: Patterns, words: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +140,7 @@ def occurrences(p: Patterns, words: np.ndarray, first: np.ndarray, raw: bytes, s
             where = np.repeat(here, n)
             which = p.order[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             for q in range(p.length):
-                same = p.hashes[which, q] == words[where - p.length + 1 + q]
+                same = p.words.hashes[p.at[which] + q] == words[where - p.length + 1 + q]
                 where, which = where[same], which[same]
             if len(where):
                 found.append((where, which))
@@ -119,10 +150,7 @@ def occurrences(p: Patterns, words: np.ndarray, first: np.ndarray, raw: bytes, s
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     where, which = (np.concatenate(x) for x in zip(*found, strict=True))
-    sure = [
-        all(raw[starts[e - p.length + 1 + q] : ends[e - p.length + 1 + q]] == word for q, word in enumerate(p.words[k]))
-        for e, k in zip(where.tolist(), which.tolist(), strict=True)
-    ]
+    sure = [p.same_words(k, raw, starts, ends, e) for e, k in zip(where.tolist(), which.tolist(), strict=True)]
     return where[sure], which[sure]
 
 
@@ -141,7 +169,7 @@ def search(patterns: list[Patterns], text: pa.Array) -> Iterator[tuple[int, int,
             np.add.at(mark, where - p.length + 1, 1)
             np.add.at(mark, where + 1, -1)
             for row, k in zip(rows[where].tolist(), which.tolist(), strict=True):
-                items.setdefault(row, set()).update(p.items[k])
+                items.setdefault(row, set()).update(p.names(k))
         hit = np.cumsum(mark[:-1]) > 0
         for row in range(hi - lo):
             a, b = int(first[row]), int(first[row + 1])

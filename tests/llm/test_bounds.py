@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+import random
 import time
+import tracemalloc
 
-from pricetide.llm import toxicity
+from pricetide.llm import decontaminate, toxicity
 from pricetide.llm.queries import URL_RULES
 from pricetide.llm.url_filter import Trie
 
@@ -32,3 +35,22 @@ def test_the_driver_gets_one_row_for_each_label(spark, monkeypatch):
     assert len(got) == 300 and seen and seen[0] <= 200
     held = [r for r in got if r["held_out"] and r["doc_id"] != 8]
     assert held and all(r["predicted"] == r["doc_id"] % 2 for r in held)
+
+
+def test_tables_of_a_block_stay_near_its_bytes():
+    rng = random.Random(4)
+    items = [(k, " ".join(f"word{rng.randrange(50_000)}" for _ in range(400))) for k in range(250)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    patterns = decontaminate.compile_items(items)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    fixed = 40 << 20  # shift table and powers
+    assert peak - fixed < 40 * size and len(pickle.dumps(patterns)) < (2 << 20) + 12 * size
+
+
+def test_a_window_of_many_items_is_one_pattern():
+    same = " ".join(f"w{k}" for k in range(10))
+    (p,) = decontaminate.compile_items([(k, same) for k in range(50)] + [(3, same), (None, same)])
+    assert len(p.at) == 1 and sorted(p.names(0)) == sorted([*map(str, range(50)), "null"])
+    assert decontaminate.compile_items([]) == [] and decontaminate.compile_items([(1, None), (2, " -- ")]) == []
