@@ -23,7 +23,7 @@ from ..session import stored
 from . import bindings as B
 from . import linear_sql
 from .q_index import FEATURES, MACRO, PAST_YEARS, embargoed, macro
-from .q_panel import TEST_MONTHS, month_text
+from .q_panel import TEST_MONTHS, month_text, rounded
 from .registry import query
 
 PUBLISHED = models.regressors()
@@ -95,12 +95,12 @@ def ridge_regression(spark, sf):
     return _single(spark, sf, "ridge")
 
 
-@query("lasso_regression")
+@query("lasso_regression", linear_sql.single("price", linear_sql.lasso("given")))
 def lasso_regression(spark, sf):
     return _single(spark, sf, "lasso")
 
 
-@query("linear_regression")
+@query("linear_regression", linear_sql.single("price", linear_sql.ridge("given", linear_sql.NO_PENALTY)))
 def linear_regression(spark, sf):
     return _single(spark, sf, "linear")
 
@@ -276,7 +276,7 @@ def cleaning_scenarios(spark, sf):
     return scores(reduce(DataFrame.unionByName, parts), ["scenario"])
 
 
-@query("variant_experiment")
+@query("variant_experiment", linear_sql.VARIANTS)
 def variant_experiment(spark, sf):
     """Variants of features and target on the same split, as one table."""
     rows = prepared(spark, sf)
@@ -307,22 +307,26 @@ def _backcast_rows(spark, sf):
 NUMERIC_YEAR = (*models.NUMERIC_COLUMNS, "year")
 
 
-@query("backcast_training")
+@query("backcast_training", linear_sql.backcast_training(PAST_YEARS, FOLDS))
 def backcast_training(spark, sf):
     """Real and simulated rows in grouped folds; errors count real rows only."""
     train, _ = _backcast_rows(spark, sf)
     held = models.out_of_fold(train, [models.Candidate("ridge", "log", NUMERIC_YEAR)], SMALL)
-    return models.cv_leaderboard(held.filter("simulated = 0"), ["kind"])
+    board = models.cv_leaderboard(held.filter("simulated = 0"), ["kind"])
+    return board.withColumns({c: F.round(c, n) for c, n in DIGITS.items()})
 
 
-@query("implied_past")
+IMPLIED_YEARS = [1996, 2000]
+
+
+@query("implied_past", linear_sql.implied_past(PAST_YEARS, IMPLIED_YEARS))
 def implied_past(spark, sf):
     """Annual rate a model trained on the back-cast implies for past years."""
     train, test = _backcast_rows(spark, sf)
     member = models.fit(train, models.Candidate("ridge", "log", NUMERIC_YEAR), SMALL)
-    years = [y + 5.5 / 12.0 for y in (1996, 2000)]
+    years = [y + 5.5 / 12.0 for y in IMPLIED_YEARS]
     out = models.implied_past(test, [member], years)
-    return distribution(out, ["kind", "year"], "annual_pct")
+    return rounded(distribution(out, ["kind", "year"], "annual_pct"), 4)
 
 
 # ---------------------------------------------------------------- growth

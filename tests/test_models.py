@@ -1,11 +1,13 @@
 """Model wrappers: scales, weights, unseen categories."""
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from pricetide.operators import models as M
-from pricetide.plans import catalog, q_models
+from pricetide.plans import catalog, linear_sql, q_models
 
 FACTORIES = M.regressors(trees=5, rounds=3)
 
@@ -145,3 +147,36 @@ def test_registered_queries_train_at_published_sizes(spark, sf, monkeypatch, nam
         assert seen[0] is M.GRIDS
     if name == "batch_score":
         assert len(seen[0]) == 10
+
+
+@pytest.mark.parametrize("penalty", [0.0005, 2000.0])
+def test_lasso_coefficients_satisfy_the_optimality_conditions(rows, penalty):
+    """For half the mean squared error plus the penalty: every feature's gradient is the penalty with the coefficient's sign, or below it at 0."""
+    uneven = rows.withColumn("price", F.col("price") * (1.0 + (F.col("entity") * 37 % 101) / 200.0))
+    fitted = M.fit(uneven, M.Candidate("lasso"), {"lasso": lambda: LinearRegression(regParam=penalty, elasticNetParam=1.0, maxIter=1000, tol=1e-12)})
+    model = fitted.pipeline.stages[-1]
+    scored = fitted.pipeline.transform(M.impute(uneven)).select("features", "price", "prediction").collect()
+    x = np.array([r["features"].toArray() for r in scored])
+    left = np.array([r["price"] - r["prediction"] for r in scored])
+    gradient, weights = x.T @ left / len(left), np.array(model.coefficients)
+    assert abs(left.mean()) < 1e-3
+    assert np.abs(gradient).max() <= penalty + 1e-2
+    used = np.abs(weights) > 1e-6
+    assert used.any() and np.allclose(gradient[used], penalty * np.sign(weights[used]), atol=1e-2)
+    if penalty > 1:
+        assert not used.all()
+
+
+def test_lasso_twin_shrinks_like_the_model(spark, rows):
+    """The SQL twin's coordinate descent and the model at a penalty that removes features."""
+    penalty = 2000.0
+    price = F.col("price") * (1.0 + (F.col("entity") * 37 % 101) / 200.0)
+    uneven = rows.withColumn("price", price)
+    fitted = M.fit(uneven, M.Candidate("lasso"), {"lasso": lambda: LinearRegression(regParam=penalty, elasticNetParam=1.0, maxIter=1000, tol=1e-12)})
+    want = {r["entity"]: r["y_pred"] for r in fitted.predict(uneven).collect()}
+    con = duckdb.connect()
+    con.register("listing", uneven.toPandas())
+    given = "SELECT 1 AS g, 'fit' AS role, price AS y, * FROM listing UNION ALL SELECT 1, 'eval', price, * FROM listing"
+    got = dict(con.execute(f"WITH RECURSIVE given AS ({given}), {linear_sql.lasso('given', penalty)} SELECT entity, raw FROM raw").fetchall())
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 0.5
