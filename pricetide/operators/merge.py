@@ -68,8 +68,10 @@ def merge_by_code(listings: DataFrame, as_of: Column | None = None) -> tuple[Dat
         # One entry per collection file.
         F.array_sort(F.collect_set(F.nullif("source_db", F.lit("")))).alias("source_dbs"),
         F.count("*").alias("source_count"),
-        F.count_distinct(F.nullif("id", F.lit(""))).alias("source_id_count"),
     )
+    # Counted apart: a distinct count beside the picks would shuffle their wide buffers twice more, by code and id.
+    ids = rows.groupBy("code").agg(F.count_distinct(F.nullif("id", F.lit(""))).alias("source_id_count"))
+    merged = merged.join(ids, "code")
     now = as_of if as_of is not None else F.localtimestamp()
     area = F.coalesce(F.nullif("area_private", F.lit(0.0)), F.nullif("area_total", F.lit(0.0)))
     records = (
