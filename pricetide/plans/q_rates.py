@@ -233,8 +233,9 @@ def inputs(spark, sf):
     train = train_rows(spark, sf)
     kinds, districts = R.fuzzy_rulers(train, trend(spark, sf))
     table = R.fuzzy_inputs(train, kinds, districts).select("entity", "kind", "district", "district_price", "area", "trend")
-    # The centroid costs hundreds of steps a row.
-    return spread(stored(table), B.table(spark, sf, "lineitem"), "entity")
+    # The centroid costs hundreds of steps a row; the table's own size says whether few tasks would read it.
+    table = stored(table)
+    return spread(table, table, "entity")
 
 
 @query("fuzzy_inputs", f"WITH {RULERS} SELECT entity, round(district_price, 9) AS district_price, round(area, 9) AS area, round(trend, 9) AS trend FROM fin")
