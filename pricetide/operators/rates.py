@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import fuzzy
-from ..functions.hashing import DRAWS, hash_draws, poisson_weight_of
+from ..functions.hashing import DRAWS, poisson_thresholds
 from ..functions.numbers import clamp
 from ..session import stored
 from .ordered import Quantile, aggregate, join_keys, prefix_counts
@@ -47,18 +52,58 @@ def segment_rates(sums: DataFrame) -> DataFrame:
 def bootstrap_sums(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: str = "42") -> DataFrame:
     """Weighted sums of every (segment, replica): each code counts Poisson(1) times in a replica.
 
-    Weights come from a hash of the code and a block of four replicas, so any engine or retry draws the same sample. A row
-    makes one digest for four weights, and the sums of a block combine on the map side before anything is shuffled.
+    Weights come from a hash of the code and a block of four replicas, so any engine or retry draws the same sample. Rows
+    are dealt out by code and sorted by segment, so a task holds the sums of one segment at a time and sends one row for each.
     """
-    blocks = -(-replicas // DRAWS)
-    # Every row grows by the number of blocks, so few input rows are spread over all cores first.
-    draws = sums.repartition(2 * sums.sparkSession.sparkContext.defaultParallelism, "code").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    draws = draws.withColumn("digest", hash_draws(F.col("code"), F.col("block"), F.lit(seed)))
-    draws = draws.withColumns({f"w{k}": poisson_weight_of(F.col("digest"), k) for k in range(DRAWS)})
-    totals = [F.sum(F.col(f"w{k}") * F.col(c)).alias(f"{c}{k}") for k in range(DRAWS) for c in ("dlog", "gap")]
-    blocked = draws.groupBy(*SEGMENT, "block").agg(*totals)
-    rows = F.array(*[F.struct((F.col("block") * DRAWS + k + 1).alias("replica"), F.col(f"dlog{k}").alias("d"), F.col(f"gap{k}").alias("g")) for k in range(DRAWS)])
-    return blocked.select(*SEGMENT, F.inline(rows)).filter(F.col("replica") <= replicas)
+    # Every row makes a digest for each block, so few input rows are spread over all cores first.
+    session = sums.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    rows = sums.select(*SEGMENT, F.col("code").cast("string").alias("code"), F.col("dlog").cast("double").alias("dlog"), F.col("gap").cast("double").alias("gap"))
+    rows = rows.repartition(tasks, "code").sortWithinPartitions(*SEGMENT)
+    types = dict(sums.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in SEGMENT), "d array<double>", "g array<double>"])
+    held = rows.mapInArrow(lambda batches: _segment_sums(batches, replicas, seed), schema)
+    each = held.select(*SEGMENT, F.posexplode(F.arrays_zip("d", "g")).alias("place", "s"))
+    months = F.sum("s.g")
+    months = months if types["gap"] in ("double", "float") else F.round(months).cast("long")
+    return each.groupBy(*SEGMENT, (F.col("place") + 1).alias("replica")).agg(F.sum("s.d").alias("d"), months.alias("g"))
+
+
+def _segment_sums(batches, replicas: int, seed: str):
+    """Arrow batches sorted by segment to one row per segment: ``replicas`` weighted sums of ``dlog`` and of ``gap``."""
+    bounds = np.array([math.ceil(b * 2**32) for b in poisson_thresholds()], dtype=np.uint64)
+    tails = [f"{block}|{seed}".encode() for block in range(-(-replicas // DRAWS))]
+
+    def weights(codes: list) -> np.ndarray:
+        heads = [b"" if code is None else code.encode() + b"|" for code in codes]
+        digests = b"".join(md5(head + tail).digest() for head in heads for tail in tails)
+        draws = np.frombuffer(digests, dtype=">u4").reshape(len(codes), -1)[:, :replicas]
+        return np.searchsorted(bounds, draws.astype(np.uint64), side="right").astype(np.float64)
+
+    def row(key, sums, known):
+        values = [pa.array([v.tolist() if k else None], pa.list_(pa.float64())) for v, k in zip(sums, known)]
+        return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, types)), *values], names=[*SEGMENT, "d", "g"])
+
+    key, sums, known, types = None, None, None, None
+    for batch in batches:
+        types = [batch.schema.field(c).type for c in SEGMENT]
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            keys = list(zip(*(part.column(c).to_pylist() for c in SEGMENT)))
+            columns = [part.column(c) for c in ("dlog", "gap")]
+            given = [np.array(c.is_valid()) for c in columns]
+            values = [np.array(c.fill_null(0.0)) for c in columns]
+            drawn = weights(part.column("code").to_pylist())
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+            for lo, hi in zip([0, *ends], ends):
+                if keys[lo] != key:
+                    if sums is not None:
+                        yield row(key, sums, known)
+                    key, sums, known = keys[lo], np.zeros((2, replicas)), [False, False]
+                sums += np.stack([(drawn[lo:hi] * v[lo:hi, None]).sum(axis=0) for v in values])
+                known = [k or bool(g[lo:hi].any()) for k, g in zip(known, given)]
+    if sums is not None:
+        yield row(key, sums, known)
 
 
 def replica_rates(boot: DataFrame) -> DataFrame:
@@ -78,7 +123,7 @@ def _interval(interval: tuple[float, float]) -> list[Quantile]:
 
 def bootstrap_rates(sums: DataFrame, replicas: int = BOOTSTRAP_REPLICAS, seed: str = "42", interval=(0.10, 0.90)) -> DataFrame:
     """Point rate with the p10/p90 of its bootstrap, by segment and by kind."""
-    rates = replica_rates(bootstrap_sums(sums, replicas, seed))
+    rates = stored(replica_rates(bootstrap_sums(sums, replicas, seed)))  # read several times, and the draws are costly
     spread = aggregate(
         rates,
         ["level", *SEGMENT],
@@ -105,7 +150,7 @@ def credibility_rates(
     interval=(0.10, 0.90),
 ) -> DataFrame:
     """Segment rates pulled to their kind with weight n / (n + k): the point and every replica."""
-    rates = replica_rates(bootstrap_sums(sums, replicas, seed))
+    rates = stored(replica_rates(bootstrap_sums(sums, replicas, seed)))  # read several times, and the draws are costly
     points = segment_rates(sums)
     own = points.filter(f"level = 'segment' AND entities >= {int(min_entities)}").select(
         *SEGMENT, F.col("monthly").alias("raw"), "entities"
